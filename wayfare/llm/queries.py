@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_mjpeg, crf, html_main, mixing, prefix_hash, sharding
+from . import avi_mjpeg, crf, html_main, mixing, prefix_hash, pseudonyms, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     out = crf.predict(docs.select("doc_id", "text"), crf.fit(crf.sample(docs)))
     return out.select("doc_id", crf.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_values")
