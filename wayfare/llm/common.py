@@ -78,3 +78,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def utf8_bytes(column: str = "text"):
     """Length in UTF-8 bytes, null as 0."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+
+
+_BASE = 0x9E3779B97F4A7C15
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def wrapping_powers(n: int, inverse: bool = False) -> np.ndarray:
+    """_BASE^0 .. _BASE^n, or of its inverse, modulo 2^64; the tables double as longer arrays come."""
+    b = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    while len(_tables[inverse]) <= n:
+        t = _tables[inverse]
+        step = np.uint64(int(t[-1]) * b & 0xFFFFFFFFFFFFFFFF)
+        _tables[inverse] = np.concatenate([t, t * step])
+    return _tables[inverse]
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of symbols, by their content alone."""
+    n = len(symbols)
+    h = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(symbols.astype(np.uint64) + np.uint64(1)) * wrapping_powers(n)[:n], out=h[1:])
+    return mixed((h[ends] - h[starts]) * wrapping_powers(n, True)[starts] + (ends - starts).astype(np.uint64))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, runs, texts
+from .common import mixed, runs, span_hashes, texts
 
 #: Labelled documents of each language that the model is fitted on, at most.
 SAMPLE = 150
@@ -75,19 +75,6 @@ def gram_ids(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two % np.uint64(BUCKETS)).astype(np.int64), (three % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def word_hashes(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word's code points from wrapping prefix sums."""
-    base, inv = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    n = len(c)
-    power = np.ones(n + 1, np.uint64)
-    np.cumprod(np.full(n, base), out=power[1:])
-    h = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed(c + np.uint64(1)) * power[:n], out=h[1:])
-    back = np.ones(n + 1, np.uint64)
-    np.cumprod(np.full(n, inv), out=back[1:])
-    return mixed((h[ends] - h[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-
-
 def emissions(m: Model, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(words, L): log weight of each language for each word."""
     two, three = gram_ids(c)
@@ -95,7 +82,7 @@ def emissions(m: Model, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     np.cumsum(m.grams[two] + m.grams[three], axis=0, out=at[1:])
     out = at[ends + 1] - at[starts + 1] + m.grams[two[starts]]
     if len(m.words):
-        h = word_hashes(c, starts, ends)
+        h = span_hashes(c, starts, ends)
         i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
         hit = m.words[i] == h
         out[hit] += m.member[i[hit]] @ m.lexicon
@@ -174,7 +161,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     if not len(starts):
         return m
     label = np.array([langs.index(lang) for _, lang in samples])[text]
-    h = word_hashes(c, starts, ends)
+    h = span_hashes(c, starts, ends)
     types, pick, word = np.unique(h, return_index=True, return_inverse=True)
     seen = np.zeros((len(types), size))
     np.add.at(seen, (word, label), 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_mjpeg, crf, html_main, mixing, prefix_hash, pseudonyms, sharding
+from . import avi_mjpeg, crf, html_main, jaccard_join, mixing, prefix_hash, pseudonyms, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "n_values")
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
