@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_mjpeg, crf, html_main, jaccard_join, mixing, piece_fst, prefix_hash, pseudonyms, sharding
+from . import avi_mjpeg, crf, html_main, jaccard_join, mixing, piece_fst, prefix_hash, pseudonyms, sharding, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return piece_fst.encode(docs).select("doc_id", "n_pieces", "round_trip", "ids")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents")).drop("kept")
