@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, runs
+from .common import encoded, in_arrow, runs
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -243,7 +243,7 @@ def videos(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             for lo, hi in runs([len(x) + FRAME for x in data]):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], pa.int64()), pa.array(stored([payload(x) for x in data[lo:hi]]), pa.binary())], names=[key, "media"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(make, f"{key} long, media binary")
+    return in_arrow(df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")), make, f"{key} long, media binary")
 
 
 def clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -258,7 +258,7 @@ def clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64()), strict=True)], names=[key, "clip", "start_s", "end_s", "frames", "brightness"])
 
-    return media.select(key, "media").mapInArrow(make, f"{key} long, clip int, start_s double, end_s double, frames int, brightness double")
+    return in_arrow(media.select(key, "media"), make, f"{key} long, clip int, start_s double, end_s double, frames int, brightness double")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int"
@@ -281,4 +281,4 @@ def digest(df: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, DIGEST)
+    return in_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, DIGEST)

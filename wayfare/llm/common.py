@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once; a single longer text makes a batch of its own.
 BATCH_BYTES = 2 << 20
+#: Spark's bound on the bytes of an Arrow batch.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: White space of the contracts: blank and the five control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """df.mapInArrow(fn, schema) with batches of bounded bytes, where the session sets no bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES, "-1") == "-1":
+        conf.set(ARROW_BYTES, str(4 * BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, runs, span_hashes, texts
+from .common import in_arrow, mixed, runs, span_hashes, texts
 
 #: Labelled documents of each language that the model is fitted on, at most.
 SAMPLE = 150
@@ -272,7 +272,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     need = docs.select(*keep, *(["text"] if "text" not in keep else []))
     fields = ", ".join(f"`{c}` {need.schema[c].dataType.simpleString()}" for c in keep)
-    return need.mapInArrow(make, f"{fields}, lang_pred string, score double")
+    return in_arrow(need, make, f"{fields}, lang_pred string, score double")
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -291,4 +291,4 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
                 rows = [(ids[i], int(starts[a] - 1), int(ends[z - 1] - 1), shared.value.languages[best[a]], float(q[a:z, best[a]].mean())) for a, z in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "lang", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, start long, end long, lang string, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, start long, end long, lang string, score double")

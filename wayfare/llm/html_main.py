@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs
+from .common import in_arrow, runs
 
 #: Labelled pages that the weights are counted on, about; they are chosen by a hash of page_id.
 SAMPLE = 400
@@ -176,4 +176,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
                 out = [scored(x or "", weights) for x in html[lo:hi]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(urls[lo:hi], pa.string()), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(make, schema)
+    return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), make, schema)

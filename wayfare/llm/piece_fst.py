@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, texts
+from .common import in_arrow, runs, texts
 
 #: Where the model file lies by default; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
 
     need = docs.select(*keep, *(["text"] if "text" not in keep else []))
     names = ", ".join(f"`{c}` {need.schema[c].dataType.simpleString()}" for c in keep)
-    return need.mapInArrow(make, f"{names}, ids array<int>, n_pieces long, round_trip boolean")
+    return in_arrow(need, make, f"{names}, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -255,4 +255,4 @@ def decode(encoded: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "text"])
 
     names = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, "ids").mapInArrow(make, f"{names}, text string")
+    return in_arrow(encoded.select(*keep, "ids"), make, f"{names}, text string")

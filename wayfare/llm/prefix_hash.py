@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import in_arrow, partitions
 
 #: Moduli and bases of the two polynomials.
 PRIMES = (2147483647, 2147483629)
@@ -193,4 +193,4 @@ def edited_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
     )
     dealt = docs.select("doc_id", "text", F.inline(to)).repartitionById(last + 1, "bucket")
     dealt = dealt.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
-    return dealt.mapInArrow(_pairs, SCHEMA)
+    return in_arrow(dealt, _pairs, SCHEMA)

@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, mixed, partitions, runs, wrapping_powers
+from .common import cut, encoded, in_arrow, mixed, partitions, runs, wrapping_powers
 
 #: Bytes of a repeated string, of a gram, and grams of a string.
 SPAN, GRAM = 100, 28
@@ -348,14 +348,14 @@ def remove(docs: DataFrame) -> DataFrame:
     else:
         docs = docs.withColumn("dup", F.lit(0))
     parts = partitions(spark)
-    listed = docs.select("doc", "dup", "text").mapInArrow(_listed, LISTED)
+    listed = in_arrow(docs.select("doc", "dup", "text"), _listed, LISTED)
     listed = listed.repartition(parts, "h").sortWithinPartitions("h", "c", "doc", "dup", "at")
-    decided = cut(listed.mapInArrow(_decided, DECIDED))
+    decided = cut(in_arrow(listed, _decided, DECIDED))
     asked = decided.where("h IS NOT NULL").groupBy("doc", "dup").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("asked"))
-    contexts = _attached(docs.select("doc", "dup", "text"), asked, "asked", "inner").mapInArrow(_fetched, "h long, doc long, dup int, lo int, bytes binary")
-    solved = contexts.repartition(parts, "h").sortWithinPartitions("h", "doc", "dup", "lo").mapInArrow(_sorted_out, DECIDED)
+    contexts = in_arrow(_attached(docs.select("doc", "dup", "text"), asked, "asked", "inner"), _fetched, "h long, doc long, dup int, lo int, bytes binary")
+    solved = in_arrow(contexts.repartition(parts, "h").sortWithinPartitions("h", "doc", "dup", "lo"), _sorted_out, DECIDED)
     spans = decided.where("h IS NULL").union(solved).where(f"hi - lo >= {SPAN}")
     per_doc = spans.groupBy("doc", "dup").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    packed = per_doc.mapInArrow(_united, "doc long, dup int, packed binary")
+    packed = in_arrow(per_doc, _united, "doc long, dup int, packed binary")
     out = _attached(docs, packed, "packed", "left").select("doc_id", "text", "packed")
-    return out.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return in_arrow(out, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
