@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """df.mapInArrow(fn, schema) with batches of bounded bytes, where the session sets no bound of its own."""
     conf = df.sparkSession.conf
-    if conf.get(ARROW_BYTES, "-1") == "-1":
+    if conf.get(ARROW_BYTES, None) is None:
         conf.set(ARROW_BYTES, str(4 * BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
