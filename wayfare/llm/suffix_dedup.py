@@ -13,7 +13,8 @@ runs in steps, all exact:
 3. Suffix array. The contexts that are left are fetched and sorted by the difference cover modulo 3: the
    triples at positions 1 and 2 modulo 3 are sorted and named, the names are sorted by recursion, the
    other suffixes follow from them, and both are merged. Neighbours in the array whose first SPAN bytes
-   agree are one class; all of a class but the earliest are repeated.
+   agree are one class; all of a class but the earliest are repeated. A group of contexts above AT_ONCE
+   bytes is classed place by place, its strings at one distance from the gram at a time, in far less memory.
 4. The spans of each document are united and cut out.
 
 Null text is empty. Rows of one doc_id follow each other by a hash of the text; a null doc_id comes last.
@@ -37,8 +38,8 @@ SPAN, GRAM = 100, 28
 WINDOW = SPAN - GRAM + 1
 #: Positions share a word with a hash: bits of a position inside a piece of a long text.
 BITS = 22
-#: Symbols that are sorted at once, and bytes of spans up to which they are broadcast.
-AT_ONCE, FEW_BYTES = 1 << 20, 24 << 20
+#: Symbols that are sorted at once.
+AT_ONCE = 1 << 19
 LAST = (1 << 63) - 1
 
 _symbol = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -50,12 +51,13 @@ def prefix_hashes(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def least_positions(g: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the leftmost least value of each window, each once, ascending."""
-    found, step = [], (1 << BITS) - width
+def least_positions(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leftmost least value of each window: its position, and the first and the last window that it rules."""
+    found, starts, step = [], [], (1 << BITS) - width
     low = np.uint64((1 << BITS) - 1)
-    for s in range(0, len(g) - width + 1, step):
-        x = g[s : s + step + width - 1]
+    count = len(g) - width + 1
+    for s in range(0, count, step):
+        x = g[s : min(s + step, count) + width - 1]
         x = (x & ~low) | np.arange(len(x), dtype=np.uint64)
         n = len(x)
         full = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -63,26 +65,30 @@ def least_positions(g: np.ndarray, width: int) -> np.ndarray:
         rows = full.reshape(-1, width)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[: n - width + 1], ahead[width - 1 : n]) & low
-        keep = np.ones(len(least), bool)
-        keep[1:] = least[1:] != least[:-1]
-        found.append(least[keep].astype(np.int64) + s)
-    out = np.concatenate(found) if found else np.empty(0, np.int64)
-    return np.unique(out) if len(found) > 1 else out
+        least = (np.minimum(back[: n - width + 1], ahead[width - 1 : n]) & low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        found.append(least[first] + s)
+        starts.append(first + s)
+    at, first = np.concatenate(found), np.concatenate(starts)
+    fresh = np.concatenate([[True], at[1:] != at[:-1]])  # a piece may go on with the position before it
+    at, first = at[fresh], first[fresh]
+    return at, first, np.append(first[1:], count) - 1
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash, context hash and packed place (position, bytes before, bytes after) of each anchor."""
+    """Gram hash, context hash and packed place (position, bytes before, bytes after) of each anchor.
+
+    The context is what the strings cover whose least gram the anchor is: at least SPAN bytes.
+    """
     b = np.frombuffer(text, np.uint8)
     n = len(b)
     if n < SPAN:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     h, back = prefix_hashes(b), wrapping_powers(n, True)
     g = mixed((h[GRAM:] - h[:-GRAM]) * back[: n - GRAM + 1])
-    at = least_positions(g, WINDOW)
-    before, after = np.minimum(at, WINDOW - 1), np.minimum(n - at, SPAN)
-    s, e = at - before, at + after
-    c = mixed((h[e] - h[s]) * back[s] + (before * 256 + after).astype(np.uint64))
+    at, first, last = least_positions(g, WINDOW)
+    before, after = at - first, last + SPAN - at
+    c = mixed((h[last + SPAN] - h[first]) * back[first] + (before * 256 + after).astype(np.uint64))
     return g[at], c, at << 16 | before << 8 | after
 
 
@@ -192,6 +198,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     fresh[1:] = key[order][1:] != key[order][:-1]
     names = np.empty(len(order), np.int64)
     names[order] = np.cumsum(fresh)
+    del first, key
     if not fresh.all():  # recurse on the names
         one = i12 % 3 == 1
         place = np.concatenate([i12[one], i12[~one]])
@@ -249,6 +256,43 @@ def repeated_starts(contexts: list[bytes], order: np.ndarray) -> tuple[np.ndarra
     return owner[hit], offset[hit]
 
 
+def repeated_by_place(contexts: list[bytes], grams: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As repeated_starts, for the contexts of one gram, which begins at `grams` in them: equal strings begin equally far before it."""
+    size = np.array([len(x) for x in contexts])
+    base = np.cumsum(size) - size
+    s = np.frombuffer(b"".join(contexts), np.uint8)
+    h, back = prefix_hashes(s), wrapping_powers(len(s), True)
+    windows = sliding_window_view(s, SPAN)
+    who, off = [], []
+    for r in range(WINDOW):
+        o = grams - r
+        own = np.flatnonzero((o >= 0) & (o + SPAN <= size))
+        at = base[own] + o[own]
+        x = mixed((h[at + SPAN] - h[at]) * back[at])
+        by = np.argsort(x, kind="stable")
+        near = np.flatnonzero(x[by][1:] == x[by][:-1])
+        same = np.zeros(len(by), bool)
+        for lo in range(0, len(near), 1 << 16):
+            k = near[lo : lo + (1 << 16)]
+            same[k + 1] = (windows[at[by[k + 1]]] == windows[at[by[k]]]).all(axis=1)
+        if same.sum() < len(near):  # different strings of one hash: sort the strings themselves
+            by = np.array(sorted(range(len(at)), key=lambda i: s[at[i] : at[i] + SPAN].tobytes()))
+            same = np.array([False] + [bool((windows[at[a]] == windows[at[b]]).all()) for a, b in zip(by, by[1:], strict=False)])
+        if not same.any():
+            continue
+        key = (order[own[by], 0] << 32) + order[own[by], 1] + o[own[by]]
+        starts = np.flatnonzero(~same)
+        least = np.repeat(np.minimum.reduceat(key, starts), np.diff(np.append(starts, len(by))))
+        hit = own[by][key > least]
+        who.append(hit)
+        off.append(o[hit])
+    if not who:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    w, f = np.concatenate(who), np.concatenate(off)
+    by = np.lexsort((f, w))
+    return w[by], f[by]
+
+
 def _sorted_out(batches):
     """Contexts sorted by h; groups are packed to about AT_ONCE symbols, and a larger group stands alone."""
     held: list[tuple] = []
@@ -260,7 +304,11 @@ def _sorted_out(batches):
         fresh[1:] = (doc[by][1:] != doc[by][:-1]) | (dup[by][1:] != dup[by][:-1])
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(fresh)
-        who, off = repeated_starts([r[4] for r in rows], np.stack([rank, lo], axis=1))
+        contexts, spots = [r[4] for r in rows], np.stack([rank, lo], axis=1)
+        if rows[0][0] == rows[-1][0] and sum(map(len, contexts)) > AT_ONCE:
+            who, off = repeated_by_place(contexts, np.array([r[5] for r in rows]), spots)
+        else:
+            who, off = repeated_starts(contexts, spots)
         if not len(who):
             return None
         edge = np.ones(len(who), bool)
@@ -270,17 +318,24 @@ def _sorted_out(batches):
         w = who[a]
         return _rows(doc[w], dup[w], lo[w] + off[a], lo[w] + off[z] + SPAN)
 
-    size = 0
+    size = begin = 0  # symbols held, and where the last group begins in `held`
+    own = 0  # symbols of the last group
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in ("h", "doc", "dup", "lo", "bytes")), strict=True):
-            if size >= AT_ONCE and held[-1][0] != row[0]:
-                if (out := solve(held)) is not None:
-                    yield out
-                held, size = [], 0
+        for row in zip(*(b.column(k).to_pylist() for k in ("h", "doc", "dup", "lo", "bytes", "gram")), strict=True):
+            if held and held[-1][0] != row[0]:
+                if size >= AT_ONCE:
+                    ready = [held[:begin], held[begin:]] if own > AT_ONCE // 2 else [held]
+                    for part in ready:
+                        if part and (out := solve(part)) is not None:
+                            yield out
+                    held, size = [], 0
+                begin, own = len(held), 0
             held.append(row)
             size += len(row[4]) + 1
-    if held and (out := solve(held)) is not None:
-        yield out
+            own += len(row[4]) + 1
+    for part in ([held[:begin], held[begin:]] if own > AT_ONCE // 2 else [held]):
+        if part and (out := solve(part)) is not None:
+            yield out
 
 
 def _fetched(batches):
@@ -290,10 +345,10 @@ def _fetched(batches):
         for text, doc, dup, asked in zip(data, b.column("doc").to_pylist(), b.column("dup").to_pylist(), b.column("asked").to_pylist(), strict=True):
             for x in asked:
                 at, before, after = x["lo"], x["hi"] >> 8, x["hi"] & 255
-                rows.append((x["h"], doc, dup, at - before, text[at - before : at + after]))
+                rows.append((x["h"], doc, dup, at - before, text[at - before : at + after], before))
         for i in range(0, len(rows), 20_000):
             part = list(zip(*rows[i : i + 20_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "doc", "dup", "lo", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["h", "doc", "dup", "lo", "bytes", "gram"])
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -330,14 +385,6 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _attached(docs: DataFrame, extra: DataFrame, payload: str, how: str) -> DataFrame:
-    """docs with a column of extra by (doc, dup); extra is broadcast if its payload is below FEW_BYTES, else both sides are shuffled."""
-    extra = cut(extra)
-    size = extra.agg(F.sum(F.octet_length(payload) if dict(extra.dtypes)[payload] == "binary" else F.size(payload) * 24), F.count(F.lit(1))).first()
-    small = (size[0] or 0) + 24 * size[1] <= FEW_BYTES
-    return docs.join(F.broadcast(extra) if small else extra, ["doc", "dup"], how)
-
-
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of docs."""
     spark = docs.sparkSession
@@ -352,10 +399,10 @@ def remove(docs: DataFrame) -> DataFrame:
     listed = listed.repartition(parts, "h").sortWithinPartitions("h", "c", "doc", "dup", "at")
     decided = cut(in_arrow(listed, _decided, DECIDED))
     asked = decided.where("h IS NOT NULL").groupBy("doc", "dup").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("asked"))
-    contexts = in_arrow(_attached(docs.select("doc", "dup", "text"), asked, "asked", "inner"), _fetched, "h long, doc long, dup int, lo int, bytes binary")
+    contexts = in_arrow(docs.select("doc", "dup", "text").join(asked, ["doc", "dup"]), _fetched, "h long, doc long, dup int, lo int, bytes binary, gram int")
     solved = in_arrow(contexts.repartition(parts, "h").sortWithinPartitions("h", "doc", "dup", "lo"), _sorted_out, DECIDED)
     spans = decided.where("h IS NULL").union(solved).where(f"hi - lo >= {SPAN}")
     per_doc = spans.groupBy("doc", "dup").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     packed = in_arrow(per_doc, _united, "doc long, dup int, packed binary")
-    out = _attached(docs, packed, "packed", "left").select("doc_id", "text", "packed")
+    out = docs.join(packed, ["doc", "dup"], "left").select("doc_id", "text", "packed")
     return in_arrow(out, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
