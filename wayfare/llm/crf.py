@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, mixed, runs, span_hashes, texts
 
 #: Labelled documents of each language that the model is fitted on, at most.
-SAMPLE = 150
+SAMPLE = 100
 #: Languages at most; those with most rows count.
 LANGUAGES = 64
 #: Words of a language's lexicon: those seen at least twice there, by frequency.
@@ -211,9 +211,12 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
         expect = np.stack([np.bincount(chain_word, weights=q[:, k], minlength=len(types)) for k in range(size)], axis=1)
         gap = (truth - expect) / len(token)
         g_grams = np.stack([np.bincount(cols, weights=gap[rows, k], minlength=BUCKETS) for k in range(size)], axis=1)
-        joint = forward[here - 1][:, :, None] * np.exp(m.move)[None] * (x[here] * backward[here])[:, None, :]
-        joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
-        g_move = (moved - joint.sum(axis=0)) / len(token)
+        g_move = moved.copy()
+        for lo in range(0, len(here), 1 << 15):
+            i = here[lo : lo + (1 << 15)]
+            joint = forward[i - 1][:, :, None] * np.exp(m.move)[None] * (x[i] * backward[i])[:, None, :]
+            g_move -= (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
+        g_move /= len(token)
         for i, g in enumerate((g_grams, member.T @ gap, g_move)):
             g = g - DECAY * params[i] / size
             mean[i] = 0.9 * mean[i] + 0.1 * g
