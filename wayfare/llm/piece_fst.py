@@ -35,8 +35,8 @@ from .common import in_arrow, runs, texts
 #: Where the model file lies by default; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Entries of a worker's table of stretches; it is emptied when full. Longer stretches are not kept.
-KEPT, KEPT_LENGTH = 400_000, 40
+#: Entries of a worker's tables; a full one becomes the older one, which gives up what is used again. Longer stretches are not kept.
+KEPT, KEPT_LENGTH = 80_000, 24
 
 # Piece types and field numbers of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -106,8 +106,10 @@ class Transducer:
             self.stretch = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.output = [self._bytes(p, t) for p, _, t in self.pieces]
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.old_pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.old_kept: dict[str, bytes] = {}
 
     def _bytes(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -138,17 +140,19 @@ class Transducer:
         return parts
 
     def together(self, a: str, b: str) -> bool:
-        """Whether the acceptor lets b follow a."""
-        ok = self.pairs.get((a, b))
+        """Whether the acceptor lets b follow a; for pairs that are not in the newer table."""
+        ok = self.old_pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            ok = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= KEPT:
+            self.old_pairs, self.pairs = self.pairs, {}
+        self.pairs[a, b] = ok
         return ok
 
     def path(self, s: str) -> list[str]:
         """Arc inputs of the shortest path over one stretch."""
-        n, get, bpe, longest, pairs, low = len(s), self.score.get, self.kind == BPE, self.longest, self.pairs, self.low
+        n, get, bpe, longest, low = len(s), self.score.get, self.kind == BPE, self.longest, self.low
+        pairs = self.pairs
         cost: list[float | None] = [0.0] + [None] * n
         last = [""] * (n + 1)
         for i in range(1, n + 1):
@@ -169,6 +173,8 @@ class Transducer:
                         continue
                 if best is None or before - weight < best:
                     best, name = before - weight, piece
+                    if bpe:
+                        break  # no other piece ends the merged text here
             cost[i], last[i] = best, name
         if cost[n] is None:
             return self.merged(s)
@@ -187,8 +193,8 @@ class Transducer:
         return ok
 
     def arcs(self, s: str) -> bytes:
-        """Ids of one stretch as little-endian 32-bit integers."""
-        got = self.kept.get(s)
+        """Ids of one stretch as little-endian 32-bit integers, where the newer table has none."""
+        got = self.old_kept.get(s)
         if got is None:
             ids: list[int] = []
             for p in self.path(s):
@@ -200,16 +206,16 @@ class Transducer:
                         ids.append(self.unknown)
                 else:
                     ids.extend(self.fallback[b] for b in p.encode("utf-8", "surrogatepass"))
-            got = np.array(ids, "<i4").tobytes()
-            if len(s) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[s] = got
+            got = struct.pack(f"<{len(ids)}i", *ids)
+        if len(s) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT:
+                self.old_kept, self.kept = self.kept, {}
+            self.kept[s] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        kept, arcs = self.kept, self.arcs
-        return np.frombuffer(b"".join([kept.get(s) or arcs(s) for s in self.stretch.findall(self.normalise(text))]), "<i4")
+        arcs = self.arcs
+        return np.frombuffer(b"".join([self.kept.get(s) or arcs(s) for s in self.stretch.findall(self.normalise(text))]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.output.__getitem__, ids.tolist())).decode("utf-8", "replace")
