@@ -9,20 +9,25 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-STEP = Window.partitionBy("trip").orderBy("seq")
+
+
+def step() -> WindowSpec:
+    """Along each route; built when used, so that workers can import this module."""
+    return Window.partitionBy("trip").orderBy("seq")
 
 
 def valid(edges: DataFrame) -> DataFrame:
     """Edges of routes that are connected head to tail."""
-    before = F.lag("v").over(STEP)
+    before = F.lag("v").over(step())
     e = edges.withColumn("_ok", F.when(before.isNull() | (before == F.col("u")), 1).otherwise(0))
     return e.withColumn("_all", F.min("_ok").over(Window.partitionBy("trip"))).where("_all = 1").drop("_ok", "_all")
 
 
 def turns(edges: DataFrame) -> DataFrame:
     """Pairs of neighbouring edges (u, v, w)."""
-    return edges.withColumn("w", F.lead("v").over(STEP)).where("w IS NOT NULL")
+    return edges.withColumn("w", F.lead("v").over(step())).where("w IS NOT NULL")
 
 
 def outdegree(edges: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def families(edges: DataFrame) -> DataFrame:
     """Compressed region path of each route as text: (trip, side, family)."""
     first = edges.where("seq = 1").select("trip", "side", F.lit(0).alias("seq"), F.col("ru").alias("region"))
     rest = edges.select("trip", "side", "seq", F.col("rv").alias("region"))
-    r = first.union(rest).withColumn("_b", F.lag("region").over(STEP)).where("_b IS NULL OR _b != region")
+    r = first.union(rest).withColumn("_b", F.lag("region").over(step())).where("_b IS NULL OR _b != region")
     return r.groupBy("trip", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "region"))), lambda x: x["region"].cast("string")), "-").alias("family"))
 
 
@@ -85,12 +90,15 @@ def decomposed(edges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], lis
 def retention(edges: DataFrame, lengths: Column) -> DataFrame:
     """Per route: length, backbone length, closed length, closed walks and repeated edges; lengths: column of the edge's length."""
 
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        steps = list(zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True))
-        size = dict(zip(steps, pdf["length"].tolist(), strict=True))
-        back, loops = decomposed(steps)
-        return pd.DataFrame([(pdf["trip"].iloc[0], pdf["side"].iloc[0], sum(size[e] for e in steps), sum(size[e] for e in back), sum(size[e] for w in loops for e in w), len(loops), len(steps) - len(set(steps)))], columns=["trip", "side", "total", "backbone", "closed", "walks", "repeats"])
-
-    e = edges.select("trip", "side", "seq", "u", "v", lengths.cast("double").alias("length"))
-    return e.groupBy("trip").applyInPandas(per, "trip long, side int, total double, backbone double, closed double, walks long, repeats long")
+    def per(batches):
+        for p in batches:
+            rows = []
+            for trip, side, walk in zip(p["trip"], p["side"], p["walk"], strict=True):
+                steps = [(x["u"], x["v"]) for x in walk]
+                size = {(x["u"], x["v"]): x["length"] for x in walk}
+                back, loops = decomposed(steps)
+                rows.append((trip, side, sum(size[e] for e in steps), sum(size[e] for e in back), sum(size[e] for w in loops for e in w), len(loops), len(steps) - len(set(steps))))
+            yield pd.DataFrame(rows, columns=["trip", "side", "total", "backbone", "closed", "walks", "repeats"])
+
+    e = edges.groupBy("trip", "side").agg(F.array_sort(F.collect_list(F.struct("seq", "u", "v", lengths.cast("double").alias("length")))).alias("walk"))
+    return e.mapInPandas(per, "trip long, side int, total double, backbone double, closed double, walks long, repeats long")

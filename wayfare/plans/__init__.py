@@ -1,3 +1,3 @@
 """Queries over the driver tables, by family; importing the package registers them."""
 
-from . import distributions, prediction, routes, sequences  # noqa: F401
+from . import distributions, measures, prediction, routes, sequences  # noqa: F401

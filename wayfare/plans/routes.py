@@ -180,7 +180,7 @@ def directed_runs(spark, sf):
     """Maximal stretches of synthetic routes on public edges with at least three edges: gaps and islands."""
     e = edges(spark, sf)
     public = e.where("side = 0").select("u", "v").distinct().withColumn("ok", F.lit(1))
-    t = e.where("side = 1").join(public, ["u", "v"], "left").withColumn("gap", F.sum(F.when(F.col("ok").isNull(), 1).otherwise(0)).over(R.STEP.rowsBetween(Window.unboundedPreceding, 0)))
+    t = e.where("side = 1").join(public, ["u", "v"], "left").withColumn("gap", F.sum(F.when(F.col("ok").isNull(), 1).otherwise(0)).over(R.step().rowsBetween(Window.unboundedPreceding, 0)))
     return t.where("ok = 1").groupBy("trip", "gap").agg(F.count(F.lit(1)).alias("n"), F.min_by("u", "seq").alias("first")).where("n >= 3")
 
 
