@@ -36,7 +36,7 @@ from .common import in_arrow, runs, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Entries of a worker's tables; a full one becomes the older one, which gives up what is used again. Longer stretches are not kept.
-KEPT, KEPT_LENGTH = 80_000, 24
+KEPT, PAIRS, KEPT_LENGTH = 300_000, 100_000, 24
 
 # Piece types and field numbers of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -144,7 +144,7 @@ class Transducer:
         ok = self.old_pairs.get((a, b))
         if ok is None:
             ok = self.merged(a + b) == [a, b]
-        if len(self.pairs) >= KEPT:
+        if len(self.pairs) >= PAIRS:
             self.old_pairs, self.pairs = self.pairs, {}
         self.pairs[a, b] = ok
         return ok
