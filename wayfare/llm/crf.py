@@ -249,15 +249,17 @@ def sample(docs: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
 
 def judged(m: Model, parts: list[str]) -> tuple[list[str], list[float], tuple]:
     """Language and score of each text, and (marginals, starts, ends, text) of the words."""
+    if not m.languages:
+        return [UNKNOWN] * len(parts), [0.0] * len(parts), (np.zeros((0, 0)), *(np.empty(0, np.int64),) * 3)
     c, starts, ends, text = split(parts)
     q = marginals(emissions(m, c, starts, ends), np.bincount(text, minlength=len(parts))[np.unique(text)], m.move) if len(starts) else np.zeros((0, len(m.languages)))
     total = np.zeros((len(parts), len(m.languages)))
     for k in range(len(m.languages)):
         total[:, k] = np.bincount(text, weights=q[:, k], minlength=len(parts))
     n = np.bincount(text, minlength=len(parts))
-    best = total.argmax(axis=1) if len(m.languages) else np.zeros(len(parts), int)
-    names = [m.languages[b] if k and m.languages else UNKNOWN for b, k in zip(best, n, strict=True)]
-    scores = [min(1.0, float(total[i, b] / k)) if k and m.languages else 0.0 for i, (b, k) in enumerate(zip(best, n, strict=True))]
+    best = total.argmax(axis=1)
+    names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)]
+    scores = [min(1.0, float(total[i, b] / k)) if k else 0.0 for i, (b, k) in enumerate(zip(best, n, strict=True))]
     return names, scores, (q, starts, ends, text)
 
 

@@ -27,7 +27,7 @@ from .common import in_arrow, runs
 #: Labelled pages that the weights are counted on, about; they are chosen by a hash of page_id.
 SAMPLE = 400
 #: Weight of what no labelled page has shown: words, tags.
-WORD_WEIGHT, TAG_WEIGHT = 1.0, -0.5
+WORD_WEIGHT, TAG_WEIGHT = 1.0, -0.2
 BOUND = 4.0
 
 # Names of HTML elements.
