@@ -17,8 +17,8 @@ def pairs(df: DataFrame, keys: list[str], mass: str | Column | None = None) -> D
 
 
 def with_totals(p: DataFrame) -> DataFrame:
-    """Adds the totals tr and ts of all keys and the number of keys k: one row, joined to each."""
-    t = p.agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("tr"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("ts"), F.count(F.lit(1)).alias("k"))
+    """Adds the totals tr and ts of all keys and the number of keys n_keys: one row, joined to each."""
+    t = p.agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("tr"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("ts"), F.count(F.lit(1)).alias("n_keys"))
     return p.crossJoin(F.broadcast(t))  # one row
 
 
@@ -60,7 +60,7 @@ def jsd(p: DataFrame, kind: str, domain: int | None = None, name: str = "jsd") -
     if kind == "F":
         p = p.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in ("r", "s")})
     q = with_totals(p)
-    r, s, tr, ts, k = (F.col(c) for c in ("r", "s", "tr", "ts", "k"))
+    r, s, tr, ts, k = (F.col(c) for c in ("r", "s", "tr", "ts", "n_keys"))
     if kind == "A":
         eps = 1e-12
         a, b = tr + domain * eps, ts + domain * eps

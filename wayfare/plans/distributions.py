@@ -10,7 +10,7 @@ from wayfare.operators import mass as M
 from wayfare.registry import register
 from wayfare.sources import views as V
 
-from .sequences import BOX, ENDS, STEP, cell_sql
+from .sequences import BOX, ENDS, cell_sql, step
 
 
 def _rounded(df, places=6):
@@ -22,7 +22,7 @@ def _cells(spark, sf):
 
 
 def _moves(spark, sf):
-    r = V.runs(spark, sf).withColumn("b", F.lead("cell").over(STEP)).where("b IS NOT NULL").withColumnRenamed("cell", "a")
+    r = V.runs(spark, sf).withColumn("b", F.lead("cell").over(step())).where("b IS NOT NULL").withColumnRenamed("cell", "a")
     return M.pairs(r, ["a", "b"])
 
 
@@ -108,7 +108,7 @@ register(
 
 def length_histogram(spark, sf):
     """32 equal bins on [0, 99th percentile] of path lengths of both sides; longer trips fall out, the last edge is closed."""
-    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(STEP), F.col("y") - F.lag("y").over(STEP)))
+    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step())))
     t = p.groupBy("trip", "side").agg(F.sum("d").alias("length"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     top = t.agg(F.greatest(F.percentile("length", F.lit(0.99)), F.lit(1e-6)).alias("top"))
     t = t.crossJoin(F.broadcast(top)).where("length <= top")
@@ -120,7 +120,7 @@ register("length_histogram", length_histogram, f"WITH {V.POINTS}, d AS (SELECT t
 
 def structure(spark, sf):
     """Usable share, mean points, revisits, closed trips and directness of each side."""
-    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(STEP), F.col("y") - F.lag("y").over(STEP)))
+    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step())))
     t = p.groupBy("trip", "side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("places"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("path"), F.hypot(F.max_by("x", "seq") - F.min_by("x", "seq"), F.max_by("y", "seq") - F.min_by("y", "seq")).alias("chord"))
     ok = F.col("n") >= 2
     return _rounded(t.groupBy("side").agg(F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("usable"), F.avg(F.when(ok, F.col("n"))).alias("mean_points"), F.avg(F.when(ok, 1 - F.col("places") / F.col("n"))).alias("revisit"), F.avg(F.when(ok, F.when(F.col("chord") < 1000, 1.0).otherwise(0.0))).alias("closed"), F.avg(F.when(ok & (F.col("path") > 0), F.col("chord") / F.col("path"))).alias("directness")))

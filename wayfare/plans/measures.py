@@ -13,7 +13,7 @@ from wayfare.registry import register
 from wayfare.sources import views as V
 
 from .distributions import _rounded
-from .sequences import STEP
+from .sequences import step
 
 BUDGET = 1_000_000
 _PHASED = f"{V.EV}, ph AS (SELECT trip, seq, row, CAST(least(3, (seq - 1) * 4 // count(*) OVER (PARTITION BY trip)) AS INT) AS phase FROM ev)"
@@ -36,7 +36,7 @@ register("dp_occupancy", occupancy, f"WITH {_PHASED}, c AS (SELECT trip, phase,
 
 def _moves(spark, sf):
     r = V.compress(V.ev(spark, sf).select("trip", "seq", "row"), "row")
-    r = r.withColumn("to", F.lead("row").over(STEP)).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("trip")))
+    r = r.withColumn("to", F.lead("row").over(step())).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("trip")))
     return r.where("to IS NOT NULL OR len = 1").select("trip", F.when(F.col("len") == 1, -1).otherwise(F.col("row")).alias("a"), F.coalesce("to", F.lit(-1)).alias("b"))
 
 
@@ -52,8 +52,8 @@ register("dp_transitions", transitions, f"WITH {_MOVES}, {_HAMILTON.format(atom=
 
 def dwell(spark, sf):
     """Runs of one region by their share of the trip, in five bins."""
-    e = _phased(spark, sf).withColumn("new", F.when(F.col("row").eqNullSafe(F.lag("row").over(STEP)), 0).otherwise(1))
-    e = e.withColumn("run", F.sum("new").over(STEP.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("trip")))
+    e = _phased(spark, sf).withColumn("new", F.when(F.col("row").eqNullSafe(F.lag("row").over(step())), 0).otherwise(1))
+    e = e.withColumn("run", F.sum("new").over(step().rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("trip")))
     r = e.groupBy("trip", "run").agg((F.count(F.lit(1)) / F.max("total")).alias("share"))
     bins = F.size(F.filter(F.array(*(F.lit(x) for x in (0.05, 0.15, 0.35, 0.65))), lambda x: x <= F.col("share")))
     c = r.groupBy("trip", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from wayfare.registry import register
 from wayfare.sources import views as V
 
 from .distributions import _rounded
-from .sequences import STEP
+from .sequences import step
 
 TRIPLES = f"{V.RUNS}, t AS (SELECT trip, is_test, cell AS a, lead(cell, 1) OVER w AS b, lead(cell, 2) OVER w AS c FROM runs WINDOW w AS (PARTITION BY trip ORDER BY seq)), t3 AS (SELECT * FROM t WHERE c IS NOT NULL)"
 _LISTS = """tr AS (SELECT a, b, c FROM {src} WHERE NOT is_test), te AS (SELECT a, b, c, count(*) AS cases FROM {src} WHERE is_test GROUP BY a, b, c),
@@ -70,7 +70,7 @@ def retrieval(spark, sf):
 
     Candidates are the 512 smallest route ids; equal scores go to the larger hidden overlap, which flatters the result.
     """
-    h = V.hops(spark, sf).withColumn("b", F.lead("node").over(STEP))
+    h = V.hops(spark, sf).withColumn("b", F.lead("node").over(step()))
     h = h.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("trip")))
     cutting = F.greatest(F.lit(3), F.ceil(F.col("n") * 0.3))
     grams = h.where("b IS NOT NULL")
@@ -116,7 +116,7 @@ def region_law(spark, sf):
     """Next region given the current one and the destination, learned on side 1 with 0.5 added to each of five regions, back-off to the current one; mean over trips."""
     h = V.compress(V.hops(spark, sf).select("trip", "seq", "region", "side"), "region")
     w = Window.partitionBy("trip")
-    e = h.select("trip", "side", F.col("region").alias("a"), F.lead("region").over(STEP).alias("b"), F.max_by("region", "seq").over(w).alias("d")).where("b IS NOT NULL")
+    e = h.select("trip", "side", F.col("region").alias("a"), F.lead("region").over(step()).alias("b"), F.max_by("region", "seq").over(w).alias("d")).where("b IS NOT NULL")
     t = e.where("side = 1")
 
     def law(keys):

@@ -14,7 +14,12 @@ from wayfare.sources import views as V
 #: Box of the order-line points, and edges of uneven buckets.
 BOX = (1.0, 50.0, 900.0, 105000.0)
 EDGES = [0.0, 5.0, 10.0, 25.0, 60.0, 1000.0]
-STEP = Window.partitionBy("trip").orderBy("seq")
+
+
+def step():
+    """Along each trip."""
+    return Window.partitionBy("trip").orderBy("seq")
+
 
 
 def _arrays(df, value):
@@ -49,7 +54,7 @@ register("fil_normalise", normalised, f"WITH {V.POINTS}, z AS (SELECT trip, (y -
 def record_normaliser(spark, sf):
     """Finite points only, trips of two points and some length."""
     p = V.points(spark, sf).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    p = p.withColumn("d", F.hypot(F.col("x") - F.lag("x").over(STEP), F.col("y") - F.lag("y").over(STEP)))
+    p = p.withColumn("d", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step())))
     return p.groupBy("trip").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d"), 6).alias("length")).where("n >= 2 AND length > 0")
 
 
@@ -90,7 +95,7 @@ register("seq_grid_cell", grid, f"WITH {V.POINTS} SELECT {cell_sql(16)} AS cell,
 def lengths(spark, sf):
     """Both spherical lengths of a trip with quantity as latitude and price in thousands as longitude."""
     p = V.points(spark, sf).select("trip", "seq", F.col("x").alias("lat"), (F.col("y") / 1000).alias("lon"))
-    p = p.withColumns({"lat0": F.lag("lat").over(STEP), "lon0": F.lag("lon").over(STEP)}).where("lat0 IS NOT NULL")
+    p = p.withColumns({"lat0": F.lag("lat").over(step()), "lon0": F.lag("lon").over(step())}).where("lat0 IS NOT NULL")
     c = [F.col(k) for k in ("lat0", "lon0", "lat", "lon")]
     return p.groupBy("trip").agg(F.round(F.sum(S.equirectangular_km(*c)), 4).alias("flat_km"), F.round(F.sum(S.haversine_km(*c)), 4).alias("round_km"), F.round(F.sum(S.haversine_km(*c, radius=6371000.0)), 2).alias("metres"))
 
@@ -129,8 +134,8 @@ register("seq_od_family", od_family, f"WITH {V.POINTS}, {ENDS} SELECT CAST(8 * (
 
 def phases(spark, sf):
     """Segments by the phase of their middle along the trip's length."""
-    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(STEP), F.col("y") - F.lag("y").over(STEP))).where("d IS NOT NULL")
-    upto = F.sum("d").over(STEP.rowsBetween(Window.unboundedPreceding, 0))
+    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step()))).where("d IS NOT NULL")
+    upto = F.sum("d").over(step().rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("d").over(Window.partitionBy("trip"))
     p = p.withColumns({"at": upto, "total": total}).where("total > 0")
     return p.groupBy(S.phase((F.col("at") - F.col("d") / 2) / F.col("total"), 4).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
@@ -141,7 +146,7 @@ register("seq_phase", phases, f"WITH {V.POINTS}, d AS (SELECT trip, seq, sqrt((x
 
 def shape(spark, sf):
     """Path length, sinuosity (1 if degenerate) and directness."""
-    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(STEP), F.col("y") - F.lag("y").over(STEP)))
+    p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step())))
     t = p.groupBy("trip").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("path"), F.hypot(F.max_by("x", "seq") - F.min_by("x", "seq"), F.max_by("y", "seq") - F.min_by("y", "seq")).alias("chord"))
     return t.select("trip", F.round("path", 4).alias("path"), F.round(F.when(F.col("chord") > 1e-9, F.col("path") / F.col("chord")).otherwise(1.0), 4).alias("sinuosity"), F.round(F.when(F.col("path") > 1e-9, F.col("chord") / F.col("path")).otherwise(1.0), 4).alias("directness"))
 
@@ -167,7 +172,7 @@ register("seq_qgrams", qgrams, f"WITH {V.RUNS}, g AS (SELECT DISTINCT trip, cell
 
 
 def textures(spark, sf):
-    r = V.runs(spark, sf).withColumn("b", F.lead("cell").over(STEP)).where("b IS NOT NULL")
+    r = V.runs(spark, sf).withColumn("b", F.lead("cell").over(step())).where("b IS NOT NULL")
     r = r.withColumn("mass", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("trip")))
     return r.groupBy(S.texture(F.col("cell"), F.col("b")).alias("bucket")).agg(F.round(F.sum("mass"), 6).alias("mass"))
 
