@@ -29,6 +29,8 @@ SAMPLE = 400
 #: Weight of what no labelled page has shown: words, tags.
 WORD_WEIGHT, TAG_WEIGHT = 1.0, -0.2
 BOUND = 4.0
+#: Least weight of a tag inside an article or main element.
+IN_ARTICLE = -0.05
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -117,9 +119,12 @@ def scored(html: str, weights: dict[str, float]) -> str:
     """The text of the best stretch."""
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     seen = list(tokens(html))
-    for i, (kind, feature, text, _, _) in enumerate(seen):
+    for i, (kind, feature, text, held, off) in enumerate(seen):
         if kind:
             w = weights.get("<" + feature, TAG_WEIGHT)
+            w = max(w, IN_ARTICLE) if held else w
+        elif held and off:
+            w = 0.0  # left out of the text anyway, so it shall not cut the article
         else:
             k = len(text.split())
             w = k * weights.get(feature, -WORD_WEIGHT if feature == "apart" else WORD_WEIGHT) if k else 0.0
