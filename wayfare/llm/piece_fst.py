@@ -36,7 +36,7 @@ from .common import in_arrow, runs, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Entries of a worker's tables; a full one becomes the older one, which gives up what is used again. Longer stretches are not kept.
-KEPT, PAIRS, KEPT_LENGTH = 300_000, 100_000, 24
+KEPT, PAIRS, KEPT_LENGTH = 300_000, 250_000, 24
 
 # Piece types and field numbers of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -127,16 +127,19 @@ class Transducer:
 
     def merged(self, s: str) -> list[str]:
         """What merging gives: the neighbours whose joined text scores highest, leftmost first, until none is a piece."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
+        parts, score, none = list(s), self.score.get, float("-inf")
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = scores.index(best)
+            parts[at] += parts.pop(at + 1)
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def together(self, a: str, b: str) -> bool:
@@ -151,39 +154,53 @@ class Transducer:
 
     def path(self, s: str) -> list[str]:
         """Arc inputs of the shortest path over one stretch."""
-        n, get, bpe, longest, low = len(s), self.score.get, self.kind == BPE, self.longest, self.low
-        pairs = self.pairs
-        cost: list[float | None] = [0.0] + [None] * n
+        return self._accepted(s) if self.kind == BPE else self._lightest(s)
+
+    def _lightest(self, s: str) -> list[str]:
+        """Least sum of weights, position by position; a weight is a piece's negative score."""
+        n, get = len(s), self.score.get
+        cost, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
+        for i in range(1, n + 1):
+            for j in range(max(0, i - self.longest), i):
+                piece = s[j:i]
+                weight = get(piece, self.low if j == i - 1 else None)
+                if weight is not None and cost[j] - weight < cost[i]:
+                    cost[i], last[i] = cost[j] - weight, piece
+        return self._traced(last)
+
+    def _accepted(self, s: str) -> list[str]:
+        """The path that the acceptor leaves. At most one piece ends it at each position, so its weight need not be added up."""
+        n, known, longest, pairs = len(s), self.ids, self.longest, self.pairs
         last = [""] * (n + 1)
         for i in range(1, n + 1):
-            best, name = None, ""
             for j in range(i - longest if i > longest else 0, i):
                 piece = s[j:i]
-                weight = get(piece)
-                if weight is None:
-                    if j != i - 1:
-                        continue
-                    weight = low
-                before = cost[j]
-                if before is None:
-                    continue
-                if bpe and j:
-                    ok = pairs.get((last[j], piece))
-                    if not (self.together(last[j], piece) if ok is None else ok):
-                        continue
-                if best is None or before - weight < best:
-                    best, name = before - weight, piece
-                    if bpe:
-                        break  # no other piece ends the merged text here
-            cost[i], last[i] = best, name
-        if cost[n] is None:
+                if piece in known:
+                    if j:
+                        before = last[j]
+                        if not before:
+                            continue
+                        ok = pairs.get((before, piece))
+                        if not (self.together(before, piece) if ok is None else ok):
+                            continue
+                    last[i] = piece
+                    break
+            else:
+                if s[i - 1] not in known and (i == 1 or last[i - 1]):
+                    last[i] = s[i - 1]
+        if not last[n]:
             return self.merged(s)
-        out = []
+        out = self._traced(last)
+        return out if all(map(self.proper, out)) else self.merged(s)
+
+    @staticmethod
+    def _traced(last: list[str]) -> list[str]:
+        out, n = [], len(last) - 1
         while n:
             out.append(last[n])
             n -= len(last[n])
         out.reverse()
-        return out if not bpe or all(map(self.proper, out)) else self.merged(s)
+        return out
 
     def proper(self, piece: str) -> bool:
         """Whether merging a piece's own characters gives the piece; if not, pairs decide nothing about it."""
