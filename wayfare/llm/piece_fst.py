@@ -94,6 +94,10 @@ class Transducer:
         self.ids = {p: i for i, (p, _, t) in enumerate(self.pieces) if t in (NORMAL, USER)}
         self.score = {p: self.pieces[i][1] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[str, int] = {}  # last three characters: the longest piece that ends so
+        for p in self.ids:
+            if len(p) >= 3:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 3))
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
         fallback = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.fallback = fallback if len(fallback) == 256 else None
@@ -170,10 +174,11 @@ class Transducer:
 
     def _accepted(self, s: str) -> list[str]:
         """The path that the acceptor leaves. At most one piece ends it at each position, so its weight need not be added up."""
-        n, known, longest, pairs = len(s), self.ids, self.longest, self.pairs
+        n, known, reach, pairs = len(s), self.ids, self.reach.get, self.pairs
         last = [""] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            far = reach(s[i - 3 : i], 2) if i >= 3 else i
+            for j in range(i - far if i > far else 0, i):
                 piece = s[j:i]
                 if piece in known:
                     if j:
