@@ -36,7 +36,7 @@ from .common import in_arrow, runs, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Entries of a worker's tables; a full one becomes the older one, which gives up what is used again. Longer stretches are not kept.
-KEPT, PAIRS, KEPT_LENGTH = 300_000, 250_000, 24
+KEPT, PAIRS, KEPT_LENGTH = 450_000, 400_000, 24
 
 # Piece types and field numbers of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
