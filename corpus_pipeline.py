@@ -12,6 +12,8 @@ from wayfare.llm.common import cut, table
 LEAST_SCORE = 0.5
 #: Shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
+#: Entries of the last stage's tables in a worker, which the other stages' tasks share.
+TABLE = 80_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_pieces, round_trip, ids) of every row."""
     own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return piece_fst.encode(own.select("doc_id", "source", "text"), keep=("doc_id", "source"))
+    return piece_fst.encode(own.select("doc_id", "source", "text"), keep=("doc_id", "source"), kept=TABLE, pairs=TABLE)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("private_values", private_values), ("mixture", mixture), ("pieces", pieces)]

@@ -74,7 +74,8 @@ def fields(b: bytes):
 class Transducer:
     """A compiled model."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, kept: int = KEPT, pairs: int = PAIRS):
+        self.most_kept, self.most_pairs = kept, pairs
         self.pieces: list[tuple[str, float, int]] = []
         self.kind, self.dummy, self.squeeze, self.escape, name, charsmap = UNIGRAM, True, True, True, "", b""
         for f, v in fields(data):
@@ -151,7 +152,7 @@ class Transducer:
         ok = self.old_pairs.get((a, b))
         if ok is None:
             ok = self.merged(a + b) == [a, b]
-        if len(self.pairs) >= PAIRS:
+        if len(self.pairs) >= self.most_pairs:
             self.old_pairs, self.pairs = self.pairs, {}
         self.pairs[a, b] = ok
         return ok
@@ -230,7 +231,7 @@ class Transducer:
                     ids.extend(self.fallback[b] for b in p.encode("utf-8", "surrogatepass"))
             got = struct.pack(f"<{len(ids)}i", *ids)
         if len(s) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT:
+            if len(self.kept) >= self.most_kept:
                 self.old_kept, self.kept = self.kept, {}
             self.kept[s] = got
         return got
@@ -244,20 +245,21 @@ class Transducer:
         return out[1:] if self.dummy and out.startswith(" ") else out
 
 
-@lru_cache(maxsize=2)
-def compiled(model: bytes) -> Transducer:
-    return Transducer(model)
+@lru_cache(maxsize=1)
+def compiled(model: bytes, kept: int = KEPT, pairs: int = PAIRS) -> Transducer:
+    return Transducer(model, kept, pairs)
 
 
-def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), kept: int = KEPT, pairs: int = PAIRS) -> DataFrame:
     """The columns `keep` with ids array<int>, n_pieces, and round_trip: whether decoding gives the normalised text again.
 
-    The model file is read by the driver and sent with the tasks.
+    The model file is read by the driver and sent with the tasks. kept and pairs bound the tables of a worker, which
+    outlive a task: they trade its memory for time and change no result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(open(model, "rb").read())  # the file's own size
 
     def make(batches):
-        t = compiled(shared.value)
+        t = compiled(shared.value, kept, pairs)
         for b in batches:
             parts = texts(b.column("text"))
             for lo, hi in runs([len(x) + 1 for x in parts]):
