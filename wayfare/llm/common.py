@@ -104,8 +104,25 @@ def wrapping_powers(n: int, inverse: bool = False) -> np.ndarray:
     return _tables[inverse]
 
 
+#: Symbols that span_hashes turns into arrays at once; a single longer span makes a window of its own.
+WINDOW = 1 << 18
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of symbols, by their content alone."""
+    """64-bit hashes of the spans [start, end) of symbols, by their content alone. Spans come in ascending order.
+
+    Spans are hashed window by window, since the arrays of one window are many times as large as its symbols.
+    """
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        first = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, first + WINDOW, side="right")))
+        out[lo:hi] = _hashes(symbols[first : ends[hi - 1]], starts[lo:hi] - first, ends[lo:hi] - first)
+        lo = hi
+    return out
+
+
+def _hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(symbols)
     h = np.zeros(n + 1, np.uint64)
     np.cumsum(mixed(symbols.astype(np.uint64) + np.uint64(1)) * wrapping_powers(n)[:n], out=h[1:])
