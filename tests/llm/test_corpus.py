@@ -352,3 +352,18 @@ def test_pipeline(spark, docs, odd, none):
         for _, stage in C.STAGES[:-1]:
             assert stage(spark, df, SF).columns == df.columns
         assert C.pieces(spark, df, SF).count() == df.count()
+
+
+def test_span_hashes_do_not_depend_on_windows():
+    from wayfare.llm import common
+
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(97, 100, 700_000).astype(np.uint8)
+    starts = np.concatenate([np.arange(0, 300_000, 7), [300_100], np.arange(680_000, 699_000, 9)])
+    ends = np.concatenate([np.arange(0, 300_000, 7) + 6, [680_000], np.arange(680_000, 699_000, 9) + 9])
+    got = common.span_hashes(symbols, starts, ends)
+    assert (got == common._hashes(symbols, starts, ends)).all()
+    same = {}
+    for i, h in enumerate(got[:3000]):
+        assert same.setdefault(symbols[starts[i] : ends[i]].tobytes(), h) == h
+    assert len(common.span_hashes(symbols, starts[:0], ends[:0])) == 0
