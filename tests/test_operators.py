@@ -195,3 +195,29 @@ def test_sessions_on_a_stream(spark, tmp_path):
     q.stop()
     got, want = spark.table("sessions_out"), sessions(e)
     assert 0 < got.count() <= want.count()
+
+
+def test_curves_by_brute_force(spark):
+    from wayfare.operators import curves
+
+    def walks(i, j, n, m):
+        yield from ([[(i, j)]] if (i, j) == (n - 1, m - 1) else ([(i, j), *w] for p, q in ((1, 0), (0, 1), (1, 1)) if i + p < n and j + q < m for w in walks(i + p, j + q, n, m)))
+
+    rng = random.Random(4)
+    draw = lambda n: [(float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(n)]
+    rows = [(i, draw(rng.randrange(5)), draw(rng.randrange(5))) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>")
+    got = {r["k"]: r for r in curves.compared(df, ["k"]).collect()}
+    for k, a, b in rows:
+        if not a or not b:
+            assert got[k]["dtw"] is None or np.isnan(got[k]["dtw"])
+            continue
+        each = [[float(np.hypot(a[i][0] - b[j][0], a[i][1] - b[j][1])) for i, j in w] for w in walks(0, 0, len(a), len(b))]
+        assert got[k]["dtw"] == pytest.approx(min(map(sum, each)) / (len(a) + len(b))) and got[k]["frechet"] == pytest.approx(min(map(max, each)))
+
+
+def test_curves_of_trips(spark):
+    from wayfare import registry
+
+    found = registry.queries()["seq_curves"](spark, "/root/testdata/sf0.001").collect()
+    assert found and all(r["dtw"] >= 0 and r["frechet"] >= r["dtw"] and r["other"] > r["trip"] for r in found)
