@@ -221,3 +221,28 @@ def test_curves_of_trips(spark):
 
     found = registry.queries()["seq_curves"](spark, "/root/testdata/sf0.001").collect()
     assert found and all(r["dtw"] >= 0 and r["frechet"] >= r["dtw"] and r["other"] > r["trip"] for r in found)
+
+
+def test_hops_reach_the_end_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(70)], "u long, v long")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {r["node"]: r["hops"] for r in G.hop_distances(e, 0).collect()} == {i: i for i in range(71)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_paths_between_all_nodes(spark):
+    from wayfare import registry
+    from wayfare.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    net = {(r["u"], r["v"]): 1.0 + (r["u"] * 13 + r["v"] * 7) % 10 for r in V.edges(spark, sf).select("u", "v").distinct().collect()}
+    nodes = {x for p in net for x in p}
+    d = {(a, b): 0.0 if a == b else net.get((a, b), float("inf")) for a in nodes for b in nodes}
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                d[a, b] = min(d[a, b], d[a, k] + d[k, b])
+    got = {(r["src"], r["dst"]): r["length"] for r in registry.queries()["graph_all_shortest_paths"](spark, sf).collect()}
+    assert got == {p: x for p, x in d.items() if x < float("inf")} and len(got) == len(nodes) ** 2

@@ -7,6 +7,7 @@ been checked; requests are distributed. Components run on edge tables of any siz
 from __future__ import annotations
 
 import heapq
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -177,18 +178,17 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return requests.select("src", "dst").distinct().mapInPandas(route, "src long, dst long, path array<long>, length double")
 
 
-def hop_distances(edges: DataFrame, source: int, most: int = 64) -> DataFrame:
-    """(node, hops) from one node along directed edges, by rounds over the frontier."""
+def hop_distances(edges: DataFrame, source: int) -> DataFrame:
+    """(node, hops) from one node along directed edges, by rounds over the frontier until it is empty."""
     spark = edges.sparkSession
     seen = spark.createDataFrame([(source, 0)], "node long, hops int")
     e = _written(edges.select("u", "v").distinct())
     front = seen
-    for i in range(1, most + 1):
+    for i in itertools.count(1):
         front = _written(front.join(e, front["node"] == e["u"]).select(F.col("v").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(i)))
         if front.limit(1).count() == 0:
             return seen
         seen = _written(seen.union(front))
-    return seen
 
 
 def farthest_points(points: np.ndarray, k: int, first: int = 0) -> list[int]:

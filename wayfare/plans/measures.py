@@ -91,7 +91,7 @@ register("dp_log_lift", lift, f"WITH {V.EV}, c AS (SELECT cell, count(*) AS n FR
 
 
 def _network(spark, sf):
-    """Edges of rarely used pairs are left out, so that the graph falls into parts."""
+    """The pairs with (u * 25 + v) % 11 = 0 only, about one in eleven, so that the graph falls into parts; the graph_all_ queries take all."""
     e = V.edges(spark, sf).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
     return e.where("(u * 25 + v) % 11 = 0").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), (1.0 + (F.col("u") * 13 + F.col("v") * 7) % 10).alias("length"))
 
@@ -102,7 +102,7 @@ register("graph_hops", lambda s, d: G.hop_distances(_network(s, d), 1), f"WITH R
 
 
 def paths(spark, sf):
-    """Shortest lengths between all nodes of the network as requests."""
+    """Shortest lengths in the thinned network from nodes divisible by 5 to nodes divisible by 7."""
     n = _network(spark, sf)
     nodes = n.select("u").union(n.select("v")).distinct()
     asked = nodes.where("u % 5 = 0").select(F.col("u").alias("src")).crossJoin(F.broadcast(nodes.where("u % 7 = 0").select(F.col("u").alias("dst"))))
@@ -120,6 +120,32 @@ def quotient(spark, sf):
 register("graph_quotient", quotient, f"WITH {_NET}, q AS (SELECT a.n_regionkey AS ru, b.n_regionkey AS rv, length FROM net JOIN nation a ON a.n_nationkey = u JOIN nation b ON b.n_nationkey = v WHERE a.n_regionkey <> b.n_regionkey) SELECT ru, rv, count(*) AS crossings, round(sum(CAST(1 AS DOUBLE) / length), 6) AS weight FROM q GROUP BY ru, rv")
 
 
+def _whole_network(spark, sf):
+    """Every directed pair of neighbouring hops, with the lengths of _network."""
+    e = V.edges(spark, sf).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
+    return e.withColumn("length", 1.0 + (F.col("u") * 13 + F.col("v") * 7) % 10)
+
+
+def all_paths(spark, sf):
+    """Shortest lengths between all pairs of nodes; unreachable pairs have no row."""
+    n = _whole_network(spark, sf)
+    nodes = n.select("u").union(n.select("v")).distinct()
+    asked = nodes.select(F.col("u").alias("src")).crossJoin(F.broadcast(nodes.select(F.col("u").alias("dst"))))
+    return _rounded(G.shortest_paths(asked, n).where("length IS NOT NULL").select("src", "dst", "length"))
+
+
+def all_quotient(spark, sf):
+    labels = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("region"))
+    return _rounded(G.quotient(_whole_network(spark, sf), labels))
+
+
+_ALL = f"{V.EDGES}, net AS (SELECT DISTINCT u, v, 1.0 + (u * 13 + v * 7) % 10 AS length FROM edges)"
+register("graph_all_components", lambda s, d: G.weak_components(_whole_network(s, d)), f"WITH RECURSIVE {_ALL}, un AS (SELECT u, v FROM net UNION SELECT v, u FROM net), walk AS (SELECT u AS node, u AS root FROM un UNION SELECT un.v, walk.root FROM walk JOIN un ON walk.node = un.u) SELECT CAST(node AS BIGINT) AS node, CAST(min(root) AS BIGINT) AS root FROM walk GROUP BY node")
+register("graph_all_hops", lambda s, d: G.hop_distances(_whole_network(s, d), 1), f"WITH RECURSIVE {_ALL}, walk(node, hops) AS (SELECT 1, 0 UNION SELECT net.v, hops + 1 FROM walk JOIN net ON net.u = walk.node WHERE hops < (SELECT count(*) FROM nation)) SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS INT) AS hops FROM walk GROUP BY node")
+register("graph_all_shortest_paths", all_paths)
+register("graph_all_quotient", all_quotient, f"WITH {_ALL}, q AS (SELECT a.n_regionkey AS ru, b.n_regionkey AS rv, length FROM net JOIN nation a ON a.n_nationkey = u JOIN nation b ON b.n_nationkey = v WHERE a.n_regionkey <> b.n_regionkey) SELECT ru, rv, count(*) AS crossings, round(sum(CAST(1 AS DOUBLE) / length), 6) AS weight FROM q GROUP BY ru, rv")
+
+
 def crossing_portals(spark, sf):
     c = V.edges(spark, sf).where("ru != rv").groupBy("ru", "rv", "u", "v").agg(F.count(F.lit(1)).alias("weight"))
     return G.portals(c, 3).select("ru", "rv", "u", "v", "nth", "offset")
