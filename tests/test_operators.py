@@ -246,3 +246,15 @@ def test_paths_between_all_nodes(spark):
                 d[a, b] = min(d[a, b], d[a, k] + d[k, b])
     got = {(r["src"], r["dst"]): r["length"] for r in registry.queries()["graph_all_shortest_paths"](spark, sf).collect()}
     assert got == {p: x for p, x in d.items() if x < float("inf")} and len(got) == len(nodes) ** 2
+
+
+def test_every_even_vector_is_linked(spark):
+    from wayfare import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows}
+    release = np.array([v for k, v in x.items() if k % 2])
+    want = {k: float(np.linalg.norm(release - v, axis=1).min()) for k, v in x.items() if k % 2 == 0}
+    got = {r["vec_id"]: r["distance"] for r in registry.queries()["attack_linkage_all"](spark, sf).collect()}
+    assert len(got) > 64 and got == pytest.approx(want, abs=1e-4)

@@ -198,6 +198,40 @@ def linkage(spark, sf):
 register("attack_linkage", linkage, f"WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 0 ORDER BY sha256(CAST(vec_id AS VARCHAR)) LIMIT {QUERIES}) SELECT q.vec_id, round(min(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 4) AS distance FROM q, embeddings e WHERE e.vec_id % 2 = 1 GROUP BY q.vec_id")
 
 
+#: Vectors of a block; two blocks are compared as one matrix.
+VECTORS = 512
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _blocks(e, names):
+    """Rows of at most about VECTORS vectors, dealt by a hash."""
+    n = e.count()
+    of = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(max(1, -(-n // VECTORS))))
+    return e.groupBy(of.alias("_block")).agg(F.collect_list("vec_id").alias(names[0]), F.collect_list("embedding").alias(names[1])).select(*names)
+
+
+def full_linkage(spark, sf):
+    """Distance of every even vector to the nearest odd one: all pairs of blocks are compared, and each block of queries keeps its least distances."""
+    e = V.table(spark, sf, "embeddings").select("vec_id", "embedding").where("embedding IS NOT NULL")
+    asked, release = _blocks(e.where("vec_id % 2 = 0"), ("ids", "q")), _blocks(e.where("vec_id % 2 = 1"), ("others", "x"))
+
+    def nearest(batches):
+        for p in batches:
+            for ids, q, x in zip(p["ids"], p["q"], p["x"], strict=True):
+                q, x = np.array(q.tolist(), float), np.array(x.tolist(), float)
+                at = ((x**2).sum(axis=1)[None, :] - 2 * (q @ x.T)).argmin(axis=1)
+                yield pd.DataFrame({"vec_id": ids, "distance": np.sqrt(((q - x[at]) ** 2).sum(axis=1))})
+
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))  # a row holds two blocks
+    pairs = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).crossJoin(release.select("x"))
+    d = pairs.mapInPandas(nearest, "vec_id long, distance double").groupBy("vec_id").agg(F.min("distance").alias("distance"))
+    return _rounded(d, 4)
+
+
+register("attack_linkage_all", full_linkage)
+
+
 def bootstrap(spark, sf):
     """Paired bootstrap of the mean difference of two prices by hash draws: every row has a Poisson weight for each draw, so no row is shuffled."""
     o = V.table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000 - 100).alias("x"))
