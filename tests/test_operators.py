@@ -258,3 +258,17 @@ def test_every_even_vector_is_linked(spark):
     want = {k: float(np.linalg.norm(release - v, axis=1).min()) for k, v in x.items() if k % 2 == 0}
     got = {r["vec_id"]: r["distance"] for r in registry.queries()["attack_linkage_all"](spark, sf).collect()}
     assert len(got) > 64 and got == pytest.approx(want, abs=1e-4)
+
+
+def test_paired_bootstrap(spark):
+    from wayfare.plans import measures
+
+    rng = np.random.default_rng(3)
+    d = rng.normal(0.2, 1.0, 400)
+    found = measures.paired(spark.createDataFrame([(i, float(x)) for i, x in enumerate(d)], "id long, d double"), 2000).first()
+    means = d[rng.integers(0, 400, (2000, 400))].mean(axis=1)
+    assert found["n"] == 400 and found["draws"] == 2000 and found["difference"] == pytest.approx(d.mean())
+    assert (found["low"], found["high"]) == pytest.approx(tuple(np.quantile(means, (0.025, 0.975))), abs=0.02)
+    assert 1 / 2001 <= found["p"] == pytest.approx((1 + (means <= 0).sum()) / 2001, abs=0.01)
+    same = spark.createDataFrame([(i, 0.0) for i in range(9)], "id long, d double")
+    assert measures.paired(same, 100).first()["p"] == 1
