@@ -272,3 +272,19 @@ def test_paired_bootstrap(spark):
     assert 1 / 2001 <= found["p"] == pytest.approx((1 + (means <= 0).sum()) / 2001, abs=0.01)
     same = spark.createDataFrame([(i, 0.0) for i in range(9)], "id long, d double")
     assert measures.paired(same, 100).first()["p"] == 1
+
+
+def test_nearest_curves_by_brute_force(spark):
+    from wayfare.operators import curves
+
+    rng = random.Random(5)
+    draw = lambda: [(float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(rng.randrange(1, 5))]
+    real = [(i, *key, draw()) for i, key in enumerate([(0, 0, 1)] * 4 + [(0, 0, 2)] * 3 + [(5, 5, 1)] * 3)]
+    syn = [(100 + i, *key, draw()) for i, key in enumerate([(0, 0, 1)] * 5 + [(0, 0, 0)] * 4 + [(7, 7, 3)] * 2)]
+    schema = "trip long, o int, d int, bin int, points array<struct<x: double, y: double>>"
+    found = {r["trip"]: r for r in curves.nearest(spark.createDataFrame(real, schema), spark.createDataFrame(syn, schema), 2).collect()}
+    assert sorted(found) == list(range(10))
+    for t, o, d, b, points in real:
+        pool = [s for s in syn if s[1:4] == (o, d, b)] or [s for s in syn if s[1:4] == (o, d, 0)] or syn
+        warp, leash = curves.distances([[{"x": x, "y": y} for x, y in points]] * len(pool), [[{"x": x, "y": y} for x, y in s[4]] for s in pool])
+        assert found[t]["pool"] == len(pool) and found[t]["dtw"] == pytest.approx(warp.min()) and found[t]["frechet"] == pytest.approx(leash.min())

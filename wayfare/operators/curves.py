@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,11 @@ def distances(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     """Warping distance (cost of the cheapest alignment over the sum of lengths) and discrete Frechet distance of each pair; nan if one is empty."""
     x, n = _padded(a, max(map(len, a), default=0))
     y, m = _padded(b, max(map(len, b), default=0))
-    warp = np.full((len(a), x.shape[1], y.shape[1]), np.inf)
+    return _measured(x, n, y, m)
+
+
+def _measured(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    warp = np.full((len(x), x.shape[1], y.shape[1]), np.inf)
     leash = np.full_like(warp, np.inf)
     for i in range(x.shape[1]):
         d = np.linalg.norm(x[:, i, None] - y, axis=2)
@@ -33,7 +38,7 @@ def distances(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
                 leash[:, i, j] = np.maximum(d[:, j], np.min([leash[:, p, q] for p, q in before], axis=0))
             else:
                 warp[:, 0, 0] = leash[:, 0, 0] = d[:, 0]
-    rows, some = np.arange(len(a)), (n > 0) & (m > 0)
+    rows, some = np.arange(len(x)), (n > 0) & (m > 0)
     last = rows, np.maximum(n - 1, 0), np.maximum(m - 1, 0)
     return np.where(some, warp[last] / np.maximum(n + m, 1), np.nan), np.where(some, leash[last], np.nan)
 
@@ -50,3 +55,56 @@ def compared(pairs: DataFrame, keep: list[str]) -> DataFrame:
 
     fields = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
     return pairs.select(*keep, "a", "b").mapInPandas(measure, f"{fields}, dtw double, frechet double")
+
+
+KEY = ["o", "d", "bin"]
+#: Cells of distance tables that are filled at once.
+CELLS = 1 << 19
+
+
+def _block_pairs(batches):
+    """For each pair of blocks the least distances of its real trips."""
+    for p in batches:
+        kinds = [p.schema.field(c).type.value_type for c in ("trips", "others")]
+        for trips, a, others, b in zip(*(p.column(c).to_pylist() for c in ("trips", "a", "others", "b")), strict=True):
+            (x, n), (y, m) = (_padded(v, max(map(len, v))) for v in (a, b))
+            warp, leash = np.empty(len(n) * len(m)), np.empty(len(n) * len(m))
+            step = max(1, CELLS // (x.shape[1] * y.shape[1]))
+            for lo in range(0, len(warp), step):
+                i, j = np.divmod(np.arange(lo, min(lo + step, len(warp))), len(m))
+                warp[lo : lo + step], leash[lo : lo + step] = _measured(x[i], n[i], y[j], m[j])
+            warp, leash = warp.reshape(len(n), -1), leash.reshape(len(n), -1)
+            best = warp.argmin(axis=1)
+            cols = [pa.array(trips, kinds[0]), pa.array([others[i] for i in best], kinds[1]), pa.array(warp[np.arange(len(n)), best]), pa.array(leash.min(axis=1)), pa.array([len(m)] * len(n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["trip", "other", "dtw", "frechet", "pool"])
+
+
+def _dealt(df: DataFrame, key: list[str], most: int, trips: str, points: str) -> DataFrame:
+    """Blocks of about `most` trips with one key."""
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    df = df.join(sizes, key) if key else df.crossJoin(F.broadcast(sizes))
+    of = F.pmod(F.xxhash64("trip"), F.ceil(F.col("_n") / most))
+    return df.groupBy(*key, of.alias("_block")).agg(F.collect_list("trip").alias(trips), F.collect_list("points").alias(points)).drop("_block")
+
+
+def nearest(real: DataFrame, syn: DataFrame, most: int = 64) -> DataFrame:
+    """(trip, other, dtw, frechet, pool): each real trip's least distances to all synthetic trips of its pool, and the trip of the least dtw.
+
+    Both have (trip, o, d, bin, points). The pool is the synthetic trips of the same o, d and bin; if there are none,
+    those of o and d with bin 0; if there are none either, all. A synthetic trip without a bin is in the last pool only.
+    Pools meet in blocks of about `most` trips.
+    """
+    spark = real.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # a row holds two blocks
+    keys = syn.where("bin IS NOT NULL").select(*KEY).distinct()
+    r = real.join(keys.withColumn("exact", F.lit(True)), KEY, "left")
+    r = r.join(keys.where("bin = 0").select("o", "d", F.lit(True).alias("coarse")), ["o", "d"], "left")
+    r = r.withColumn("bin", F.when(F.col("exact"), F.col("bin")).when(F.col("coarse"), F.lit(0)))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = _dealt(r.where("bin IS NOT NULL"), KEY, most, "trips", "a").join(_dealt(syn.where("bin IS NOT NULL"), KEY, most, "others", "b"), KEY).drop(*KEY).repartition(n)
+    rest = _dealt(r.where("bin IS NULL"), [], most, "trips", "a").repartition(n).crossJoin(_dealt(syn, [], most, "others", "b"))
+    kind = f"trip {real.schema['trip'].dataType.simpleString()}, other {syn.schema['trip'].dataType.simpleString()}, dtw double, frechet double, pool long"
+    found = met.unionByName(rest).mapInArrow(_block_pairs, kind)
+    best = found.groupBy("trip").agg(F.min(F.struct("dtw", "other")).alias("best"), F.min("frechet").alias("frechet"), F.sum("pool").alias("pool"))
+    return best.select("trip", "best.other", "best.dtw", "frechet", "pool")

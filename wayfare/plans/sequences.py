@@ -205,7 +205,7 @@ register("src_gap_segments", gap_segments, "WITH e AS (SELECT user_id, event_id,
 
 
 def nearest_curves(spark, sf):
-    """Each real trip with the synthetic trip of the nearest larger number, among those with its first and last cell: both distances on 32 points."""
+    """One pair a trip, not its nearest (that is seq_nearest_curves): each real trip with the synthetic trip of the nearest larger number, among those with its first and last cell: both distances on 32 points."""
     p = V.points(spark, sf).withColumn("cell", S.cell(F.col("x"), BOX[0], BOX[1], 4) * 4 + S.cell(F.col("y"), BOX[2], BOX[3], 4))
     t = p.groupBy("trip", "side").agg(F.min_by("cell", "seq").alias("o"), F.max_by("cell", "seq").alias("d"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", (F.col("y") / 1000).alias("y")))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
     t = t.withColumn("points", S.sampled(F.col("points"), 32))
@@ -216,3 +216,16 @@ def nearest_curves(spark, sf):
 
 
 register("seq_curves", nearest_curves)
+
+
+def pooled_curves(spark, sf):
+    """Each real trip's least distances over all synthetic trips with its end cells and length bin, else with its end cells and bin 0, else over all; on 32 points."""
+    p = V.points(spark, sf).withColumn("cell", S.cell(F.col("x"), BOX[0], BOX[1], 4) * 4 + S.cell(F.col("y"), BOX[2], BOX[3], 4)).withColumn("y", F.col("y") / 1000)
+    p = p.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step())))
+    t = p.groupBy("trip", "side").agg(F.min_by("cell", "seq").alias("o"), F.max_by("cell", "seq").alias("d"), F.least(F.lit(5), F.floor(F.log1p(F.sum("step")))).cast("int").alias("bin"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
+    t = t.withColumn("bin", F.when(F.size("points") >= 2, F.col("bin"))).withColumn("points", S.sampled(F.col("points"), 32))
+    found = curves.nearest(t.where("side = 0 AND bin IS NOT NULL").drop("side"), t.where("side = 1").drop("side"))
+    return found.select("trip", "other", F.round("dtw", 6).alias("dtw"), F.round("frechet", 6).alias("frechet"), "pool")
+
+
+register("seq_nearest_curves", pooled_curves)
