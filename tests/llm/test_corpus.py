@@ -367,3 +367,16 @@ def test_span_hashes_do_not_depend_on_windows():
     for i, h in enumerate(got[:3000]):
         assert same.setdefault(symbols[starts[i] : ends[i]].tobytes(), h) == h
     assert len(common.span_hashes(symbols, starts[:0], ends[:0])) == 0
+
+
+def test_values_beside_numbers(spark):
+    card, rows = "4785380592391139", ["{} 123", "12 {}", "7 {} 55-12 9", "{} 123-45-6789"]
+    rows = [r.format(card) for r in rows] + ["call 743 555 3824.", "+1 743 555 3824", "12/25/1990 and 02/29/2000", "1 2 3 " * 4000 + card]
+    got = [r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    new = re.search(r"\d{16}", got[0])[0]
+    assert new != card and got[0] == f"{new} 123" and got[1] == f"12 {new}" and got[2] == f"7 {new} 55-12 9"
+    assert got[3].startswith(f"{new} ") and re.fullmatch(r"\d{16} \d{3}-\d{2}-\d{4}", got[3]) and "123-45-6789" not in got[3]
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4}\.", got[4]) and "3824" not in got[4] and re.fullmatch(r"\+1 \d{3} \d{3} \d{4}", got[5]) and "3824" not in got[5]
+    first, leap = re.fullmatch(r"(\d\d/\d\d/\d{4}) and (02/29/\d{4})", got[6]).groups()
+    assert first != "12/25/1990" and leap != "02/29/2000" and int(first[:2]) <= 12 < int(first[3:5])
+    assert card not in got[7]

@@ -24,13 +24,13 @@ ROUNDS = 8
 
 # Patterns of the formats.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
-PHONE = r"(?<![\d.])(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.])(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"
+RUN = r"(?<![\d.-])\d[\d -]{11,}\d(?![\d-])"  # groups of digits that may hold cards
+PHONE = r"(?<![\d.])(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d|[.-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d/-]|\.\d)"
 SECRET = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key)\s?[=:]\s?(?:\"[^\"\s]{6,}\"|[A-Za-z0-9+/_-]{6,}={0,2})"
-ANY = "|".join((EMAIL, SECRET, DATE, IP, SSN, PHONE, CARD))
+ANY = "|".join((EMAIL, SECRET, DATE, IP, SSN, PHONE))
 #: Cheap test that a text may hold a value: two characters that each format has.
 HINT = r"@|[0-9][0-9 .:/()+-]{4}|AKIA|ASIA|[=:]\s?[\"A-Za-z0-9+/_-]"
 
@@ -85,17 +85,71 @@ def with_digits(form: Column, digits: Column) -> Column:
 
 
 def card(x: Column, key: str) -> Column:
-    """All digits but the last are permuted, the last is the new check digit; unchanged if the check fails or all digits are equal."""
+    """All digits but the last are permuted, the last is the new check digit."""
 
     def of(d: Column) -> Column:
         body = F.substring(d, F.lit(1), F.length(d) - 1)
         new = _let(permuted_digits(body, key, "card"), lambda p: F.concat(p, F.pmod(-luhn_sum(p, True), F.lit(10)).cast("string")))
-        good = (luhn_sum(d, False) % 10 == 0) & ~d.rlike(r"^(\d)\1*$")
-        return F.when(good, with_digits(x, new)).otherwise(x)
+        return with_digits(x, new)
 
     return _let(_digits(x), of)
 
 
+def is_card(d: Column) -> Column:
+    """13 to 19 digits with a right check digit, not all equal."""
+    return F.when(F.length(d).between(13, 19), (luhn_sum(d, False) % 10 == 0) & ~d.rlike(r"^(\d)\1*$")).otherwise(F.lit(False))
+
+
+def cards_in_run(x: Column, key: str) -> Column:
+    """struct(text, n): the cards among the groups of digits of one run.
+
+    Every stretch of groups, parted by single characters, is tested. The whole run goes first, then 16 digits, then
+    longer before shorter ones, and the first of equal ones; a stretch that meets one taken before is left.
+    """
+
+    def of(p: Column) -> Column:
+        groups, seps = p["groups"], p["seps"]  # seps[i] stands before groups[i]
+        n = F.size(groups)
+
+        def found(i: Column) -> Column:
+            def one(k: Column) -> Column:
+                d = F.array_join(F.slice(groups, i + 1, k), "")
+                joined = (k == 1) | F.forall(F.slice(seps, i + 2, F.greatest(k - 1, F.lit(1))), lambda g: F.length(g) == 1)
+                rank = F.when(k == n, 0).when(F.length(d) == 16, 1).otherwise(21 - F.length(d))
+                return F.when(joined & is_card(d), F.struct(rank.alias("rank"), i.alias("i"), k.alias("k")))
+
+            return F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), one), lambda c: c.isNotNull())
+
+        able = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), found)))
+        meets = lambda t, c: F.exists(t, lambda o: (o["i"] < c["i"] + c["k"]) & (c["i"] < o["i"] + o["k"]))
+        taken = F.aggregate(able, F.slice(able, 1, 0), lambda t, c: F.when(meets(t, c), t).otherwise(F.concat(t, F.array(c))))
+
+        def written(taken: Column) -> Column:
+            def piece(g: Column, j: Column) -> Column:
+                own = F.filter(taken, lambda t: (t["i"] <= j) & (j < t["i"] + t["k"]))
+                # a card's text: its groups with the separators inside
+                text = lambda t: F.array_join(F.transform(F.slice(groups, t["i"] + 1, t["k"]), lambda q, m: F.concat(F.when(m == 0, F.lit("")).otherwise(F.get(seps, t["i"] + m)), q)), "")
+                first = F.get(own, F.lit(0))
+                return F.when(F.size(own) == 0, F.concat(F.get(seps, j), g)).when(first["i"] == j, F.concat(F.get(seps, j), card(text(first), key))).otherwise(F.lit(""))
+
+            out = F.array_join(F.transform(groups, piece), "")
+            return F.when(F.size(taken) > 0, F.struct(out.alias("text"), F.size(taken).alias("n"))).otherwise(F.struct(x.alias("text"), F.lit(0).alias("n")))
+
+        return _let(taken, written)
+
+    return _let(F.struct(F.regexp_extract_all(x, F.lit(r"\d+"), 0).alias("groups"), F.split(x, r"\d+", -1).alias("seps")), of)
+
+
+def cards(gap: Column, key: str) -> Column:
+    """struct(text, n): text that holds no other value, with its cards replaced, and their number."""
+    parts = F.struct(F.split(gap, RUN, -1).alias("gaps"), F.transform(F.regexp_extract_all(gap, F.lit(RUN), 0), lambda x: cards_in_run(x, key)).alias("new"))
+    done = _let(parts, lambda p: F.struct(
+        F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(p["new"], i)["text"], F.lit("")))), "").alias("text"),
+        F.aggregate(p["new"], F.lit(0), lambda s, z: s + z["n"]).alias("n"),
+    ))
+    return F.when(gap.rlike(RUN), done).otherwise(F.struct(gap.alias("text"), F.lit(0).alias("n")))
+
+
 def plain(x: Column, key: str, name: str, keep: int = 0) -> Column:
     """The last digits after the first `keep` are permuted; separators stay."""
     return _let(_digits(x), lambda d: with_digits(x, F.concat(F.substring(d, F.lit(1), F.length(d) - keep), permuted_digits(F.substring(d, F.length(d) - keep + 1, F.lit(keep)), key, name)) if keep else permuted_digits(d, key, name)))
@@ -114,7 +168,10 @@ def address(x: Column, key: str) -> Column:
 
 
 def date(x: Column, key: str) -> Column:
-    """A date of 1900 to 2099 in its order of parts: (year, day of year) is permuted; December 31st of a leap year among those. Unchanged if there is no such day."""
+    """A date of 1900 to 2099 in its order of parts: (year, day of year) is permuted; December 31st of a leap year among those. Unchanged if there is no such day.
+
+    Where only month before day makes a date, the day is above 12: those are permuted among themselves, February 29th apart.
+    """
     iso = x.rlike(r"^\d{4}-")
     day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).otherwise(F.try_to_date(F.regexp_replace(x, "/", "."), "dd.MM.yyyy"))
 
@@ -125,11 +182,30 @@ def date(x: Column, key: str) -> Column:
         last = _let(feistel((leap / 7).cast("int"), leap % 7, F.lit(7), F.lit(7), key, "leap"), lambda s: F.make_date(((s["a"] * 7 + s["b"]) * 4 + 1904).cast("int"), F.lit(12), F.lit(31)))
         new = F.when(nth == 366, last).otherwise(common)
         text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(x.contains("/"), F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-        return F.when(d.isNull(), x).otherwise(text)
+        return F.when(d.isNull(), month_first(x, key)).otherwise(text)
 
     return _let(day, of)
 
 
+#: Month and day, as 100 * month + day, of the days above 12 of a common year.
+LATE = [100 * m + d for m, n in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(13, n + 1)]
+
+
+def month_first(x: Column, key: str) -> Column:
+    """A date in the order month, day, year whose day is above 12; others stay."""
+
+    def of(d: Column) -> Column:
+        late = F.array(*map(F.lit, LATE))
+        nth = F.array_position(late, F.month(d) * 100 + F.dayofmonth(d))
+        common = _let(feistel(F.year(d) - 1900, nth - 1, F.lit(200), F.lit(len(LATE)), key, "month first"), lambda s: _let(F.get(late, s["b"].cast("int")), lambda q: F.make_date(s["a"].cast("int") + 1900, F.floor(q / 100).cast("int"), q % 100)))
+        leap = ((F.year(d) - 1900) / 4).cast("int") - 1
+        last = _let(feistel((leap / 7).cast("int"), leap % 7, F.lit(7), F.lit(7), key, "february 29"), lambda s: F.make_date(((s["a"] * 7 + s["b"]) * 4 + 1904).cast("int"), F.lit(2), F.lit(29)))
+        new = F.when(nth == 0, last).otherwise(common)
+        return F.when(d.isNull() | x.rlike(r"^\d{4}-"), x).when(x.contains("/"), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "MM.dd.yyyy"))
+
+    return _let(F.try_to_date(F.regexp_replace(x, "/", "."), "MM.dd.yyyy"), of)
+
+
 def email(x: Column, key: str) -> Column:
     part = lambda i, n: F.substring(F.sha2(F.concat(F.lit(key + "|mail|"), F.lower(F.element_at(F.split(x, "@"), i))), 256), 1, n)
     return F.concat(F.lit("u"), part(1, 12), F.lit("@d"), part(2, 8), F.lit(".example"))
@@ -152,19 +228,18 @@ def renamed(x: Column, key: str) -> Column:
         .when(x.rlike(f"^(?:{DATE})$"), date(x, key))
         .when(x.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), address(x, key))
         .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), plain(x, key, "ssn"))
-        .when(x.rlike(r"\(|^(\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$"), plain(x, key, "phone", 10))
-        .otherwise(card(x, key))
+        .otherwise(plain(x, key, "phone", 10))
     )
 
 
 def pseudonymised(text: Column, key: str) -> tuple[Column, Column]:
     """The text with every value replaced, and the number of values changed."""
     gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), 0)
-    pair = F.struct(found.alias("found"), F.transform(found, lambda x: renamed(x, key)).alias("new"), gaps.alias("gaps"))
+    pair = F.struct(found.alias("found"), F.transform(found, lambda x: renamed(x, key)).alias("new"), F.transform(gaps, lambda g: cards(g, key)).alias("gaps"))
     hint = text.rlike(HINT)
     out = F.when(hint, _let(pair, lambda p: F.struct(
-        F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(p["new"], i), F.lit("")))), "").alias("text"),
-        F.size(F.filter(F.arrays_zip(p["found"].alias("f"), p["new"].alias("n")), lambda z: z["f"] != z["n"])).alias("n"),
+        F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g["text"], F.coalesce(F.get(p["new"], i), F.lit("")))), "").alias("text"),
+        (F.size(F.filter(F.arrays_zip(p["found"].alias("f"), p["new"].alias("n")), lambda z: z["f"] != z["n"])) + F.aggregate(p["gaps"], F.lit(0), lambda s, g: s + g["n"])).alias("n"),
     ))).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
     return out, hint
 
