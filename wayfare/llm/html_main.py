@@ -43,8 +43,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?>(?:[^"'>]|"[^"]*"|'[^']*')*)>|<[a-zA-Z/!?][^>]*>|<[a-zA-Z/!?][^>]*\Z|[^<]+|<""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-#: Parts of class and id names of what is not the article.
-APART = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|notification|alert|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
+#: Whole class tokens and ids of what is not the article.
+APART = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|notification|alert|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|login|signup|search)", re.I)
+#: Those of reader comments, which may well be longer than the article.
+COMMENTS = re.compile(r"(?:comments?|commentlist|disqus|respond|replies|reply)", re.I)
+#: Ends of raw elements, found in the text itself: lower() may change its length.
+RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 
 
 def apart(name: str, tag: str, inside: bool) -> str | None:
@@ -55,8 +59,10 @@ def apart(name: str, tag: str, inside: bool) -> str | None:
         return None
     for key, value in ATTR.findall(tag):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and APART.search(value):
-            return "apart"
+        if key in ("class", "id"):
+            named = [x for x in (value.split() if key == "class" else [value.strip()]) if APART.fullmatch(x)]
+            if named:
+                return "comments" if any(COMMENTS.fullmatch(x) for x in named) else "apart"
         if key == "role" and value in ROLES:
             return "role"
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
@@ -64,17 +70,43 @@ def apart(name: str, tag: str, inside: bool) -> str | None:
     return None
 
 
-def tokens(html: str):
-    """(kind, feature, text, inside, held apart): kind 0 a text run, 1 an inline tag, 2 a block tag; inside an article or main element."""
+def tokens(html: str) -> list[tuple]:
+    """(kind, feature, text, inside, held apart): kind 0 a text run, 1 an inline tag, 2 a block tag; inside an article or main element.
+
+    A part whose class or id sets it apart stays if it holds more than half of the page's words, reader comments only
+    if they hold an article or main element too.
+    """
+    parts: list[list] = []
+    seen = list(_tokens(html, frozenset(), parts))
+    kept = frozenset(at for at, why, words, marks, whole in parts if 2 * words > whole and (why == "apart" or marks))
+    return list(_tokens(html, kept, [])) if kept else seen
+
+
+def _tokens(html: str, kept: frozenset, parts: list[list]):
+    """The tokens, of which elements that begin at `kept` are not set apart by name.
+
+    parts gets [place, why, words, article and main elements, words of the page] of those that are; words of raw elements do not count.
+    """
     stack: list[tuple[str, str | None]] = []
+    words = marks = raw_n = 0
+    open_parts: dict[int, list] = {}  # by depth
+
+    def closed(depth: int) -> None:
+        """Ends the parts that are not below `depth`."""
+        nonlocal raw_n
+        raw_n -= sum(x in RAW for x, _ in stack[depth:])
+        for k in [k for k in open_parts if k >= depth]:
+            part = open_parts.pop(k)
+            part[2:4] = words - part[2], marks - part[3]
+
     apart_n = inside_n = 0
     at, n = 0, len(html)
-    low = None
     while at < n:
         m = TOKEN.match(html, at)
         at = m.end()
         t = m.group()
         if t[0] != "<" or t == "<":
+            words += 0 if raw_n else len(t.split())
             yield 0, stack[-1][0] if stack and not apart_n else ("-" if not stack else "apart"), t, inside_n > 0, apart_n > 0
             continue
         found = NAME.match(t)
@@ -84,6 +116,7 @@ def tokens(html: str):
         if t[1] == "/":
             if any(x[0] == name for x in reversed(stack)):
                 while True:
+                    closed(len(stack) - 1)
                     x, why = stack.pop()
                     apart_n -= why is not None
                     inside_n -= x in ("article", "main")
@@ -98,6 +131,7 @@ def tokens(html: str):
                     for x, why in stack[k:]:
                         apart_n -= why is not None
                         inside_n -= x in ("article", "main")
+                    closed(k)
                     del stack[k:]
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
@@ -106,13 +140,23 @@ def tokens(html: str):
         if name in VOID or t[-2] == "/":
             continue
         if name in RAW:
-            low = html.lower() if low is None else low
-            end = low.find("</" + name, at)
-            at = n if end < 0 else end
+            end = RAW_END[name].search(html, at)
+            at = end.start() if end else n
+            raw_n += 1
         why = apart(name, t, inside_n > 0)
+        if why in ("apart", "comments"):
+            if m.start() in kept:
+                why = None
+            else:
+                open_parts[len(stack)] = part = [m.start(), why, words, marks, 0]
+                parts.append(part)
+        marks += name in ("article", "main")
         stack.append((name, why))
         apart_n += why is not None
         inside_n += name in ("article", "main")
+    closed(0)
+    for part in parts:
+        part[4] = words
 
 
 def scored(html: str, weights: dict[str, float]) -> str:
