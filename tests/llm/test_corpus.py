@@ -380,3 +380,23 @@ def test_values_beside_numbers(spark):
     first, leap = re.fullmatch(r"(\d\d/\d\d/\d{4}) and (02/29/\d{4})", got[6]).groups()
     assert first != "12/25/1990" and leap != "02/29/2000" and int(first[:2]) <= 12 < int(first[3:5])
     assert card not in got[7]
+
+
+def test_parts_with_like_names_stay():
+    inner = '<section id="side-effects">Dry mouth and some sleep.</section><h2 id="social-history">Social past</h2><div class="post-header">By the way</div>'
+    text = "Dry mouth and some sleep. Social past By the way"
+    assert html_main.scored(f"<html><body><article>{inner}</article></body></html>", {}) == text
+    assert html_main.scored(f'<html><body><div class="site-content sidebar">{inner}</div></body></html>', {}) == text
+    comments = '<div id="comments"><p>Much longer than the article are the words that its readers leave below it all day</p></div>'
+    assert html_main.scored(f"<html><body><article>{inner}</article>{comments}</body></html>", {}) == text
+    assert html_main.scored(f"<html><body><article>\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130 <SCRIPT>x</Script>one two three</article></body></html>", {}).endswith(" one two three")
+
+
+def test_all_labels_are_learned(spark):
+    rng = random.Random(2)
+    names = [f"l{i:02}" for i in range(70)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for n in names}
+    rows = [(9 * i + k, " ".join(rng.choices(words[n], k=12)), n) for i, n in enumerate(names) for k in range(9)]
+    model = crf.fit(crf.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert model.languages == names
+    assert [crf.judged(model, [" ".join(words[n])])[0][0] for n in names] == names

@@ -7,7 +7,8 @@ Learned transitions couple neighbours; forward-backward gives the marginals. Tex
 languages come out as spans; a document's language is the one with the largest mean marginal.
 
 The model is fitted by maximum likelihood on at most SAMPLE whole documents of each language, chosen by
-a hash of their id: a documented bound that does not grow with the table. Training chains splice pieces
+a hash of their id, and on all languages: a document after the first is left out where the ones before fill
+its language's share of SAMPLE_BYTES. Training chains splice pieces
 of different documents, so that switches are seen. Only texts and labels of documents that are not held
 out are used. Prediction reads nothing but the text.
 
@@ -20,15 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, mixed, runs, span_hashes, texts
+from .common import BATCH_BYTES, in_arrow, mixed, runs, span_hashes, texts, utf8_bytes
 
 #: Labelled documents of each language that the model is fitted on, at most.
-SAMPLE = 100
-#: Languages at most; those with most rows count.
-LANGUAGES = 64
+SAMPLE = 150
+#: Bytes of their text, shared equally by the languages.
+SAMPLE_BYTES = 8 << 20
 #: Words of a language's lexicon: those seen at least twice there, by frequency.
 LEXICON = 4000
 #: Buckets of hashed n-grams, and words of a block of the chain.
@@ -197,6 +198,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     np.add.at(truth, (chain_word, chain_label), 1)
     moved = np.zeros((size, size))
     np.add.at(moved, (chain_label[here - 1], chain_label[here]), 1)
+    some, chains = max(1, (1 << 19) // size**2), max(1, (1 << 22) // size**2)  # pairs of words and chains at once
     params = [m.grams, m.lexicon, m.move]
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
@@ -205,15 +207,18 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
             per_type[:, k] = np.bincount(rows, weights=m.grams[cols, k], minlength=len(types))
         per_type += member @ m.lexicon
         e = per_type[chain_word]
-        said: list[np.ndarray] = []
-        q = marginals(e, lengths, m.move, said)
-        x, forward, backward = said
+        done = []
+        for lo in range(0, len(lengths), chains):
+            said: list[np.ndarray] = []
+            q = marginals(e[lo * BLOCK : (lo + chains) * BLOCK], lengths[lo : lo + chains], m.move, said)
+            done.append((q, *said))
+        q, x, forward, backward = (np.concatenate(p) for p in zip(*done, strict=True))
         expect = np.stack([np.bincount(chain_word, weights=q[:, k], minlength=len(types)) for k in range(size)], axis=1)
         gap = (truth - expect) / len(token)
         g_grams = np.stack([np.bincount(cols, weights=gap[rows, k], minlength=BUCKETS) for k in range(size)], axis=1)
         g_move = moved.copy()
-        for lo in range(0, len(here), 1 << 15):
-            i = here[lo : lo + (1 << 15)]
+        for lo in range(0, len(here), some):
+            i = here[lo : lo + some]
             joint = forward[i - 1][:, :, None] * np.exp(m.move)[None] * (x[i] * backward[i])[:, None, :]
             g_move -= (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
         g_move /= len(token)
@@ -233,18 +238,15 @@ def held_out(doc: str = "doc_id") -> Column:
 def sample(docs: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
     """At most `each` labelled documents of each language that are not held out: those with the least hashes of their ids."""
     own = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    share = SAMPLE_BYTES // max(1, sizes.count())
     spread = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40))
-    near = F.lit(False)
-    for r in sizes:
-        near = near | ((F.col("lang") == r["lang"]) & (spread < int((1 << 40) * min(1.0, (2 * each + 20) / r["count"]))))
-    rows = sorted(own.where(near).select("lang", spread.alias("spread"), "doc_id", "text").collect(), key=lambda r: (r["lang"], r["spread"], r["doc_id"], r["text"] or ""))
-    out, taken = [], {}
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each and r["text"]:
-            out.append((r["text"], r["lang"]))
-    return out
+    near = own.join(F.broadcast(sizes), "lang").withColumn("spread", spread).where(F.col("spread") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(2 * each + 20) / F.col("rows")))
+    w = Window.partitionBy("lang").orderBy("spread", "doc_id", F.coalesce("text", F.lit("")))
+    upto = F.sum(utf8_bytes()).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumns({"nth": F.row_number().over(w), "upto": upto}).where((F.col("nth") <= each) & (F.col("text") != "") & ((F.col("upto") <= share) | (F.col("upto") == utf8_bytes())))
+    rows = near.select("lang", "nth", "text").collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["nth"]))]
 
 
 def judged(m: Model, parts: list[str]) -> tuple[list[str], list[float], tuple]:
@@ -270,7 +272,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def make(batches):
         for b in batches:
             parts = texts(b.column("text"))
-            for lo, hi in runs([len(x) + 1 for x in parts]):
+            # arrays of a batch grow with the square of the languages
+            for lo, hi in runs([len(x) + 1 for x in parts], BATCH_BYTES * 64 // max(64, len(shared.value.languages) ** 2)):
                 names, scores, _ = judged(shared.value, parts[lo:hi])
                 cols = [b.column(c).slice(lo, hi - lo) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
