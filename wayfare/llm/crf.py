@@ -12,7 +12,10 @@ its language's share of SAMPLE_BYTES. Training chains splice pieces
 of different documents, so that switches are seen. Only texts and labels of documents that are not held
 out are used. Prediction reads nothing but the text.
 
-A text that is null or has no letter gets `und` with score 0. Without labelled rows all texts do.
+A text that is null or has no letter gets `und` with score 0. Without labelled rows all texts do. Every row is
+judged by its own text, so repeated rows and repeated ids get equal results, null ids stay, and an empty table gives
+an empty result. Ties go to the language that comes first in code point order. Very long texts are judged whole, in
+bounded stretches.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SAMPLE_BYTES = 8 << 20
 LEXICON = 4000
 #: Buckets of hashed n-grams, and words of a block of the chain.
 BUCKETS, BLOCK = 1 << 16, 64
+#: Numbers of an array that a worker holds at once, about, whatever the languages and the length of a text.
+CELLS = 1 << 19
 STEPS, RATE, DECAY = 40, 0.15, 1e-4
 UNKNOWN = "und"
 
@@ -65,11 +70,12 @@ def split(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     step = np.diff(is_letter.astype(np.int8))
     starts, ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
     begin = np.cumsum([1, *(len(p) + 1 for p in low)])
-    return np.where(is_letter, c, 0).astype(np.uint64), starts, ends, np.searchsorted(begin, starts, side="right") - 1
+    return np.where(is_letter, c, 0).astype(np.uint32), starts, ends, np.searchsorted(begin, starts, side="right") - 1
 
 
 def gram_ids(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the bigram and the trigram that end at each position."""
+    c = c.astype(np.uint64)
     a, b = np.concatenate([[0], c[:-1]]).astype(np.uint64), np.concatenate([[0, 0], c[:-2]]).astype(np.uint64)
     two = mixed(a * np.uint64(0x110000) + c + np.uint64(1 << 45))
     three = mixed((b * np.uint64(0x110000) + a) * np.uint64(0x110000) + c)
@@ -77,11 +83,29 @@ def gram_ids(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def emissions(m: Model, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(words, L): log weight of each language for each word."""
-    two, three = gram_ids(c)
-    at = np.zeros((len(c) + 1, len(m.languages)))
-    np.cumsum(m.grams[two] + m.grams[three], axis=0, out=at[1:])
-    out = at[ends + 1] - at[starts + 1] + m.grams[two[starts]]
+    """(words, L): log weight of each language for each word.
+
+    Symbols are turned into weights window by window, of CELLS weights at most; a word that crosses an edge gets its sum in parts.
+    """
+    out = np.zeros((len(starts), len(m.languages)))
+    if not len(starts):
+        return out
+    step = max(1024, CELLS // max(1, len(m.languages)))
+    lo = int(starts[0]) + 1
+    while lo <= ends[-1]:
+        hi = min(lo + step, int(ends[-1]) + 1)
+        at = max(0, lo - 2)
+        two, three = (x[lo - at :] for x in gram_ids(c[at:hi]))
+        sums = np.zeros((hi - lo + 1, len(m.languages)))
+        np.cumsum(m.grams[two] + m.grams[three], axis=0, out=sums[1:])
+        # words of which a position from starts + 1 to ends lies in [lo, hi)
+        i, j = np.searchsorted(ends, lo), np.searchsorted(starts, hi - 1)
+        a, z = np.clip(starts[i:j] + 1, lo, hi) - lo, np.clip(ends[i:j] + 1, lo, hi) - lo
+        out[i:j] += sums[z] - sums[a]
+        lo = hi
+    before = np.maximum(starts - 1, 0)
+    first = gram_ids(np.stack([np.where(starts > 0, c[before], 0), c[starts]], axis=1).ravel())[0][1::2]
+    out += m.grams[first]
     if len(m.words):
         h = span_hashes(c, starts, ends)
         i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
@@ -90,10 +114,12 @@ def emissions(m: Model, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out
 
 
-def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray, messages: list | None = None) -> np.ndarray:
+def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray, messages: list | None = None, ends: tuple[np.ndarray, np.ndarray] | None = None, only_ends: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Forward-backward over chains laid end to end: e (words, L) log scores, lengths of the chains.
 
     messages, a list, gets the word weights and the forward and backward messages of every word.
+    ends: what comes into each chain from before it and from behind it, where it is a part of a longer one.
+    only_ends gives, instead of the marginals, what leaves each chain behind it and before it.
 
     The chain is cut into blocks of BLOCK words. Each block's product of step matrices is found for all
     blocks at once, messages pass from block to block, and a second pass inside the blocks gives the
@@ -125,8 +151,7 @@ def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray, messages: li
     place[order] = np.arange(blocks)
     into, out = np.empty((blocks, size)), np.empty((blocks, size))
     begin = np.cumsum(per) - per
-    f = np.full((len(lengths), size), 1 / size)
-    b = np.full((len(lengths), size), 1 / size)
+    f, b = (np.full((len(lengths), size), 1 / size) for _ in "fb") if ends is None else (v.copy() for v in ends)
     for k in range(int(per.max(initial=0))):
         on = np.flatnonzero(per > k)
         i, j = place[begin[on] + k], place[begin[on] + per[on] - 1 - k]
@@ -134,6 +159,8 @@ def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray, messages: li
         f[on] = norm(np.einsum("na,nab->nb", f[on], prod[i]))
         out[j] = b[on]
         b[on] = norm(np.einsum("nab,nb->na", prod[j], b[on]))
+    if only_ends:
+        return f, b
     marg = np.empty_like(x)
     for t in range(BLOCK):
         k = live[t]
@@ -249,36 +276,65 @@ def sample(docs: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["nth"]))]
 
 
-def judged(m: Model, parts: list[str]) -> tuple[list[str], list[float], tuple]:
-    """Language and score of each text, and (marginals, starts, ends, text) of the words."""
+def chains(m: Model, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
+    """(first word, first chain, lengths of chains, marginals) of bounded stretches of the words of chains laid end to end.
+
+    A chain that is too long for a stretch goes in parts: a pass from its beginning keeps what enters each part from
+    before, a pass from its end gives the marginals, so they are those of the whole chain. Its parts come last first.
+    """
+    size = len(m.languages)
+    per = max(1, CELLS // max(size * size, BLOCK * size))  # blocks of a stretch
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    for lo, hi in runs((-(-lengths // BLOCK)).tolist(), per):
+        a, z = begin[lo], begin[hi]
+        if z - a <= per * BLOCK:
+            yield a, lo, lengths[lo:hi], marginals(emissions(m, c, starts[a:z], ends[a:z]), lengths[lo:hi], m.move)
+            continue
+        cuts, flat = [*range(a, z, per * BLOCK), z], np.full((1, size), 1 / size)
+        into = [flat]
+        for p, q in zip(cuts, cuts[1:-1], strict=False):
+            into.append(marginals(emissions(m, c, starts[p:q], ends[p:q]), np.array([q - p]), m.move, ends=(into[-1], flat), only_ends=True)[0])
+        back = flat
+        for p, q, f in reversed(list(zip(cuts[:-1], cuts[1:], into, strict=True))):
+            e, n = emissions(m, c, starts[p:q], ends[p:q]), np.array([q - p])
+            yield p, lo, n, marginals(e, n, m.move, ends=(f, back))
+            back = marginals(e, n, m.move, ends=(f, back), only_ends=True)[1]
+
+
+def judged(m: Model, parts: list[str], each: bool = False) -> tuple[list[str], list[float], tuple]:
+    """Language and score of each text, and (best language, its marginal, start, end) of the words if `each`."""
     if not m.languages:
-        return [UNKNOWN] * len(parts), [0.0] * len(parts), (np.zeros((0, 0)), *(np.empty(0, np.int64),) * 3)
+        return [UNKNOWN] * len(parts), [0.0] * len(parts), (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
     c, starts, ends, text = split(parts)
-    q = marginals(emissions(m, c, starts, ends), np.bincount(text, minlength=len(parts))[np.unique(text)], m.move) if len(starts) else np.zeros((0, len(m.languages)))
-    total = np.zeros((len(parts), len(m.languages)))
-    for k in range(len(m.languages)):
-        total[:, k] = np.bincount(text, weights=q[:, k], minlength=len(parts))
     n = np.bincount(text, minlength=len(parts))
+    total = np.zeros((len(parts), len(m.languages)))
+    own = np.unique(text)
+    top, sure = (np.empty(len(starts), np.int64), np.empty(len(starts))) if each else (None, None)
+    for a, chain, lengths, q in chains(m, c, starts, ends, n[own]) if len(starts) else ():
+        total[own[chain : chain + len(lengths)]] += np.add.reduceat(q, np.cumsum(lengths) - lengths, axis=0)
+        if each:
+            top[a : a + len(q)], sure[a : a + len(q)] = q.argmax(axis=1), q.max(axis=1)
     best = total.argmax(axis=1)
     names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)]
     scores = [min(1.0, float(total[i, b] / k)) if k else 0.0 for i, (b, k) in enumerate(zip(best, n, strict=True))]
-    return names, scores, (q, starts, ends, text)
+    return names, scores, (top, sure, starts, ends)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score of each text."""
+    """The columns `keep` of docs with lang_pred and score of each text; a column of those names in `keep` gives way to them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights and at most LEXICON words a language
+    keep = tuple(c for c in keep if c.lower() not in ("lang_pred", "score"))
 
     def make(batches):
+        m = shared.value
         for b in batches:
             parts = texts(b.column("text"))
-            # arrays of a batch grow with the square of the languages
-            for lo, hi in runs([len(x) + 1 for x in parts], BATCH_BYTES * 64 // max(64, len(shared.value.languages) ** 2)):
-                names, scores, _ = judged(shared.value, parts[lo:hi])
+            for lo, hi in runs([len(x) + 1 for x in parts], max(1 << 12, BATCH_BYTES * 8 // max(8, len(m.languages)))):
+                names, scores, _ = judged(m, parts[lo:hi])
                 cols = [b.column(c).slice(lo, hi - lo) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    need = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    need = docs.select(*(F.col(f"`{c}`") for c in [*keep, *(["text"] if "text" not in keep else [])]))
     fields = ", ".join(f"`{c}` {need.schema[c].dataType.simpleString()}" for c in keep)
     return in_arrow(need, make, f"{fields}, lang_pred string, score double")
 
@@ -291,12 +347,11 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             parts, ids = texts(b.column("text")), b.column("doc_id").to_pylist()
             for i, part in enumerate(parts):
-                _, _, (q, starts, ends, _) = judged(shared.value, [part])
-                if not len(starts) or not shared.value.languages:
+                _, _, (best, sure, starts, ends) = judged(shared.value, [part], each=True)
+                if not len(starts):
                     continue
-                best = q.argmax(axis=1)
                 edge = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1, [len(best)]])
-                rows = [(ids[i], int(starts[a] - 1), int(ends[z - 1] - 1), shared.value.languages[best[a]], float(q[a:z, best[a]].mean())) for a, z in zip(edge, edge[1:], strict=False)]
+                rows = [(ids[i], int(starts[a] - 1), int(ends[z - 1] - 1), shared.value.languages[best[a]], float(sure[a:z].mean())) for a, z in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "lang", "score"])
 
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, start long, end long, lang string, score double")
