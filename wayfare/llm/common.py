@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -35,12 +39,40 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """df.mapInArrow(fn, schema) with batches of bounded bytes, where the session sets no bound of its own."""
+#: What operators hold in this worker beyond a task, by name, and how it is released.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """From now on this worker holds something under that name; the next task of another operator releases it first."""
+    _held[name] = release
+
+
+def _trim() -> None:
+    """Gives free memory back, as workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, fn, schema: str, holds: str = "") -> DataFrame:
+    """df.mapInArrow(fn, schema) with batches of bounded bytes, where the session sets no bound of its own.
+
+    A worker first releases what other operators hold in it; what fn holds under the name `holds` stays for its later tasks.
+    """
     conf = df.sparkSession.conf
     if conf.get(ARROW_BYTES, None) is None:
         conf.set(ARROW_BYTES, str(4 * BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def own(batches):
+        for name in [x for x in _held if x != holds]:
+            _held.pop(name)()
+        yield from fn(batches)
+        _trim()
+
+    return df.mapInArrow(own, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +102,6 @@ def texts(column) -> list[str]:
 
 def encoded(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""
-    import pyarrow as pa
-
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 

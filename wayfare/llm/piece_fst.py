@@ -7,9 +7,10 @@ are the positions of the normalised text, and the tropical-semiring shortest pat
 encoding.
 
 For a unigram model that is the path of the largest total score. For a BPE model the pieces are composed
-with one more acceptor, over neighbouring pieces: a pair is let through if merging its joined text gives
-the pair again. A path whose neighbours are all let through is the one that merging would give, so the
-shortest path is the BPE encoding. Where that leaves no path, the merges are run on the stretch itself.
+with one more acceptor, over neighbouring pieces: the arc of a pair weighs 0 if merging its joined text
+gives the pair again, and is infinite if not; likewise a piece that merging its own characters would not
+give. Exactly one path to each position is finite, the one that merging would give, so the shortest path
+is the BPE encoding. Merges are run only on single pairs, to weigh their arcs.
 
 The lattice has a single state before each run of U+2581 after other text, where no piece goes on, so
 paths are found for the stretches between such states and kept in a bounded table of a worker.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, runs, texts
+from .common import hold, in_arrow, runs, texts
 
 #: Where the model file lies by default; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -41,6 +42,7 @@ KEPT, PAIRS, KEPT_LENGTH = 450_000, 400_000, 24
 # Piece types and field numbers of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+INFINITE = float("inf")
 
 
 def fields(b: bytes):
@@ -110,9 +112,9 @@ class Transducer:
         else:
             self.stretch = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.output = [self._bytes(p, t) for p, _, t in self.pieces]
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.old_pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
+        self.old_pairs: dict[tuple[str, str], float] = {}
+        self.own: dict[str, float] = {}
         self.kept: dict[str, bytes] = {}
         self.old_kept: dict[str, bytes] = {}
 
@@ -147,24 +149,32 @@ class Transducer:
                 scores[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
-    def together(self, a: str, b: str) -> bool:
-        """Whether the acceptor lets b follow a; for pairs that are not in the newer table."""
-        ok = self.old_pairs.get((a, b))
-        if ok is None:
-            ok = self.merged(a + b) == [a, b]
+    def weight(self, a: str, b: str) -> float:
+        """Weight of the acceptor's arc from piece a to piece b, 0 or infinite; for pairs that are not in the newer table."""
+        w = self.old_pairs.get((a, b))
+        if w is None:
+            w = 0.0 if self.merged(a + b) == [a, b] else INFINITE
         if len(self.pairs) >= self.most_pairs:
             self.old_pairs, self.pairs = self.pairs, {}
-        self.pairs[a, b] = ok
-        return ok
+        self.pairs[a, b] = w
+        return w
+
+    def own_weight(self, piece: str) -> float:
+        """Weight of the arc of one piece: its negative score in a unigram model; in a BPE model 0, or infinite where merging its characters does not give it."""
+        w = self.own.get(piece)
+        if w is None:
+            w = 0.0 if len(piece) == 1 or self.merged(piece) == [piece] else INFINITE
+            self.own[piece] = w
+        return w
 
     def path(self, s: str) -> list[str]:
-        """Arc inputs of the shortest path over one stretch."""
+        """Arc inputs of the tropical shortest path through the composition of one stretch with pieces and acceptor."""
         return self._accepted(s) if self.kind == BPE else self._lightest(s)
 
     def _lightest(self, s: str) -> list[str]:
-        """Least sum of weights, position by position; a weight is a piece's negative score."""
+        """A unigram model: a state of the composition is a position, and the path is least in the sum of its weights."""
         n, get = len(s), self.score.get
-        cost, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
+        cost, last = [0.0] + [INFINITE] * n, [""] * (n + 1)
         for i in range(1, n + 1):
             for j in range(max(0, i - self.longest), i):
                 piece = s[j:i]
@@ -174,30 +184,32 @@ class Transducer:
         return self._traced(last)
 
     def _accepted(self, s: str) -> list[str]:
-        """The path that the acceptor leaves. At most one piece ends it at each position, so its weight need not be added up."""
-        n, known, reach, pairs = len(s), self.ids, self.reach.get, self.pairs
+        """A BPE model: a state of the composition is a position and the piece that ends there.
+
+        Of the states of a position exactly one has a finite cost, the encoding of the text up to there. So states of
+        infinite cost are not stored, and the search of a position ends with its first arc of finite weight.
+        """
+        n, own, reach, pairs = len(s), self.own.get, self.reach.get, self.pairs.get
+        known = self.ids
         last = [""] * (n + 1)
         for i in range(1, n + 1):
             far = reach(s[i - 3 : i], 2) if i >= 3 else i
             for j in range(i - far if i > far else 0, i):
                 piece = s[j:i]
                 if piece in known:
+                    w = own(piece)
+                    if self.own_weight(piece) if w is None else w:
+                        continue
                     if j:
                         before = last[j]
-                        if not before:
-                            continue
-                        ok = pairs.get((before, piece))
-                        if not (self.together(before, piece) if ok is None else ok):
+                        w = pairs((before, piece))
+                        if self.weight(before, piece) if w is None else w:
                             continue
                     last[i] = piece
                     break
             else:
-                if s[i - 1] not in known and (i == 1 or last[i - 1]):
-                    last[i] = s[i - 1]
-        if not last[n]:
-            return self.merged(s)
-        out = self._traced(last)
-        return out if all(map(self.proper, out)) else self.merged(s)
+                last[i] = s[i - 1]  # no piece ends here: the fallback's arc, or a character that joins nothing
+        return self._traced(last)
 
     @staticmethod
     def _traced(last: list[str]) -> list[str]:
@@ -208,13 +220,6 @@ class Transducer:
         out.reverse()
         return out
 
-    def proper(self, piece: str) -> bool:
-        """Whether merging a piece's own characters gives the piece; if not, pairs decide nothing about it."""
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return ok
-
     def arcs(self, s: str) -> bytes:
         """Ids of one stretch as little-endian 32-bit integers, where the newer table has none."""
         got = self.old_kept.get(s)
@@ -245,8 +250,13 @@ class Transducer:
         return out[1:] if self.dummy and out.startswith(" ") else out
 
 
+#: Under which a worker holds the transducer and its tables from task to task.
+HOLDS = "pieces"
+
+
 @lru_cache(maxsize=1)
 def compiled(model: bytes, kept: int = KEPT, pairs: int = PAIRS) -> Transducer:
+    hold(HOLDS, compiled.cache_clear)
     return Transducer(model, kept, pairs)
 
 
@@ -254,9 +264,11 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
     """The columns `keep` with ids array<int>, n_pieces, and round_trip: whether decoding gives the normalised text again.
 
     The model file is read by the driver and sent with the tasks. kept and pairs bound the tables of a worker, which
-    outlive a task: they trade its memory for time and change no result.
+    outlive a task but not the operator: they trade its memory for time and change no result. A column of `keep` named
+    like one of the three gives way to it. Repeated rows stay, each with its ids.
     """
     shared = docs.sparkSession.sparkContext.broadcast(open(model, "rb").read())  # the file's own size
+    keep = tuple(c for c in keep if c.lower() not in ("ids", "n_pieces", "round_trip"))
 
     def make(batches):
         t = compiled(shared.value, kept, pairs)
@@ -269,14 +281,15 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keep), ids, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], names=[*keep, "ids", "n_pieces", "round_trip"])
 
-    need = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    need = docs.select(*(F.col(f"`{c}`") for c in [*keep, *(["text"] if "text" not in keep else [])]))
     names = ", ".join(f"`{c}` {need.schema[c].dataType.simpleString()}" for c in keep)
-    return in_arrow(need, make, f"{names}, ids array<int>, n_pieces long, round_trip boolean")
+    return in_arrow(need, make, f"{names}{', ' if keep else ''}ids array<int>, n_pieces long, round_trip boolean", HOLDS)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` with the text of `ids`; null ids give null."""
+    """The columns `keep` with the text of `ids`; null ids give null. A column of `keep` named text gives way to it."""
     shared = encoded.sparkSession.sparkContext.broadcast(open(model, "rb").read())
+    keep = tuple(c for c in keep if c.lower() != "text")
 
     def make(batches):
         t = compiled(shared.value)
@@ -285,4 +298,4 @@ def decode(encoded: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "text"])
 
     names = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return in_arrow(encoded.select(*keep, "ids"), make, f"{names}, text string")
+    return in_arrow(encoded.select(*(F.col(f"`{c}`") for c in keep), "ids"), make, f"{names}{', ' if keep else ''}text string", HOLDS)
