@@ -48,6 +48,12 @@ def hold(name: str, release: Callable[[], None]) -> None:
     _held[name] = release
 
 
+def _let_go(holds: str) -> None:
+    """Releases what others than `holds` hold in this worker."""
+    for name in [x for x in _held if x != holds]:
+        _held.pop(name)()
+
+
 def _trim() -> None:
     """Gives free memory back, as workers are reused by later stages."""
     pa.default_memory_pool().release_unused()
@@ -67,8 +73,7 @@ def in_arrow(df: DataFrame, fn, schema: str, holds: str = "") -> DataFrame:
         conf.set(ARROW_BYTES, str(4 * BATCH_BYTES))
 
     def own(batches):
-        for name in [x for x in _held if x != holds]:
-            _held.pop(name)()
+        _let_go(holds)
         yield from fn(batches)
         _trim()
 
