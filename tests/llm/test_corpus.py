@@ -178,6 +178,14 @@ def linked(rows, words=3, percent=90):
     return sorted(((doc, len(sets[i]), least.get(find(i))) for i, (doc, _) in enumerate(rows)), key=str)
 
 
+def _varied(letter, *changed):
+    return " ".join(f"{letter}{i}" if i not in changed else f"new{i}" for i in range(300))
+
+
+#: One id with two texts of different components; a component that only a row without an id holds together.
+TANGLED = [(5, _varied("a")), (5, _varied("b")), (6, _varied("a", 9)), (7, _varied("b", 9)), (7, _varied("b", 9)), (1, _varied("c")), (None, _varied("c", *range(3, 10))), (3, _varied("c", *range(3, 10), *range(20, 27)))]
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_join(spark, docs, odd, none, words, percent):
     rng = random.Random(words)
@@ -188,10 +196,19 @@ def test_jaccard_join(spark, docs, odd, none, words, percent):
         for _ in range(rng.randrange(0, 1 + len(w) // 30) if len(w) > 25 else rng.randrange(0, 2)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
         rows.append((i * 3 % 241, " ".join(w[: rng.randrange(len(w) - 1, len(w) + 1)])))
-    for df in (spark.createDataFrame(rows, "doc_id long, text string"), docs, odd.where("doc_id IS NOT NULL")):
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), docs, odd, spark.createDataFrame(TANGLED, "doc_id long, text string")):
         got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df, words, percent).collect()), key=str)
         assert got == linked([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], words, percent)
-    assert jaccard_join.join(odd).count() == len(ODD) and jaccard_join.join(none).count() == 0
+    assert jaccard_join.join(none).count() == 0
+
+
+def test_firsts_keep_one_row_of_each_component(spark, odd, none):
+    made = spark.createDataFrame([(d, t, "x", i % 3) for i, (d, t) in enumerate(TANGLED + TANGLED[:2])], "doc_id long, text string, root string, rows int")
+    got = sorted(tuple(r)[:2] for r in jaccard_join.firsts(made).collect())
+    a, b, c = TANGLED[0], TANGLED[1], TANGLED[5]
+    assert got == sorted([a, b, c]) and jaccard_join.firsts(made).columns == made.columns
+    assert sorted(str(r["doc_id"]) for r in jaccard_join.firsts(odd).collect()) == ["1", "2", "2", "5", "6", "7", "8"]
+    assert jaccard_join.firsts(none).count() == 0
 
 
 def test_lists_meet_all_linked_sets():
