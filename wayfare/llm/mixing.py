@@ -3,13 +3,16 @@
 Within a source every document expects target / size copies. Its documents are put in an order, their
 expected copies are summed up along it, one offset from [0, 1) is added, and a document is taken once for
 each integer that its stretch of the sum crosses. The order goes by size, so that each stretch of it is
-like the others and the taken words come near the target. The offset is one of DRAWS seeded draws, the
-one whose total comes nearest.
+like the others and the taken words come near the target: their difference is below the size of a
+source's largest document or so. There is one random offset a source, drawn from the seed, so that every
+document is taken as often as it shall be, on the mean over seeds.
 
-The sums need no global sort: rows are counted by (source, band of sizes, salt), the counts give each
-cell its start, and only cells of bounded size are numbered.
+The sums need no global sort: rows are counted by (source, band of sizes), a band is salted into cells of
+bounded size, the counts of the cells give each its start, and only inside a cell are rows numbered.
 
 Null text has 0 words. A null source is a source of its own, last. A source without words has target 0.
+Ties go by a hash of id and text, then by one of all columns, so a rerun takes the same rows even where ids
+or rows repeat. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,16 +22,16 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, partitions
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is taken this many times at most.
 MOST = 3
-DRAWS = 48
-SALTS = 32
-#: Sources up to which cells and plan are broadcast.
-FEW = 64
+#: A band is salted into cells of about 1 / (SPREAD * partitions) of the rows, and LEAST rows at least.
+SPREAD, LEAST = 16, 4096
+#: Cells up to which they are broadcast; above, they are joined by a shuffle, with the same result.
+FEW = 100_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
@@ -50,8 +53,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
-def offsets(source: str | None, seed: str, draws: int = DRAWS) -> list[float]:
-    return [int.from_bytes(hashlib.sha256(f"{seed}|{i}|{'-' if source is None else '+' + source}".encode()).digest()[:6], "big") / 2**48 for i in range(draws)]
+def offset(source: str | None, seed: str) -> float:
+    return int.from_bytes(hashlib.sha256(f"{seed}|0|{'-' if source is None else '+' + source}".encode()).digest()[:6], "big") / 2**48
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -63,35 +66,32 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     spark = docs.sparkSession
     new = ["size", "source_size", "target", "copies"]
     names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
-    own = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in docs.columns))
+    own = docs.toDF(*names.values())
     text, source, doc = (F.col(names[c]) for c in ("text", "source", "doc_id"))
-    rows = own.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).withColumn("source", source)
-    rows = rows.withColumn("tie", F.xxhash64(F.lit(seed), doc)).withColumn("doc", doc)
-    rows = rows.withColumn("band", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")).withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int"))
+    plain = [names[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = own.withColumns({"source": source, "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "tie": F.xxhash64(F.lit(seed), doc, text)})
+    rows = rows.withColumns({"last": F.xxhash64(*plain), "band": F.floor(F.log2(F.col("size") + 1) * 8).cast("int")})
+    slim = cut(rows.select("source", "band", "size", "tie"))
+    bands = cut(slim.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))  # some hundred rows a source
+    sums = bands.groupBy("source").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()
+    goal = targets([(r["source"], r["words"]) for r in sums], weights, most)
+    per = max(LEAST, sum(r["n"] for r in sums) // (SPREAD * partitions(spark)))
+    salts = bands.select(F.col("source").alias("s_source"), F.col("band").alias("s_band"), F.ceil(F.col("n") / per).cast("int").alias("salts"))
+    few = F.broadcast if bands.count() <= FEW else (lambda df: df)
+
+    def celled(df: DataFrame) -> DataFrame:
+        df = df.join(few(salts), df["source"].eqNullSafe(F.col("s_source")) & (df["band"] == F.col("s_band"))).drop("s_source", "s_band")
+        return df.withColumn("salt", F.pmod("tie", "salts").cast("int"))
+
     key = ["source", "band", "salt"]
-    slim = cut(rows.select("doc", "tie", "size", *key))
-    cells = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut(cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    sums = [(r["source"], r["words"]) for r in cells.groupBy("source").agg(F.sum("words").alias("words")).collect()]
-    goal = targets(sums, weights, most)
-    each = {s: (goal[s] / n if n else 0.0) for s, n in sums}
-    few = F.broadcast if len(sums) <= FEW else (lambda df: df)  # then cells are at most FEW x bands x SALTS rows
-
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("size", "tie", "doc"))
-    spot = cells.select(*(F.col(c).alias(f"c_{c}") for c in key), "before")
-
-    def placed(df: DataFrame, plan: DataFrame) -> DataFrame:
-        df = df.withColumn("inside", number).join(few(spot), [df[c].eqNullSafe(F.col(f"c_{c}")) for c in key])
-        return df.join(few(plan), df["source"].eqNullSafe(F.col("p_source"))).withColumn("place", F.col("before") + F.col("inside"))
-
-    def copies(u):
-        return (F.floor(F.col("place") * F.col("each") + u) - F.floor((F.col("place") - 1) * F.col("each") + u)).cast("long")
-
-    fields = "p_source string, source_size long, target double, each double"
-    drawn = spark.createDataFrame([(s, n, goal[s], each[s], offsets(s, seed)) for s, n in sums], fields + ", draws array<double>")
-    totals = placed(slim, drawn).groupBy("p_source").agg(*(F.sum(copies(F.col("draws")[i]) * F.col("size")).alias(f"t{i}") for i in range(DRAWS))).collect()
-    best = {r["p_source"]: min(range(DRAWS), key=lambda i: (abs(r[f"t{i}"] - goal[r["p_source"]]), i)) for r in totals}
-    chosen = spark.createDataFrame([(s, n, goal[s], each[s], offsets(s, seed)[best[s]]) for s, n in sums], fields + ", offset double")
-    out = placed(rows, chosen).withColumn("copies", copies(F.col("offset")))
+    cells = celled(slim).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))  # of a source at most SPREAD * partitions and its bands
+    cells = cut(cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))).select(*(F.col(c).alias(f"c_{c}") for c in key), "before")
+    each = {r["source"]: goal[r["source"]] / r["words"] if r["words"] else 0.0 for r in sums}
+    plan = spark.createDataFrame([(r["source"], r["words"], goal[r["source"]], each[r["source"]], offset(r["source"], seed)) for r in sums], "p_source string, source_size long, target double, each double, offset double")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("size", "tie", "last"))
+    out = celled(rows).withColumn("inside", number).join(few(cells), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("band") == F.col("c_band")) & (F.col("salt") == F.col("c_salt")))
+    out = out.join(few(plan), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("place", F.col("before") + F.col("inside"))
+    copies = F.floor(F.col("place") * F.col("each") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("each") + F.col("offset"))
+    out = out.withColumn("copies", copies.cast("long"))
     return out.select(*(F.col(names[c]).alias(c) for c in docs.columns if c not in new), *new)

@@ -12,19 +12,20 @@ F(a) mod n, for ROUNDS rounds, F being the first 13 hex digits of SHA-256 over k
 other half. Each round can be undone, so it is a permutation of the m * n values for any m and n.
 
 Null text stays null. A value keeps its separators. Texts without a candidate are passed through
-without further work.
+without further work. Repeated rows are changed alike, an empty table stays empty. No pattern recurses over the
+text or reads a stretch of it more often than a bounded number of times, so very long texts are fine.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 
 # Patterns of the formats.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-RUN = r"(?<![\d.-])\d[\d -]{11,}\d(?![\d-])"  # groups of digits that may hold cards
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,63}"
+RUN = r"(?<![\d.-])\d[\d -]{11,}+"  # groups of digits that may hold cards
 PHONE = r"(?<![\d.])(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d|[.-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
@@ -100,11 +101,16 @@ def is_card(d: Column) -> Column:
     return F.when(F.length(d).between(13, 19), (luhn_sum(d, False) % 10 == 0) & ~d.rlike(r"^(\d)\1*$")).otherwise(F.lit(False))
 
 
+#: Groups of digits that are scanned in one step.
+STEP = 128
+
+
 def cards_in_run(x: Column, key: str) -> Column:
     """struct(text, n): the cards among the groups of digits of one run.
 
-    Every stretch of groups, parted by single characters, is tested. The whole run goes first, then 16 digits, then
-    longer before shorter ones, and the first of equal ones; a stretch that meets one taken before is left.
+    Stretches of groups, parted by single characters, are tested from left to right. Of those that begin at a group 16
+    digits go first, then longer before shorter ones; a stretch of another length gives way to one of 16 digits that
+    begins inside it. What begins inside a taken one is left. All steps are linear in the length of the run.
     """
 
     def of(p: Column) -> Column:
@@ -112,30 +118,53 @@ def cards_in_run(x: Column, key: str) -> Column:
         n = F.size(groups)
 
         def found(i: Column) -> Column:
+            """Lengths in groups of the cards that begin at group i, the preferred one first."""
+
             def one(k: Column) -> Column:
                 d = F.array_join(F.slice(groups, i + 1, k), "")
                 joined = (k == 1) | F.forall(F.slice(seps, i + 2, F.greatest(k - 1, F.lit(1))), lambda g: F.length(g) == 1)
-                rank = F.when(k == n, 0).when(F.length(d) == 16, 1).otherwise(21 - F.length(d))
-                return F.when(joined & is_card(d), F.struct(rank.alias("rank"), i.alias("i"), k.alias("k")))
+                return F.when(joined & is_card(d), F.struct(F.when(F.length(d) == 16, 0).otherwise(21 - F.length(d)).alias("rank"), k.alias("k")))
+
+            return F.get(F.array_sort(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), one), lambda c: c.isNotNull())), F.lit(0))
+
+        def settled(best: Column) -> Column:
+            """Groups of the card that begins at each group, 0 for none."""
+
+            def length(c: Column, i: Column) -> Column:
+                inside = F.slice(best, i + 2, F.greatest(F.coalesce(c["k"], F.lit(1)) - 1, F.lit(0)))
+                return F.when(c.isNull() | ((c["rank"] > 0) & F.exists(inside, lambda o: F.coalesce(o["rank"] == 0, F.lit(False)))), 0).otherwise(c["k"])
 
-            return F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), one), lambda c: c.isNotNull())
+            return F.transform(best, length)
 
-        able = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), found)))
-        meets = lambda t, c: F.exists(t, lambda o: (o["i"] < c["i"] + c["k"]) & (c["i"] < o["i"] + o["k"]))
-        taken = F.aggregate(able, F.slice(able, 1, 0), lambda t, c: F.when(meets(t, c), t).otherwise(F.concat(t, F.array(c))))
+        def marked(ks: Column) -> Column:
+            """For each group the groups of the card taken there, 0 for none, -1 inside of one."""
+            none = F.array().cast("array<int>")
 
-        def written(taken: Column) -> Column:
+            def group(s: Column, i: Column) -> Column:
+                k = F.get(ks, i)
+                mark = F.when(i < s["end"], -1).otherwise(k)
+                return F.struct(F.when(mark > 0, i + k).otherwise(s["end"]).cast("int").alias("end"), F.concat(s["marks"], F.array(mark.cast("int"))).alias("marks"))
+
+            def step(s: Column, lo: Column) -> Column:
+                own = F.aggregate(F.sequence(lo, F.least(lo + STEP, n) - 1), F.struct(s["end"].alias("end"), none.alias("marks")), group)
+                return F.struct(own["end"].alias("end"), F.concat(s["steps"], F.array(own["marks"])).alias("steps"))
+
+            start = F.struct(F.lit(0).alias("end"), F.array().cast("array<array<int>>").alias("steps"))
+            return F.flatten(F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(STEP)), start, step)["steps"])
+
+        def written(marks: Column) -> Column:
             def piece(g: Column, j: Column) -> Column:
-                own = F.filter(taken, lambda t: (t["i"] <= j) & (j < t["i"] + t["k"]))
+                k = F.get(marks, j)
                 # a card's text: its groups with the separators inside
-                text = lambda t: F.array_join(F.transform(F.slice(groups, t["i"] + 1, t["k"]), lambda q, m: F.concat(F.when(m == 0, F.lit("")).otherwise(F.get(seps, t["i"] + m)), q)), "")
-                first = F.get(own, F.lit(0))
-                return F.when(F.size(own) == 0, F.concat(F.get(seps, j), g)).when(first["i"] == j, F.concat(F.get(seps, j), card(text(first), key))).otherwise(F.lit(""))
+                text = F.array_join(F.transform(F.slice(groups, j + 1, k), lambda q, m: F.concat(F.when(m == 0, F.lit("")).otherwise(F.get(seps, j + m)), q)), "")
+                return F.when(k < 0, F.lit("")).when(k == 0, F.concat(F.get(seps, j), g)).otherwise(F.concat(F.get(seps, j), card(text, key)))
 
-            out = F.array_join(F.transform(groups, piece), "")
-            return F.when(F.size(taken) > 0, F.struct(out.alias("text"), F.size(taken).alias("n"))).otherwise(F.struct(x.alias("text"), F.lit(0).alias("n")))
+            out = F.concat(F.array_join(F.transform(groups, piece), ""), F.get(seps, n))
+            return F.struct(out.alias("text"), F.size(F.filter(marks, lambda k: k > 0)).alias("n"))
 
-        return _let(taken, written)
+        none = F.struct(x.alias("text"), F.lit(0).alias("n"))
+        best = F.transform(F.sequence(F.lit(0), n - 1), found)
+        return _let(best, lambda best: F.when(F.exists(best, lambda c: c.isNotNull()), _let(_let(settled(best), marked), written)).otherwise(none))
 
     return _let(F.struct(F.regexp_extract_all(x, F.lit(r"\d+"), 0).alias("groups"), F.split(x, r"\d+", -1).alias("seps")), of)
 
@@ -155,6 +184,22 @@ def plain(x: Column, key: str, name: str, keep: int = 0) -> Column:
     return _let(_digits(x), lambda d: with_digits(x, F.concat(F.substring(d, F.lit(1), F.length(d) - keep), permuted_digits(F.substring(d, F.length(d) - keep + 1, F.lit(keep)), key, name)) if keep else permuted_digits(d, key, name)))
 
 
+def social(x: Column, key: str) -> Column:
+    """A social security number; unchanged if it was never given out: area 000, 666 or above 899, group 00, serial 0000."""
+
+    def of(d: Column) -> Column:
+        area, group, serial = (F.substring(d, lo, n).cast("int") for lo, n in ((1, 3), (4, 2), (6, 4)))
+        ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        nth = area - F.when(area > 666, 2).otherwise(1)  # 0 to 897
+        new = _let(feistel(nth * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999), key, "ssn"), lambda s: _let(
+            F.floor(s["a"] / 99) + F.when(s["a"] >= 665 * 99, 2).otherwise(1),
+            lambda a: F.concat(F.lpad(a.cast("string"), 3, "0"), F.lit("-"), F.lpad((s["a"] % 99 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((s["b"] + 1).cast("string"), 4, "0")),
+        ))
+        return F.when(ok, new).otherwise(x)
+
+    return _let(_digits(x), of)
+
+
 def address(x: Column, key: str) -> Column:
     """The 32 bits of an IPv4 address; unchanged if a part is above 255."""
 
@@ -227,7 +272,7 @@ def renamed(x: Column, key: str) -> Column:
         .when(x.rlike("[A-Za-z]"), secret(x, key))
         .when(x.rlike(f"^(?:{DATE})$"), date(x, key))
         .when(x.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), address(x, key))
-        .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), plain(x, key, "ssn"))
+        .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), social(x, key))
         .otherwise(plain(x, key, "phone", 10))
     )
 
@@ -244,10 +289,23 @@ def pseudonymised(text: Column, key: str) -> tuple[Column, Column]:
     return out, hint
 
 
-def pseudonymise(df: DataFrame, key: str = "wayfare", column: str = "text") -> DataFrame:
-    """df with `column` replaced; `n_values` counts the values changed and takes the place of an input column of that name."""
-    out, _ = pseudonymised(F.col(f"`{column}`").cast("string"), key)
-    rest = [c for c in df.columns if c not in (column, "n_values")]
-    done = df.select(*(F.col(f"`{c}`") for c in rest), out.alias("_new"))
-    fields = [F.col("_new.text").alias(column) if c == column else F.col(f"`{c}`") for c in df.columns if c != "n_values"]
-    return done.select(*fields, F.when(F.col("_new.text").isNull(), 0).otherwise(F.col("_new.n")).cast("long").alias("n_values"))
+#: Session setting that holds the secret key of the queries.
+KEY_SETTING = "spark.wayfare.pseudonym.key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of the session; where none is set, one that is public and fit for made-up data only."""
+    return spark.conf.get(KEY_SETTING, "public key for made-up data")
+
+
+def pseudonymise(df: DataFrame, key: str, column: str = "text", count: str = "n_values") -> DataFrame:
+    """df with `column` replaced; `count` names the number of values changed and takes the place of an input column of that name.
+
+    Whoever has the key can undo the permutations, so it is to be kept secret.
+    """
+    if not key:
+        raise ValueError("a key is needed")
+    names = [f"_c{i}" for i in range(len(df.columns))]  # so that no input column meets the one made here
+    done = df.toDF(*names).select(*(n for n, c in zip(names, df.columns, strict=True) if c != column), pseudonymised(F.col(names[df.columns.index(column)]).cast("string"), key)[0].alias("_new"))
+    fields = [F.col("_new.text").alias(c) if c == column else F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True) if c != count]
+    return done.select(*fields, F.when(F.col("_new.text").isNull(), 0).otherwise(F.col("_new.n")).cast("long").alias(count))

@@ -55,7 +55,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonyms.pseudonym_key(spark))
     return out.select("doc_id", "text", "n_values")
 
 
