@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import crf, jaccard_join, mixing, piece_fst, pseudonyms
 from wayfare.llm.common import cut, table
+from wayfare.llm.pseudonyms import pseudonym_key
 
 #: Mean marginal below which a text is of no language.
 LEAST_SCORE = 0.5
@@ -17,33 +18,42 @@ TABLE = 80_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of which no language is certain. The model is fitted on the stage's own input."""
+    """Drops documents without a letter and those of which no language is certain. The model is fitted on the stage's own input.
+
+    Repeated rows are judged alike. Without a labelled row, and in an empty table, nothing stays.
+    """
     own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    judged = crf.predict(own, crf.fit(crf.sample(own)), tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # so that no column meets those of the prediction
+    bare = own.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    judged = crf.predict(bare, crf.fit(crf.sample(own)), tuple(names))
+    kept = judged.where((F.col("lang_pred") != crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents; documents without words, and without an id, stay."""
-    found = jaccard_join.join(docs, WORDS, PERCENT).where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id")))
-    kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """Keeps one row of each group of linked documents, that with the smallest id; documents without words stay.
+
+    Copies are rows, so different texts of one id are judged each by its own, and of repeated rows one stays.
+    """
+    return jaccard_join.firsts(docs, WORDS, PERCENT)
 
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets give way to pseudonyms; every document stays."""
-    done = pseudonyms.pseudonymise(docs)
-    return done.withColumn("n_chars", F.when(F.col("n_values") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    """Personal data and secrets give way to pseudonyms; every row stays, null texts stay null."""
+    done = pseudonyms.pseudonymise(docs, pseudonym_key(spark), count="_values")
+    return done.withColumn("n_chars", F.when(F.col("_values") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or repeated."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, or repeated. Documents without words are not taken."""
+    names = [c if c in ("doc_id", "source", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
+    mixed = mixing.mix(docs.toDF(*names)).where("copies > 0")
+    copies = mixed.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return copies.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_pieces, round_trip, ids) of every row."""
+    """(doc_id, source, n_pieces, round_trip, ids) of every row, repeated ones too; null text has no pieces."""
     own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     return piece_fst.encode(own.select("doc_id", "source", "text"), keep=("doc_id", "source"), kept=TABLE, pairs=TABLE)
 
