@@ -118,6 +118,81 @@ def test_media_round_trip(spark, docs, odd, none):
     assert avi_mjpeg.cuts(h) == [8, 16]
 
 
+def plain_lossless(f):
+    """One lossless JPEG file, bit by bit."""
+    at, codes, size, pred = 2, {}, None, 1
+    while f[at + 1] != 0xDA:
+        n = int.from_bytes(f[at + 2 : at + 4], "big")
+        body = f[at + 4 : at + 2 + n]
+        if f[at + 1] == 0xC4:
+            code, k = 0, 17
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    codes[format(code, f"0{length}b")] = body[k]
+                    code, k = code + 1, k + 1
+                code *= 2
+        elif f[at + 1] == 0xC3:
+            size = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        at += 2 + n
+    pred = f[at + 7]
+    bits = "".join(format(x, "08b") for x in f[at + 2 + int.from_bytes(f[at + 2 : at + 4], "big") : -2].replace(b"\xff\x00", b"\xff"))
+    x, i = np.zeros(size, int), 0
+    for r in range(size[0]):
+        for c in range(size[1]):
+            j = i + 1
+            while bits[i:j] not in codes:
+                j += 1
+            cat = codes[bits[i:j]]
+            v = int(bits[j : j + cat] or "0", 2)
+            i = j + cat
+            a, b, d = x[r, c - 1], x[r - 1, c], x[r - 1, c - 1]
+            p = 128 if r == c == 0 else a if r == 0 else b if c == 0 else (0, a, b, d, a + b - d, a + ((b - d) >> 1), b + ((a - d) >> 1), (a + b) >> 1)[pred]
+            x[r, c] = (p + (v - (1 << cat) + 1 if cat and v < 1 << (cat - 1) else v)) % 256
+    return x
+
+
+def made_lossless(x, pred, lengths):
+    """A file with another table, size and predictor than the engine writes."""
+    order = sorted(range(len(lengths)), key=lambda s: (lengths[s], s))
+    code, codes, before = 0, {}, lengths[order[0]]
+    for s in order:
+        code <<= lengths[s] - before
+        before = lengths[s]
+        codes[s] = format(code, f"0{lengths[s]}b")
+        code += 1
+    dht = b"\x10" + bytes(sum(n == k for n in lengths) for k in range(1, 17)) + bytes(order)
+    dht = bytes([1]) + dht[1:]
+    bits = ""
+    for r in range(x.shape[0]):
+        for c in range(x.shape[1]):
+            a, b, d = (int(v) for v in (x[r, c - 1], x[r - 1, c], x[r - 1, c - 1]))
+            p = 128 if r == c == 0 else a if r == 0 else b if c == 0 else (0, a, b, d, a + b - d, a + ((b - d) >> 1), b + ((a - d) >> 1), (a + b) >> 1)[pred]
+            v = int(x[r, c]) - p
+            cat = abs(v).bit_length()
+            bits += codes[cat] + (format(v if v > 0 else v + (1 << cat) - 1, f"0{cat}b") if cat else "")
+    data = bytes(int(bits[i : i + 8].ljust(8, "1"), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    seg = lambda m, b: bytes([255, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    sof = bytes([8]) + x.shape[0].to_bytes(2, "big") + x.shape[1].to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
+    return b"\xff\xd8" + seg(0xE0, b"note") + seg(0xC3, sof) + seg(0xC4, dht) + seg(0xDA, bytes([1, 1, 0x10, pred, 0, 0])) + data + b"\xff\xd9"
+
+
+def test_frames_are_read_by_their_own_headers():
+    rng = np.random.default_rng(1)
+    for f in avi_mjpeg.encode_frames(rng.integers(0, 256, (3, 24, 24), dtype=np.uint8)):
+        assert (plain_lossless(f) == avi_mjpeg.decode_frames([f])[0]).all()
+    files = []
+    for pred in range(1, 8):
+        for shape in ((3, 5), (24, 24)):
+            x = np.cumsum(rng.integers(-9, 10, shape), axis=1) % 256
+            files.append((x, made_lossless(x, pred, (2, 3, 3, 3, 4, 4, 5, 6, 7, 8))))
+    for (x, f), got in zip(files, avi_mjpeg.decode_frames([f for _, f in files]), strict=True):
+        assert (got == x).all() and (plain_lossless(f) == x).all()
+    bad = files[0][1]
+    for f in (b"", bad[:20], bad.replace(b"\xff\xc3", b"\xff\xc0"), bad[:-9] + b"\xff\xd9"):
+        with pytest.raises(ValueError):
+            avi_mjpeg.decode_frames([f])
+
+
 def test_minimax_shards(spark, docs, odd, none):
     rng = random.Random(2)
     for _ in range(30):
@@ -378,6 +453,35 @@ PAGE = """<!DOCTYPE html><html><head><title>T title words</title><style>p{}</sty
 TEXT = "Head First para & bold x. Second one, longer than before with a break. Third has many words so that it counts a lot."
 
 
+def test_best_stretch_equals_all_subsequences():
+    rng = random.Random(5)
+    for _ in range(300):
+        v = [rng.choice((-2.0, -1.0, -0.5, 0.0, 1.0, 2.5)) for _ in range(rng.randrange(0, 12))]
+        lo, hi = html_main.best_stretch(v)
+        assert sum(v[lo:hi]) == max([0.0, *(sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, len(v) + 1))])
+
+
+def test_weights_decide_where_names_say_nothing(spark):
+    """Class and element names that no list knows: with learned weights the text is the same, without it is not; nor does it need marks."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()]
+    want = [html_main.scored(h, html_main.counted(pages)) for h in pages]
+    plain = lambda h: h.replace('class="ad"', 'class="qx7"').replace("<nav>", '<div class="zz1">').replace("</nav>", "</div>").replace("<footer>", '<div id="k9">').replace("</footer>", "</div>")
+    w = html_main.counted([plain(h) for h in pages])
+    assert [html_main.scored(plain(h), w) for h in pages] == want
+    bare = [plain(h).replace("<article>", "<div>").replace("</article>", "</div>") for h in pages]
+    assert [html_main.scored(h, w) for h in bare] == want
+    assert sum(html_main.scored(h, {}) != x for h, x in zip(bare, want, strict=True)) > len(want) / 2
+
+
+def test_nested_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for h in ("<div>" * 50000 + "</span>" * 50000, "<b>" * 40000 + "<p></p>" * 40000, "<li><div>" + "<b>" * 30000 + "<li></li>" * 30000):
+        html_main.scored(h + "word", {})
+    assert time.perf_counter() - start < 20
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     w = html_main.fit(pages)

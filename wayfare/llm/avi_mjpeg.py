@@ -2,12 +2,14 @@
 
 A payload of k * 576 bytes becomes k frames of 24 x 24 samples of 8 bits. Each frame is a lossless intra
 JPEG (SOF3, predictor 1, one Huffman table) in an AVI file with RIFF headers, a `movi` list and an `idx1`
-index. Reading walks the RIFF chunks, finds the frames by the index, and decodes all frames of a batch in
-lock-step: sample by sample, vectorised over frames. Shots are cut where the histogram difference of
+index. Reading walks the RIFF chunks, finds the frames by the index, parses each frame's own segments (Huffman
+tables, size, predictor 1 to 7), and decodes the frames of a batch that have equal headers in lock-step: sample by
+sample, vectorised over frames. Shots are cut where the histogram difference of
 neighbouring frames passes a threshold that adapts to the differences around it; each shot is a clip with
 its times.
 
-Null counts as the empty text: one frame of 255. Equal payloads give equal files and features.
+Null counts as the empty text: one frame of 255. Equal payloads give equal files and features. Every row has its own
+file, so repeated rows and null ids stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +61,6 @@ _diff = np.arange(-255, 256)
 _CAT = np.array([int(abs(int(d))).bit_length() for d in _diff], np.int64)
 _LEN = np.array(LENGTHS, np.int64)[_CAT] + _CAT
 _VALUE = (CODES[_CAT] << _CAT) | np.where(_diff < 0, _diff + (1 << _CAT) - 1, _diff)
-#: Category and code length by the next four bits; 15 is no code.
-_BY4 = np.zeros((2, 16), np.int64)
-for _s, _n in enumerate(LENGTHS):
-    _lo = int(CODES[_s]) << (4 - _n)
-    _BY4[:, _lo : _lo + (1 << (4 - _n))] = [[_s], [_n]]
 
 
 def encode_frames(samples: np.ndarray) -> list[bytes]:
@@ -93,31 +92,132 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [HEAD + raw[cuts[i] : cuts[i + 1]] + TAIL for i in range(k)]
 
 
-def decode_frames(files: list[bytes]) -> np.ndarray:
-    """The samples of JPEG files as encode_frames writes them; uint8 of shape (frames, SIDE, SIDE)."""
-    for f in files:
-        if not (f.startswith(HEAD) and f.endswith(TAIL)):
-            raise ValueError("a frame is no lossless JPEG of this size")
-    k = len(files)
-    if not k:
-        return np.empty((0, SIDE, SIDE), np.uint8)
-    bodies = [f[len(HEAD) : -len(TAIL)].replace(b"\xff\x00", b"\xff") for f in files]
-    data = np.frombuffer(b"".join(bodies) + bytes(8), np.uint8).astype(np.uint32)
-    word = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-    at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])[:-1] * 8
-    limit = len(word) - 1
-    d = np.empty((FRAME, k), np.int64)
-    for i in range(FRAME):
-        w = (word[np.minimum(at >> 3, limit)].astype(np.int64) << (at & 7)) & 0xFFFFFFFF
-        top = w >> 28
-        cat, n = _BY4[0][top], _BY4[1][top]
-        bits = (w >> (32 - n - cat)) & ((1 << cat) - 1)
-        d[i] = np.where(bits < ((1 << cat) >> 1), bits - (1 << cat) + 1, bits)
-        at = at + n + cat
-    d = d.T.reshape(k, SIDE, SIDE)
+@dataclass(frozen=True)
+class Frame:
+    """What the headers of a lossless JPEG file say, up to its entropy-coded data."""
+
+    height: int
+    width: int
+    predictor: int
+    bits: int  # of the longest code
+    category: np.ndarray  # by the next `bits` bits; -1 where they begin no code
+    length: np.ndarray
+
+
+def parsed_head(f: bytes) -> tuple[Frame, int]:
+    """The headers of one file and where its entropy-coded data begin. Raises ValueError for what is no lossless JPEG of one component with 8 bits."""
+    if f[:2] != b"\xff\xd8":
+        raise ValueError("a frame is no JPEG")
+    at, tables, size = 2, {}, None
+    while True:
+        if at + 4 > len(f) or f[at] != 255:
+            raise ValueError("a frame breaks off before its scan")
+        marker, n = f[at + 1], struct.unpack_from(">H", f, at + 2)[0]
+        body = f[at + 4 : at + 2 + n]
+        if n < 2 or len(body) != n - 2:
+            raise ValueError("a segment passes the end of its frame")
+        at += 2 + n
+        if marker == 0xC4:
+            while body:
+                counts = body[1:17]
+                k = sum(counts)
+                if len(counts) < 16 or len(body) < 17 + k:
+                    raise ValueError("a Huffman table breaks off")
+                tables[body[0]] = (counts, body[17 : 17 + k])
+                body = body[17 + k :]
+        elif marker == 0xC3:
+            if len(body) < 9 or body[0] != 8 or body[5] != 1:
+                raise ValueError("a frame has not one component of 8 bits")
+            size = struct.unpack_from(">HH", body, 1)
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError("a frame is no lossless JPEG")
+        elif marker == 0xDD and body != b"\0\0":
+            raise ValueError("restart intervals are not supported")
+        elif marker == 0xDA:
+            if size is None or len(body) < 6 or body[0] != 1 or body[2] >> 4 not in tables or not 1 <= body[3] <= 7 or body[5]:
+                raise ValueError("a scan that is not supported")
+            return Frame(*size, body[3], *_lookup(*tables[body[2] >> 4])), at
+
+
+def _lookup(counts: bytes, symbols: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """Canonical codes of a DHT segment as tables by the next bits."""
+    bits = max((i for i, c in enumerate(counts, 1) if c), default=1)
+    category, length = np.full(1 << bits, -1, np.int64), np.ones(1 << bits, np.int64)
+    code = at = 0
+    for n, c in enumerate(counts, 1):
+        for s in symbols[at : at + c]:
+            lo = code << (bits - n) if n <= bits else 0
+            if s > 15 or lo >= 1 << bits:
+                raise ValueError("a Huffman table that is not supported")
+            category[lo : lo + (1 << (bits - n))], length[lo : lo + (1 << (bits - n))] = s, n
+            code += 1
+        at += c
+        code <<= 1
+    return bits, category, length
+
+
+@lru_cache(maxsize=64)
+def _head_of(head: bytes) -> tuple[Frame, int]:
+    return parsed_head(head)
+
+
+def _scan_at(f: bytes) -> int:
+    """Where the entropy-coded data begin, by the lengths of the segments."""
+    at = 2
+    while at + 4 <= len(f) and f[at + 1] != 0xDA:
+        at += 2 + struct.unpack_from(">H", f, at + 2)[0]
+    return at + 2 + struct.unpack_from(">H", f, at + 2)[0] if at + 4 <= len(f) else len(f)
+
+
+def decode_frames(files: list[bytes]) -> list[np.ndarray]:
+    """The samples of lossless JPEG files, uint8 of shape (height, width) each; files with equal headers are decoded together."""
+    by: dict[bytes, list[int]] = {}
+    for i, f in enumerate(files):
+        by.setdefault(f[: _scan_at(f)], []).append(i)
+    out: list = [None] * len(files)
+    for head, own in by.items():
+        frame, at = _head_of(head)
+        for i, x in zip(own, _decoded(frame, [files[i][at:] for i in own]), strict=True):
+            out[i] = x
+    return out
+
+
+def _decoded(frame: Frame, scans: list[bytes]) -> np.ndarray:
+    """Samples of frames with the same headers, in lock-step: sample by sample, all frames at once."""
+    if any(s[-2:] != TAIL for s in scans):
+        raise ValueError("a frame breaks off")
+    k, n = len(scans), frame.height * frame.width
+    bodies = [s[:-2].replace(b"\xff\x00", b"\xff") for s in scans]
+    data = np.frombuffer(b"".join(bodies) + bytes(8), np.uint8).astype(np.int64)
+    word = (data[:-4] << 32) | (data[1:-3] << 24) | (data[2:-2] << 16) | (data[3:-1] << 8) | data[4:]
+    ends = np.cumsum([len(b) for b in bodies]) * 8
+    at = np.concatenate([[0], ends])[:-1]
+    limit, bits = len(word) - 1, frame.bits
+    d = np.empty((n, k), np.int64)
+    for i in range(n):
+        w = (word[np.minimum(at >> 3, limit)] << (at & 7)) & 0xFFFFFFFFFF
+        top = w >> (40 - bits)
+        cat, used = frame.category[top], frame.length[top]
+        if (cat < 0).any():
+            raise ValueError("a code that the table has not")
+        more = (w >> (40 - used - cat)) & ((1 << cat) - 1)
+        d[i] = np.where(more < ((1 << cat) >> 1), more - (1 << cat) + 1, more)
+        at = at + used + cat
+    if (at > ends).any():
+        raise ValueError("a frame has fewer samples than its header says")
+    d = d.T.reshape(k, frame.height, frame.width)
     d[:, 0, 0] += 128
     d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
-    return (np.cumsum(d, axis=2) & 255).astype(np.uint8)
+    if frame.predictor == 1:
+        return (np.cumsum(d, axis=2) & 255).astype(np.uint8)
+    d[:, 0, :] = np.cumsum(d[:, 0, :], axis=1)  # the first row is predicted from the left whatever the predictor
+    d &= 255
+    for y in range(1, frame.height):
+        for x in range(1, frame.width):
+            a, b, c = d[:, y, x - 1], d[:, y - 1, x], d[:, y - 1, x - 1]
+            p = (None, None, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1)[frame.predictor]
+            d[:, y, x] = (d[:, y, x] + p) & 255
+    return d.astype(np.uint8)
 
 
 def _chunk(tag: bytes, body: bytes) -> bytes:
@@ -174,7 +274,7 @@ def histograms(samples: np.ndarray) -> np.ndarray:
     """Shares of BINS brightness bins, by frame."""
     k = len(samples)
     bins = samples.reshape(k, -1).astype(np.int64) * BINS // 256 + np.arange(k)[:, None] * BINS
-    return np.bincount(bins.ravel(), minlength=k * BINS).reshape(k, BINS) / FRAME
+    return np.bincount(bins.ravel(), minlength=k * BINS).reshape(k, BINS) / (samples.size / max(k, 1))
 
 
 def cuts(h: np.ndarray) -> list[int]:
@@ -225,10 +325,13 @@ def loaded(media: list[bytes]) -> list[tuple[int, np.ndarray]]:
     """Frame time and samples of AVI files; frames are decoded over all of them at once."""
     read = [read_avi(m) for m in media]
     files = [f for _, fs in read for f in fs]
-    samples = np.concatenate([decode_frames(files[i : i + AT_ONCE]) for i in range(0, max(len(files), 1), AT_ONCE)])
+    samples = [x for i in range(0, len(files), AT_ONCE) for x in decode_frames(files[i : i + AT_ONCE])]
     out, at = [], 0
     for tick, fs in read:
-        out.append((tick, samples[at : at + len(fs)]))
+        own = samples[at : at + len(fs)]
+        if any(x.shape != own[0].shape for x in own):
+            raise ValueError("frames of several sizes")
+        out.append((tick, np.stack(own) if own else np.empty((0, SIDE, SIDE), np.uint8)))
         at += len(fs)
     return out
 
