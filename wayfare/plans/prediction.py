@@ -65,31 +65,55 @@ for _n in (3, 4):
     register(f"corridors_{_n}", lambda s, d, n=_n: _rounded(R.corridors(V.hops(s, d), n, 100, "node")), _corridor_sql(_n, 100))
 
 
+#: Routes, of smallest number, that a query is compared with.
+CANDIDATES = 512
+
+
+def _candidates(routes, prefixes):
+    """(prefix, cands, above): for each different prefix its CANDIDATES smallest routes that share a bigram with it, and how many of them pass each score.
+
+    The smallest routes of a union of lists lie among the smallest of each list, so lists are cut before they are joined.
+    """
+    by = routes.select("i", F.explode("codes").alias("code"))
+    by = by.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("i"))).where(F.col("nth") <= CANDIDATES)
+    hit = prefixes.select("prefix", F.explode("prefix").alias("code")).join(by, "code").groupBy("prefix", "i").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    hit = hit.withColumn("nth", F.row_number().over(Window.partitionBy("prefix").orderBy("i"))).where(F.col("nth") <= CANDIDATES)
+    g = hit.join(routes, "i").groupBy("prefix").agg(F.collect_list(F.struct("i", "score", "codes")).alias("cands"))
+    return g.withColumn("above", F.transform(F.sequence(F.lit(1), F.size("prefix")), lambda s: F.size(F.filter("cands", lambda c: c["score"] > s))))
+
+
 def retrieval(spark, sf):
     """Routes of side 1 retrieved by bigrams of an observed prefix of side 0, judged by the Jaccard overlap with its hidden suffix.
 
-    Candidates are the 512 smallest route ids; equal scores go to the larger hidden overlap, which flatters the result.
+    Candidates are the CANDIDATES smallest route ids; equal scores go to the larger hidden overlap, which flatters the result.
+    Queries with one prefix share their candidates. Only candidates that meet the suffix are ranked: the others have no
+    gain, and of one score they come last.
     """
     h = V.hops(spark, sf).withColumn("b", F.lead("node").over(step()))
-    h = h.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("trip")))
+    h = h.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("trip"))).where("b IS NOT NULL")
+    code = F.shiftleft(F.col("node").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     cutting = F.greatest(F.lit(3), F.ceil(F.col("n") * 0.3))
-    grams = h.where("b IS NOT NULL")
-    query = grams.where((F.col("side") == 0) & (cutting < F.col("n") - 1))
-    prefix = query.where(F.col("seq") < cutting).select(F.col("trip").alias("q"), F.col("node").alias("a"), "b").distinct()
-    suffix = query.where(F.col("seq") >= cutting).select(F.col("trip").alias("q"), F.col("node").alias("a"), "b").distinct()
-    route = grams.where("side = 1").select(F.col("trip").alias("i"), F.col("node").alias("a"), "b").distinct()
-    hits = prefix.join(route, ["a", "b"]).groupBy("q", "i").agg(F.count(F.lit(1)).alias("score"))
-    hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("i"))).where("nth <= 512")
-    size_q, size_i = suffix.groupBy("q").agg(F.count(F.lit(1)).alias("nq")), route.groupBy("i").agg(F.count(F.lit(1)).alias("ni"))
-    both = hits.select("q", "i").join(suffix, "q").join(route, ["i", "a", "b"]).groupBy("q", "i").agg(F.count(F.lit(1)).alias("both"))
-    s = hits.join(both, ["q", "i"], "left").join(size_q, "q").join(size_i, "i").fillna({"both": 0})
-    s = s.withColumn("rel", F.col("both") / (F.col("nq") + F.col("ni") - F.col("both")))
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("rel"), "i"))).withColumn("best", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rel"), "i")))
-    good = F.col("rel") >= 0.1
-    dcg = lambda r, k: F.sum(F.when(F.col(r) <= k, F.col("rel") / F.log2(F.col(r) + 1.0)).otherwise(0.0))
-    per = s.groupBy("q").agg(*(F.max(F.when(good & (F.col("rank") <= k), 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in (1, 5, 10)), *(F.when(dcg("best", k) > 0, dcg("rank", k) / dcg("best", k)).otherwise(0.0).alias(f"ndcg_at_{k}") for k in (5, 10)), F.coalesce(1.0 / F.min(F.when(good, F.col("rank"))), F.lit(0.0)).alias("mrr"), F.max(F.when(F.col("rank") == 1, F.col("rel"))).alias("top1"))
-    total = query.agg(F.countDistinct("trip").alias("queries"))
-    return _rounded(per.agg(*(F.avg(c).alias(c) for c in per.columns if c != "q"), F.count(F.lit(1)).alias("covered")).crossJoin(F.broadcast(total)))
+    routes = h.where("side = 1").groupBy(F.col("trip").alias("i")).agg(F.array_sort(F.collect_set(code)).alias("codes"))
+    query = h.where((F.col("side") == 0) & (cutting < F.col("n") - 1))
+    query = query.groupBy("trip").agg(F.array_sort(F.collect_set(F.when(F.col("seq") < cutting, code))).alias("prefix"), F.collect_set(F.when(F.col("seq") >= cutting, code)).alias("suffix"))
+    q = query.join(_candidates(routes, query.select("prefix").distinct()), "prefix")
+    meets = F.filter("cands", lambda c: F.arrays_overlap(c["codes"], F.col("suffix")))
+    both = F.transform(meets, lambda c: F.struct(c["i"].alias("i"), c["score"].alias("score"), F.size(F.array_intersect(c["codes"], F.col("suffix"))).alias("both"), F.size(c["codes"]).alias("ni")))
+    rel = F.transform(both, lambda c: F.struct((-c["score"]).alias("s"), (-(c["both"] / (F.size("suffix") + c["ni"] - c["both"]))).alias("r"), c["i"].alias("i")))
+    q = q.select("above", F.array_sort(rel).alias("met"))
+    place = lambda c, k: F.get("above", -c["s"] - 1) + k + 1 - F.size(F.filter("met", lambda o: o["s"] < c["s"]))
+    q = q.select(F.transform("met", lambda c, k: F.struct((-c["r"]).alias("rel"), place(c, k).alias("rank"))).alias("met"), F.array_sort(F.transform("met", lambda c: F.struct(c["r"].alias("r"), c["i"].alias("i")))).alias("best"))
+    gain = lambda k: F.aggregate(F.filter("met", lambda c: c["rank"] <= k), F.lit(0.0), lambda a, c: a + c["rel"] / F.log2(c["rank"] + 1.0))
+    ideal = lambda k: F.aggregate(F.transform(F.slice("best", 1, k), lambda c, i: -c["r"] / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)
+    first = F.array_min(F.transform(F.filter("met", lambda c: c["rel"] >= 0.1), lambda c: c["rank"]))
+    per = q.select(
+        *(F.when(first <= k, 1.0).otherwise(0.0).alias(f"recall_at_{k}") for k in (1, 5, 10)),
+        *(F.when(ideal(k) > 0, gain(k) / ideal(k)).otherwise(0.0).alias(f"ndcg_at_{k}") for k in (5, 10)),
+        F.coalesce(1.0 / first, F.lit(0.0)).alias("mrr"),
+        F.coalesce(F.array_max(F.transform(F.filter("met", lambda c: c["rank"] == 1), lambda c: c["rel"])), F.lit(0.0)).alias("top1"),
+    )
+    total = query.agg(F.count(F.lit(1)).alias("queries"))
+    return _rounded(per.agg(*(F.avg(c).alias(c) for c in per.columns), F.count(F.lit(1)).alias("covered")).crossJoin(F.broadcast(total)))
 
 
 register("retrieval", retrieval, f"WITH {V.HOPS}, h AS (SELECT trip, side, seq, node AS a, lead(node) OVER (PARTITION BY trip ORDER BY seq) AS b, count(*) OVER (PARTITION BY trip) AS n FROM hops), g AS (SELECT *, greatest(3, ceil(n * 0.3)) AS k FROM h WHERE b IS NOT NULL), qq AS (SELECT * FROM g WHERE side = 0 AND k < n - 1), pre AS (SELECT DISTINCT trip AS q, a, b FROM qq WHERE seq < k), suf AS (SELECT DISTINCT trip AS q, a, b FROM qq WHERE seq >= k), rt AS (SELECT DISTINCT trip AS i, a, b FROM g WHERE side = 1), hit AS (SELECT q, i, count(*) AS score FROM pre JOIN rt USING (a, b) GROUP BY q, i QUALIFY row_number() OVER (PARTITION BY q ORDER BY i) <= 512), bo AS (SELECT hit.q, hit.i, count(*) AS both_n FROM hit JOIN suf ON suf.q = hit.q JOIN rt ON rt.i = hit.i AND rt.a = suf.a AND rt.b = suf.b GROUP BY hit.q, hit.i), nq AS (SELECT q, count(*) AS nq FROM suf GROUP BY q), ni AS (SELECT i, count(*) AS ni FROM rt GROUP BY i), s AS (SELECT hit.q, hit.i, score, CAST(coalesce(both_n, 0) AS DOUBLE) / (nq + ni - coalesce(both_n, 0)) AS rel FROM hit LEFT JOIN bo ON bo.q = hit.q AND bo.i = hit.i JOIN nq ON nq.q = hit.q JOIN ni ON ni.i = hit.i), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, rel DESC, i) AS rank, row_number() OVER (PARTITION BY q ORDER BY rel DESC, i) AS best FROM s), per AS (SELECT q, max(CASE WHEN rel >= 0.1 AND rank <= 1 THEN 1.0 ELSE 0.0 END) AS r1, max(CASE WHEN rel >= 0.1 AND rank <= 5 THEN 1.0 ELSE 0.0 END) AS r5, max(CASE WHEN rel >= 0.1 AND rank <= 10 THEN 1.0 ELSE 0.0 END) AS r10, CASE WHEN sum(CASE WHEN best <= 5 THEN rel / log2(best + 1) ELSE 0 END) > 0 THEN sum(CASE WHEN rank <= 5 THEN rel / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN best <= 5 THEN rel / log2(best + 1) ELSE 0 END) ELSE 0 END AS n5, CASE WHEN sum(CASE WHEN best <= 10 THEN rel / log2(best + 1) ELSE 0 END) > 0 THEN sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN best <= 10 THEN rel / log2(best + 1) ELSE 0 END) ELSE 0 END AS n10, coalesce(CAST(1 AS DOUBLE) / min(CASE WHEN rel >= 0.1 THEN rank END), 0) AS mrr, max(CASE WHEN rank = 1 THEN rel END) AS top1 FROM r GROUP BY q) SELECT round(avg(r1), 6) AS recall_at_1, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(n5), 6) AS ndcg_at_5, round(avg(n10), 6) AS ndcg_at_10, round(avg(mrr), 6) AS mrr, round(avg(top1), 6) AS top1, count(*) AS covered, (SELECT count(DISTINCT trip) FROM qq) AS queries FROM per")
