@@ -193,6 +193,15 @@ def test_frames_are_read_by_their_own_headers():
             avi_mjpeg.decode_frames([f])
 
 
+def test_shards_from_finer_slices(spark, monkeypatch):
+    """Windows with more groups than are collected at once are cut finer, with the same result."""
+    rows = [(i, "x" * (i * 7919 % 97) + str(i)) for i in range(6000)] + [(10_000 + i, "big" * 9000) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in sharding.assign(df, 5).collect())
+    monkeypatch.setattr(sharding, "COLLECTED", 4)
+    assert sorted(tuple(r) for r in sharding.assign(df, 5).collect()) == want
+
+
 def test_minimax_shards(spark, docs, odd, none):
     rng = random.Random(2)
     for _ in range(30):

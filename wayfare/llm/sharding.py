@@ -4,14 +4,16 @@ Rows with equal texts form a group that stays whole; groups lie in the order of
 text. The smallest shard capacity is found by binary search; a capacity is checked greedily, each shard
 taking groups as long as they fit. Then the cuts are made there.
 
-Only bounded things reach the driver. Groups fall into SLICES slices by their hash; a first job returns
-rows, bytes and the largest group of each slice, with every group above 1 / (64 * shards) of all bytes
-as a slice of its own. With that, a greedy cut is known up to one slice's largest group, which brackets
-the capacity and leaves a narrow window around each cut. A second job returns the group sizes in those
-windows, and the search ends exactly on them.
+Only bounded things reach the driver. Groups fall into SLICES slices by their hash; a first job returns bytes, number
+and the largest group of each slice, with every group above 1 / HEAVY of all bytes as a slice of its own. With
+that, a greedy cut is known up to one slice's largest group, which brackets the capacity and leaves a narrow window
+around each cut. As long as the windows hold more than COLLECTED groups, their slices are cut finer by more bits of
+the hash, and the bracket is drawn anew. Then the groups in the windows are returned, and the search ends exactly on
+them. Only groups of nearly 1 / HEAVY of all bytes, many of them, would leave windows that no finer slices shrink:
+they hold at most shards / HEAVY of the bytes.
 
 Null text: 0 bytes, its rows are one group. An empty table gives an empty result. A shard may be empty
-when there are fewer groups than shards.
+when there are fewer groups than shards. Rows with one id, and repeated rows, each have a slot of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +27,12 @@ from .common import cut, partitions, utf8_bytes
 
 #: Slices of the hash order: the top 12 bits of the signed hash.
 SLICES = 4096
+#: Groups above 1 / HEAVY of all bytes are slices of their own.
+HEAVY = 1 << 14
+#: Groups in the windows that are collected at once; above, their slices are cut by FINER more bits of the hash.
+COLLECTED, FINER = 1 << 16, 6
+#: Slices that a step of that may make.
+MOST_SLICES = 1 << 19
 #: A slice is salted into ranges of about 1 / (SPREAD * partitions) of the rows, and LEAST rows at least.
 SPREAD, LEAST = 32, 256
 
@@ -112,45 +120,68 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     total, n_all = groups.agg(F.sum("bytes"), F.sum("n")).first()
     if not total:
         return base.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    heavy = total // (64 * shards)  # at most 64 * shards groups are above
+    heavy = total // HEAVY  # at most HEAVY groups are above
     big = {r["h"]: r["bytes"] for r in groups.where(F.col("bytes") > heavy).select("h", "bytes").collect()}
     small = groups.where(F.col("bytes") <= heavy)
     # light groups before, between and after the heavy ones of a slice
-    rank = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(big))), lambda x: x < F.col("h"))) if big else F.lit(0)
-    coarse = small.groupBy("slice", rank.alias("rank")).agg(F.min("h").alias("h"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most")).collect()
-    keyed = sorted([(r["h"], r["bytes"], r["most"], (r["slice"], r["rank"])) for r in coarse] + [(h, b, b, None) for h, b in big.items()])
-    order = Order([k[:3] for k in keyed])
-
-    lo, hi = max(max(k[2] for k in keyed), -(-total // shards)), total
-    low, high = lo, hi
-    while low < high:  # the smallest capacity that fits even if every cut lies as early as it can
-        mid = (low + high) // 2
-        if len(order.spread(mid)) < shards:
-            high = mid
-        else:
-            low = mid + 1
-    hi = low
-    need: set[int] = set()
-    for (a, _), (_, b) in zip(order.spread(lo), [*order.spread(hi), *[(0, len(keyed) - 1)] * shards], strict=False):
-        need |= set(range(a, b + 1))
-    for i in range(len(keyed)):
-        if keyed[i][3] is None:
-            order.fine[i] = ([order.ends[i]], [keyed[i][0]])
-    wanted = [keyed[i] for i in sorted(need) if keyed[i][3] is not None]
-    if wanted:
-        ask = spark.createDataFrame([k[3] for k in wanted], "slice int, rank int")
-        rows = small.withColumn("rank", rank).join(F.broadcast(ask), ["slice", "rank"]).select("slice", "rank", "h", "bytes").collect()
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in rows:
-            by.setdefault((r["slice"], r["rank"]), []).append((r["h"], r["bytes"]))
-        for i in need:
-            if keyed[i][3] is not None:
-                at, sums, hashes = order.ends[i - 1] if i else 0, [], []
-                for h, b in sorted(by[keyed[i][3]]):
-                    at += b
-                    sums.append(at)
-                    hashes.append(h)
-                order.fine[i] = (sums, hashes)
+    if big:
+        by = {}
+        for h in sorted(big):
+            by.setdefault(h >> 52, []).append(h)
+        marks = spark.createDataFrame(list(by.items()), "slice int, marks array<long>")
+        small = small.join(F.broadcast(marks), "slice", "left").withColumn("rank", F.coalesce(F.size(F.filter("marks", lambda x: x < F.col("h"))), F.lit(0))).drop("marks")
+    else:
+        small = small.withColumn("rank", F.lit(0))
+
+    def summed(df: DataFrame, bits: int) -> list[tuple]:
+        """(first hash, bytes, largest group, groups, (bits, prefix, rank)) of the light groups by the first `bits` bits of their hash."""
+        rows = df.groupBy(F.shiftright("h", 64 - bits).alias("prefix"), "rank").agg(F.min("h").alias("h"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.count(F.lit(1)).alias("k")).collect()
+        return [(r["h"], r["bytes"], r["most"], r["k"], (bits, r["prefix"], r["rank"])) for r in rows]
+
+    def asked(slices: list[tuple]) -> list[tuple[int, DataFrame]]:
+        """The light groups of some slices, by the bits of their prefix."""
+        out = []
+        for bits in sorted({k[4][0] for k in slices}):
+            ask = spark.createDataFrame([k[4][1:] for k in slices if k[4][0] == bits], "a_prefix long, a_rank int")
+            out.append((bits, small.join(F.broadcast(ask), (F.shiftright("h", 64 - bits) == F.col("a_prefix")) & (F.col("rank") == F.col("a_rank")))))
+        return out
+
+    keyed = sorted([*summed(small, 12), *((h, b, b, 1, None) for h, b in big.items())])
+    while True:
+        order = Order([k[:3] for k in keyed])
+        lo, hi = max(max(k[2] for k in keyed), -(-total // shards)), total
+        low, high = lo, hi
+        while low < high:  # the smallest capacity that fits even if every cut lies as early as it can
+            mid = (low + high) // 2
+            if len(order.spread(mid)) < shards:
+                high = mid
+            else:
+                low = mid + 1
+        hi = low
+        need: set[int] = set()
+        for (a, _), (_, b) in zip(order.spread(lo), [*order.spread(hi), *[(0, len(keyed) - 1)] * shards], strict=False):
+            need |= set(range(a, b + 1))
+        wanted = [keyed[i] for i in sorted(need) if keyed[i][4] is not None]
+        finer = [k for k in wanted if k[3] > 1 and k[4][0] < 60]
+        if sum(k[3] for k in wanted) <= COLLECTED or not finer or len(finer) << FINER > MOST_SLICES:
+            break
+        gone = {k[4] for k in finer}
+        keyed = sorted([k for k in keyed if k[4] not in gone] + [x for bits, df in asked(finer) for x in summed(df, bits + FINER)])
+    for i, k in enumerate(keyed):
+        if k[4] is None:
+            order.fine[i] = ([order.ends[i]], [k[0]])
+    inside: dict[tuple, list[tuple[int, int]]] = {}
+    for bits, df in asked(wanted):
+        for r in df.select("a_prefix", "a_rank", "h", "bytes").collect():
+            inside.setdefault((bits, r["a_prefix"], r["a_rank"]), []).append((r["h"], r["bytes"]))
+    for i in need:
+        if keyed[i][4] is not None:
+            at, sums, hashes = order.ends[i - 1] if i else 0, [], []
+            for h, b in sorted(inside[keyed[i][4]]):
+                at += b
+                sums.append(at)
+                hashes.append(h)
+            order.fine[i] = (sums, hashes)
     while lo < hi:
         mid = (lo + hi) // 2
         if order.cuts(mid, shards) is not None:
