@@ -43,6 +43,33 @@ def test_prefix_hashes_find_extensions():
     assert prefix_hash.likeness(f, f) == 1 and prefix_hash.likeness(e, e) == 1 and prefix_hash.likeness(f, e) == 0
 
 
+def test_likeness_counts_what_scattered_edits_leave():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words = [word() for _ in range(1500)]
+    f = lambda w: prefix_hash.PrefixHash(" ".join(w)).fingerprint()
+    own, other = f(words), f([word() for _ in range(1500)])
+    assert prefix_hash.likeness(own, other) < 0.05
+    for edits, least in ((2, 0.8), (6, 0.45)):
+        w = list(words)
+        for i in [3, 1490, *rng.sample(range(1500), edits - 2)]:
+            w[i] = word()
+        assert least <= prefix_hash.likeness(own, f(w)) < 1
+    moved = f(words[700:] + words[:700])
+    assert prefix_hash.likeness(own, moved) > 0.8
+    # every span of a fingerprint is a stretch of the text with that content
+    h = prefix_hash.PrefixHash(" ".join(words))
+    for (n, *_), total in ((k, v) for k, v in own.spans(own.coarse).items()):
+        assert total % n == 0
+    cuts = [0, *(a[0] for a in own.anchors), h.n]
+    assert {(j - i, h.span(i, j) >> 31, h.span(i, j) & 0x7FFFFFFF) for i, j in zip(cuts, cuts[1:], strict=False)} == set(own.spans(own.coarse))
+    # a plain likeness: common prefix and suffix by lce, at the marks' grain
+    for a, b in (("abcd" * 40, "abcd" * 20 + "x" + "abcd" * 20), ("same head " * 9 + "tail", "same head " * 9 + "other")):
+        x, y = prefix_hash.PrefixHash(a), prefix_hash.PrefixHash(b)
+        grain = 1 << max(x.fingerprint().e, y.fingerprint().e)
+        assert prefix_hash.likeness(x.fingerprint(), y.fingerprint()) >= x.lce(y, 0, 0) // grain * grain / max(x.n, y.n)
+
+
 def edited(rows):
     """By (doc_id descending, null last, text): what the contract says."""
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))

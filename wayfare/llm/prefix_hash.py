@@ -5,7 +5,10 @@ below 2^31. H answers whether any two spans are equal in constant time (`PrefixH
 search over span lengths finds the longest common extension of two positions (`lce`). The fingerprint
 keeps the hash of the whole text and the hashes of at most MARKS prefixes and suffixes whose lengths are
 multiples of a power of two. Marks of two fingerprints meet at the coarser power, so the longest common
-prefix and suffix of two texts follow from the fingerprints alone, again by binary search.
+prefix and suffix of two texts follow from the fingerprints alone, again by binary search. It also keeps the
+prefix hashes at ANCHORS places at most, which the text itself names: those whose next GRAM code points have a
+hash with many low zero bits. The spans between neighbouring anchors are compared by content wherever they lie,
+so that what is equal between scattered edits counts too. Likeness is the larger share of the two.
 
 Null counts as the empty text. Equal texts have equal fingerprints; likeness of two empty texts is 1.
 """
@@ -13,19 +16,23 @@ Null counts as the empty text. Equal texts have equal fingerprints; likeness of
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, partitions
+from .common import in_arrow, mixed, partitions
 
 #: Moduli and bases of the two polynomials.
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Most marks in each direction.
 MARKS = 32
+#: Most anchors, and code points of the gram that makes a place an anchor.
+ANCHORS, GRAM = 32, 12
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _inverse = [pow(b, -1, p) for b, p in zip(BASES, PRIMES, strict=True)]
@@ -40,6 +47,18 @@ def powers(k: int, n: int) -> np.ndarray:
     return _powers[k]
 
 
+_inverses = [np.ones(1, np.uint64)]
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """Inverses of base_0^0 .. base_0^n modulo prime_0."""
+    p = np.uint64(PRIMES[0])
+    while len(_inverses[0]) <= n:
+        t = _inverses[0]
+        _inverses[0] = np.concatenate([t, t * np.uint64(int(t[-1]) * _inverse[0] % PRIMES[0]) % p])
+    return _inverses[0]
+
+
 class PrefixHash:
     """Prefix arrays of one text."""
 
@@ -71,22 +90,61 @@ class PrefixHash:
                 hi = m - 1
         return lo
 
-    def fingerprint(self) -> tuple[int, int, int, list[int], list[int]]:
-        """Code points, power of the marks, whole hash, prefix marks, suffix marks."""
+    def anchors(self) -> tuple[int, list[tuple[int, int, int, int]]]:
+        """Level from which all anchors are kept, and (place, level, both prefix hashes) of the anchors, in order; a level is a number of low zero bits."""
+        if self.n < GRAM:
+            return 0, []
+        h, p = self.h[0], np.uint64(PRIMES[0])
+        m = self.n - GRAM + 1
+        gram = (h[GRAM:] + p - h[:m]) % p * inverse_powers(m)[:m] % p
+        bits = mixed(gram)
+        bits &= ~bits + np.uint64(1)  # the lowest bit that is set
+        least = max(0, (self.n // ANCHORS).bit_length() - 1)
+        at = np.flatnonzero(bits >= np.uint64(1 << least))
+        while len(at) > ANCHORS:
+            least += 1
+            at = at[bits[at] >= np.uint64(1 << least)]
+        return least, [(int(i), int(bits[i]).bit_length() - 1, int(self.h[0][i]), int(self.h[1][i])) for i in at if i]
+
+    def fingerprint(self) -> Fingerprint:
         e = max(0, (self.n // MARKS).bit_length() if self.n > MARKS else 0)
         lengths = [m << e for m in range(1, (self.n >> e) + 1)]
-        return self.n, e, self.span(0, self.n), [self.span(0, m) & 0xFFFFFFFF for m in lengths], [self.span(self.n - m, self.n) & 0xFFFFFFFF for m in lengths]
+        marks = [self.span(0, m) & 0xFFFFFFFF for m in lengths], [self.span(self.n - m, self.n) & 0xFFFFFFFF for m in lengths]
+        return Fingerprint(self.n, e, self.span(0, self.n), *marks, *self.anchors())
+
+
+class Fingerprint(NamedTuple):
+    """Code points, power of the marks, whole hash, prefix marks, suffix marks, least level of the anchors, anchors."""
+
+    n: int
+    e: int
+    whole: int
+    head: list[int]
+    tail: list[int]
+    coarse: int
+    anchors: list[tuple[int, int, int, int]]
+
+    def spans(self, level: int) -> Counter:
+        """Lengths of the spans between neighbouring anchors of this level at least, by length and content."""
+        whole = (self.whole >> 31, self.whole & 0x7FFFFFFF)
+        cuts = [(0, 0, 0, 0), *(a for a in self.anchors if a[1] >= level), (self.n, 0, *whole)]
+        out: Counter = Counter()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b[0] > a[0]:
+                out[(b[0] - a[0], *((b[2 + k] - a[2 + k]) * pow(_inverse[k], a[0], p) % p for k, p in enumerate(PRIMES)))] += b[0] - a[0]
+        return out
+
 
 
-def written(f: tuple) -> str:
-    n, e, whole, head, tail = f
-    return f"{n:x}.{e:x}.{whole:016x}.{''.join(f'{x:08x}' for x in head)}.{''.join(f'{x:08x}' for x in tail)}"
+def written(f: Fingerprint) -> str:
+    anchors = "".join(f"{at:x}:{level:x}:{h:x}:{g:x};" for at, level, h, g in f.anchors)
+    return f"{f.n:x}.{f.e:x}.{f.whole:016x}.{''.join(f'{x:08x}' for x in f.head)}.{''.join(f'{x:08x}' for x in f.tail)}.{f.coarse:x}.{anchors}"
 
 
-def parsed(s: str) -> tuple:
-    n, e, whole, head, tail = s.split(".")
+def parsed(s: str) -> Fingerprint:
+    n, e, whole, head, tail, coarse, anchors = s.split(".")
     marks = lambda x: [int(x[i : i + 8], 16) for i in range(0, len(x), 8)]
-    return int(n, 16), int(e, 16), int(whole, 16), marks(head), marks(tail)
+    return Fingerprint(int(n, 16), int(e, 16), int(whole, 16), marks(head), marks(tail), int(coarse, 16), [tuple(int(v, 16) for v in a.split(":")) for a in anchors.split(";")[:-1]])
 
 
 def _common(a: list[int], ea: int, b: list[int], eb: int) -> int:
@@ -102,14 +160,19 @@ def _common(a: list[int], ea: int, b: list[int], eb: int) -> int:
     return lo << e
 
 
-def likeness(a: tuple, b: tuple) -> float:
-    """Share of the longer text that a common prefix and a common suffix cover, by the marks: 0 to 1, 1 for equal texts."""
-    if a[0] == b[0] and a[2] == b[2]:
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """0 to 1, 1 for equal texts: the share of the longer text that a common prefix and suffix cover by the marks, or that spans between anchors do which both texts hold.
+
+    The spans are those of the coarser fingerprint's anchors; one that a text holds twice counts as often as the other has it.
+    """
+    if a.n == b.n and a.whole == b.whole:
         return 1.0
-    if not a[0] or not b[0]:
+    if not a.n or not b.n:
         return 0.0
-    both = _common(a[3], a[1], b[3], b[1]) + _common(a[4], a[1], b[4], b[1])
-    return min(both, min(a[0], b[0])) / max(a[0], b[0])
+    both = _common(a.head, a.e, b.head, b.e) + _common(a.tail, a.e, b.tail, b.e)
+    level = max(a.coarse, b.coarse)
+    shared = sum((a.spans(level) & b.spans(level)).values())
+    return min(max(both, shared), a.n, b.n) / max(a.n, b.n)
 
 
 def fingerprints(df: DataFrame, column: str = "text") -> DataFrame:
