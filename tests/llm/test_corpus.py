@@ -444,7 +444,7 @@ def plainly_mixed(rows, seed="mix"):
 
 
 def test_mix_equals_a_plain_walk(spark, docs, odd, none, monkeypatch):
-    for least in (mixing.LEAST, 2):
+    for least in (100_000, mixing.LEAST, 2):
         monkeypatch.setattr(mixing, "LEAST", least)
         for df in (docs, odd):
             df = df.select("doc_id", "source", "text")

@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 #: A source is taken this many times at most.
 MOST = 3
 #: A band is salted into cells of about 1 / (SPREAD * partitions) of the rows, and LEAST rows at least.
-SPREAD, LEAST = 16, 4096
+SPREAD, LEAST = 16, 256
 #: Cells up to which they are broadcast; above, they are joined by a shuffle, with the same result.
 FEW = 100_000
 
