@@ -22,9 +22,12 @@ MOST_EDGES = 5_000_000
 
 
 def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that executors share (spark.checkpoint.dir), so that later jobs do not compute it anew."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
