@@ -194,6 +194,20 @@ def hop_distances(edges: DataFrame, source: int) -> DataFrame:
         seen = _written(seen.union(front))
 
 
+def region_paths(near: dict[int, list[int]], source: int) -> dict[int, list[int]]:
+    """A path of fewest moves from one region to every other that can be reached; among equals the one found first over ascending neighbours."""
+    paths, front = {source: [source]}, [source]
+    while front:
+        ahead = []
+        for x in front:
+            for y in sorted(near[x]):
+                if y not in paths:
+                    paths[y] = [*paths[x], y]
+                    ahead.append(y)
+        front = ahead
+    return {y: p for y, p in paths.items() if y != source}
+
+
 def farthest_points(points: np.ndarray, k: int, first: int = 0) -> list[int]:
     """Greedy centers: each next one is the point farthest from those before, the smaller index on ties."""
     out = [first]

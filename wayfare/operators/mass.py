@@ -26,6 +26,22 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+def below(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows of smaller `order`, which is unique, without a task that sees all rows.
+
+    Rows are dealt into ranges of about equal counts; a range's own sums come from a window inside it, those before it
+    from the totals of the ranges.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)] or [0.5], 1000)).first()[0] or []))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    df = df.withColumn("_range", at)
+    totals = df.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    totals = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.join(F.broadcast(totals), "_range").withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_range", "_before")
+
+
 def cpc(p: DataFrame, name: str = "cpc") -> DataFrame:
     """Common part: sum of the smaller share; 0 if a side is empty."""
     q = with_totals(p)
@@ -146,9 +162,8 @@ def spearman(p: DataFrame, domain: int, name: str = "spearman") -> DataFrame:
     def ranks(column: str) -> DataFrame:
         by = p.where(F.col(column) > 0).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         present = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("present"))
-        w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         zero = domain - F.col("present")
-        by = by.crossJoin(F.broadcast(present)).select("value", (zero + F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+        by = below(by, "value", "n", "less").crossJoin(F.broadcast(present)).select("value", (zero + F.col("less") + (F.col("n") + 1) / 2).alias("rank"))
         return by, present.select(((domain - F.col("present") + 1) / 2).alias("rank0"))
 
     a, a0 = ranks("r")

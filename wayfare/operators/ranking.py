@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mass import below
+
 
 def triples(runs: DataFrame, value: str = "cell") -> DataFrame:
     """(trip, seq, a, b, c, ...) of neighbouring values."""
@@ -88,8 +90,31 @@ def competition(df: DataFrame, group: str, value: str, name: str = "place") -> D
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve by counts of equal scores, ties worth one half; one pass over the distinct scores."""
-    by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    """Area under the curve by counts of equal scores, ties worth one half; the sums below each score need no task that sees all scores."""
+    by = df.groupBy(F.col(score).alias("_score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    by = below(by, "_score", "neg", "below")
     return by.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+
+
+def balanced_at_median(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Balanced accuracy of calling positive what scores at least the median."""
+    m = df.agg(F.percentile(score, F.lit(0.5)).alias("_median"))
+    s, y = F.col(score), F.col(label)
+    right = lambda is_one: F.sum(F.when((y == is_one) & ((s >= F.col("_median")) if is_one else (s < F.col("_median"))), 1.0).otherwise(0.0))
+    return df.crossJoin(F.broadcast(m)).agg(((right(1) / F.sum(y) + right(0) / F.sum(1 - y)) / 2).alias("balanced"))
+
+
+def tpr_at(df: DataFrame, score: str, label: str, share: float, name: str) -> DataFrame:
+    """Share of positives at or above the score of the negative that stands at `share` of all negatives, from above."""
+    w = Window.orderBy(F.desc(score))
+    n = df.where(F.col(label) == 0)
+    k = F.greatest(F.lit(1), F.floor(F.col("n") * share))
+    cut = n.select(F.col(score).alias("_s"), F.row_number().over(w).alias("i")).crossJoin(F.broadcast(n.agg(F.count(F.lit(1)).alias("n")))).where(F.col("i") == k).select(F.col("_s").alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).agg(F.avg(F.when(F.col(label) == 1, F.when(F.col(score) >= F.col("_cut"), 1.0).otherwise(0.0))).alias(name))
+
+
+def topk_accuracy(scored: DataFrame, case: list[str], item: str, truth: str, score: str, k: int, name: str) -> DataFrame:
+    """Share of cases whose true item is among the k of highest score, smaller items first on ties."""
+    w = Window.partitionBy(*case).orderBy(F.desc(score), item)
+    hit = scored.withColumn("_i", F.row_number().over(w)).groupBy(*case).agg(F.max(F.when((F.col("_i") <= k) & (F.col(item) == F.col(truth)), 1.0).otherwise(0.0)).alias("_hit"))
+    return hit.agg(F.avg("_hit").alias(name))

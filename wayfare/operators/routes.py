@@ -6,7 +6,6 @@ without an edge. All shares are over slots where the measure says so, never over
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -69,36 +68,24 @@ def prefixes(edges: DataFrame) -> DataFrame:
     return f.select("side", "trip", "o", "d", F.array_join(F.slice("path", 1, F.col("n")), "-").alias("prefix"), (1.0 / (F.size("path") - 1)).alias("mass"))
 
 
-def decomposed(edges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
-    """Backbone and closed walks of one route: whenever a node on the path is met again, the walk since then is taken out."""
-    path: list[tuple[int, int]] = []
-    place = {edges[0][0]: 0} if edges else {}
-    loops = []
-    for u, v in edges:
-        if v in place:
-            keep = place[v]
-            loops.append([*path[keep:], (u, v)])
-            for _, node in path[keep:]:
-                del place[node]
-            del path[keep:]
-        else:
-            path.append((u, v))
-            place[v] = len(path)
-    return path, loops
-
-
 def retention(edges: DataFrame, lengths: Column) -> DataFrame:
-    """Per route: length, backbone length, closed length, closed walks and repeated edges; lengths: column of the edge's length."""
-
-    def per(batches):
-        for p in batches:
-            rows = []
-            for trip, side, walk in zip(p["trip"], p["side"], p["walk"], strict=True):
-                steps = [(x["u"], x["v"]) for x in walk]
-                size = {(x["u"], x["v"]): x["length"] for x in walk}
-                back, loops = decomposed(steps)
-                rows.append((trip, side, sum(size[e] for e in steps), sum(size[e] for e in back), sum(size[e] for w in loops for e in w), len(loops), len(steps) - len(set(steps))))
-            yield pd.DataFrame(rows, columns=["trip", "side", "total", "backbone", "closed", "walks", "repeats"])
+    """Per route: length, backbone length, closed length, closed walks and repeated edges; lengths: column of the edge's length.
 
+    A fold along the route keeps the nodes of the backbone and the lengths between them. Where an edge comes back to
+    a node of the backbone, everything behind that node is one closed walk and leaves it.
+    """
     e = edges.groupBy("trip", "side").agg(F.array_sort(F.collect_list(F.struct("seq", "u", "v", lengths.cast("double").alias("length")))).alias("walk"))
-    return e.mapInPandas(per, "trip long, side int, total double, backbone double, closed double, walks long, repeats long")
+    none = F.array().cast("array<double>")
+    start = F.struct(F.array(F.get("walk", F.lit(0))["u"]).alias("nodes"), none.alias("lens"), F.lit(0.0).alias("closed"), F.lit(0).cast("long").alias("walks"))
+    sums = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+    def step_on(s: Column, x: Column) -> Column:
+        at = F.array_position(s["nodes"], x["v"]).cast("int")
+        kept = F.slice(s["lens"], 1, F.greatest(at - 1, F.lit(0)))
+        back = F.struct(F.slice(s["nodes"], 1, F.greatest(at, F.lit(1))).alias("nodes"), kept.alias("lens"), (s["closed"] + sums(s["lens"]) - sums(kept) + x["length"]).alias("closed"), (s["walks"] + 1).alias("walks"))
+        on = F.struct(F.concat(s["nodes"], F.array(x["v"])).alias("nodes"), F.concat(s["lens"], F.array(x["length"])).alias("lens"), s["closed"].alias("closed"), s["walks"].alias("walks"))
+        return F.when(at > 0, back).otherwise(on)
+
+    e = e.withColumn("end", F.aggregate("walk", start, step_on))
+    pairs = F.transform("walk", lambda x: F.struct(x["u"], x["v"]))
+    return e.select(F.col("trip").cast("long").alias("trip"), F.col("side").cast("int").alias("side"), sums(F.transform("walk", lambda x: x["length"])).alias("total"), sums(F.col("end.lens")).alias("backbone"), F.col("end.closed").alias("closed"), F.col("end.walks").alias("walks"), (F.size("walk") - F.size(F.array_distinct(pairs))).cast("long").alias("repeats"))

@@ -1,3 +1,3 @@
 """Queries over the driver tables, by family; importing the package registers them."""
 
-from . import distributions, measures, prediction, roads, routes, sequences  # noqa: F401
+from . import blocks, distributions, measures, prediction, roads, routes, sequences  # noqa: F401

@@ -74,10 +74,10 @@ def range_queries(spark, sf):
     v = V.ev(spark, sf).select("trip", "side", "cell").distinct().join(F.broadcast(q), "cell").select("rect", "trip", "side").distinct()
     n = V.ev(spark, sf).agg(F.countDistinct(F.when(F.col("side") == 0, F.col("trip"))).alias("nr"), F.countDistinct(F.when(F.col("side") == 1, F.col("trip"))).alias("ns"))
     p = M.pairs(v, ["rect"]).crossJoin(F.broadcast(n)).withColumns({"b": F.col("r") / F.col("nr"), "a": F.col("s") / F.col("ns")})
-    return _rounded(p.agg(F.avg(F.abs(F.col("a") - F.col("b")) / F.greatest(F.col("b"), 1.0 / F.col("nr"))).alias("are"), F.count(F.lit(1)).alias("rects")))
+    return _rounded(p.agg(F.avg(F.abs(F.col("a") - F.col("b")) / F.greatest(F.col("b"), 1.0 / F.col("nr"))).alias("are"), F.count(F.lit(1)).alias("rects"), F.avg(F.abs(F.col("s") - F.col("r")) / F.greatest(F.col("s") + F.col("r"), F.lit(1.0))).alias("smape"), F.avg(F.when(F.col("r") >= 5, F.abs(F.col("s") - F.col("r")) / F.col("r"))).alias("are5")))
 
 
-register("range_queries", range_queries, f"WITH {V.EV}, q(rect, y, x, h, w) AS (VALUES {', '.join(f'({i}, {y}, {x}, {h}, {w})' for i, (y, x, h, w) in enumerate(_RECTS))}), n AS (SELECT count(DISTINCT CASE WHEN side = 0 THEN trip END) AS nr, count(DISTINCT CASE WHEN side = 1 THEN trip END) AS ns FROM ev), c AS (SELECT rect, count(DISTINCT CASE WHEN side = 0 THEN trip END) AS r, count(DISTINCT CASE WHEN side = 1 THEN trip END) AS s FROM q JOIN ev ON row >= y AND row < y + h AND col >= x AND col < x + w GROUP BY rect) SELECT round(avg(abs(CAST(s AS DOUBLE) / ns - CAST(r AS DOUBLE) / nr) / greatest(CAST(r AS DOUBLE) / nr, 1.0 / nr)), 6) AS are, count(*) AS rects FROM c, n")
+register("range_queries", range_queries, f"WITH {V.EV}, q(rect, y, x, h, w) AS (VALUES {', '.join(f'({i}, {y}, {x}, {h}, {w})' for i, (y, x, h, w) in enumerate(_RECTS))}), n AS (SELECT count(DISTINCT CASE WHEN side = 0 THEN trip END) AS nr, count(DISTINCT CASE WHEN side = 1 THEN trip END) AS ns FROM ev), c AS (SELECT rect, count(DISTINCT CASE WHEN side = 0 THEN trip END) AS r, count(DISTINCT CASE WHEN side = 1 THEN trip END) AS s FROM q JOIN ev ON row >= y AND row < y + h AND col >= x AND col < x + w GROUP BY rect) SELECT round(avg(abs(CAST(s AS DOUBLE) / ns - CAST(r AS DOUBLE) / nr) / greatest(CAST(r AS DOUBLE) / nr, 1.0 / nr)), 6) AS are, count(*) AS rects, round(avg(abs(s - r) / greatest(CAST(s + r AS DOUBLE), 1.0)), 6) AS smape, round(avg(CASE WHEN r >= 5 THEN abs(s - r) / CAST(r AS DOUBLE) END), 6) AS are5 FROM c, n")
 
 
 def _ends(spark, sf):
@@ -121,20 +121,30 @@ register("length_histogram", length_histogram, f"WITH {V.POINTS}, d AS (SELECT t
 def structure(spark, sf):
     """Usable share, mean points, revisits, closed trips and directness of each side."""
     p = V.points(spark, sf).withColumn("d", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step())))
-    t = p.groupBy("trip", "side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("places"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("path"), F.hypot(F.max_by("x", "seq") - F.min_by("x", "seq"), F.max_by("y", "seq") - F.min_by("y", "seq")).alias("chord"))
+    t = p.groupBy("trip", "side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.round("x", 3), F.round("y", 3)).alias("places"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("path"), F.hypot(F.max_by("x", "seq") - F.min_by("x", "seq"), F.max_by("y", "seq") - F.min_by("y", "seq")).alias("chord"))
     ok = F.col("n") >= 2
     return _rounded(t.groupBy("side").agg(F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("usable"), F.avg(F.when(ok, F.col("n"))).alias("mean_points"), F.avg(F.when(ok, 1 - F.col("places") / F.col("n"))).alias("revisit"), F.avg(F.when(ok, F.when(F.col("chord") < 1000, 1.0).otherwise(0.0))).alias("closed"), F.avg(F.when(ok & (F.col("path") > 0), F.col("chord") / F.col("path"))).alias("directness")))
 
 
-register("structure_summary", structure, f"WITH {V.POINTS}, d AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM points WINDOW w AS (PARTITION BY trip ORDER BY seq)), t AS (SELECT trip, side, count(*) AS n, count(DISTINCT x) AS places, coalesce(sum(d), 0) AS path, sqrt((arg_max(x, seq) - arg_min(x, seq)) ** 2 + (arg_max(y, seq) - arg_min(y, seq)) ** 2) AS chord FROM d GROUP BY trip, side) SELECT side, round(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END), 6) AS usable, round(avg(CASE WHEN n >= 2 THEN n END), 6) AS mean_points, round(avg(CASE WHEN n >= 2 THEN 1 - places / n END), 6) AS revisit, round(avg(CASE WHEN n >= 2 THEN CASE WHEN chord < 1000 THEN 1.0 ELSE 0.0 END END), 6) AS closed, round(avg(CASE WHEN n >= 2 AND path > 0 THEN chord / path END), 6) AS directness FROM t GROUP BY side")
+register("structure_summary", structure, f"WITH {V.POINTS}, d AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM points WINDOW w AS (PARTITION BY trip ORDER BY seq)), t AS (SELECT trip, side, count(*) AS n, count(DISTINCT (round(x, 3), round(y, 3))) AS places, coalesce(sum(d), 0) AS path, sqrt((arg_max(x, seq) - arg_min(x, seq)) ** 2 + (arg_max(y, seq) - arg_min(y, seq)) ** 2) AS chord FROM d GROUP BY trip, side) SELECT side, round(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END), 6) AS usable, round(avg(CASE WHEN n >= 2 THEN n END), 6) AS mean_points, round(avg(CASE WHEN n >= 2 THEN 1 - places / n END), 6) AS revisit, round(avg(CASE WHEN n >= 2 THEN CASE WHEN chord < 1000 THEN 1.0 ELSE 0.0 END END), 6) AS closed, round(avg(CASE WHEN n >= 2 AND path > 0 THEN chord / path END), 6) AS directness FROM t GROUP BY side")
 
 
 def input_stats(spark, sf):
-    n = V.points(spark, sf).groupBy("trip", "side").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
-    return _rounded(n.groupBy("side").agg(F.count(F.lit(1)).alias("trips"), F.avg("n").alias("mean_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.percentile("n", F.lit(0.5)).alias("median_n"), F.min("lo").alias("lowest"), F.max("hi").alias("highest")))
+    """Number, mean, median (the upper middle), extremes of trip lengths, mean step and mean chord, extents, by side.
 
+    The median comes from the counts of equal lengths, so no side is sorted in one task.
+    """
+    p = V.points(spark, sf)
+    hop = F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step()))
+    n = p.withColumn("d", hop).groupBy("trip", "side").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.sum("d").alias("path"), F.hypot(F.max_by("x", "seq") - F.min_by("x", "seq"), F.max_by("y", "seq") - F.min_by("y", "seq")).alias("chord"))
+    w = Window.partitionBy("side")
+    by = n.groupBy("side", "n").agg(F.count(F.lit(1)).alias("k")).withColumns({"upto": F.sum("k").over(w.orderBy("n")), "all": F.sum("k").over(w)})
+    middle = by.where(F.col("upto") > F.expr("all div 2")).groupBy("side").agg(F.min("n").alias("median_n"))
+    t = n.groupBy("side").agg(F.count(F.lit(1)).alias("trips"), F.avg("n").alias("mean_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), (F.sum("path") / F.sum(F.col("n") - 1)).alias("step_mean"), F.avg("chord").alias("chord_mean"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))
+    return _rounded(t.join(middle, "side"), 4)
 
-register("input_stats", input_stats, f"WITH {V.POINTS}, t AS (SELECT trip, side, count(*) AS n, min(y) AS lo, max(y) AS hi FROM points GROUP BY trip, side) SELECT side, count(*) AS trips, round(avg(n), 6) AS mean_n, min(n) AS min_n, max(n) AS max_n, round(CAST(quantile_cont(n, 0.5) AS DOUBLE), 6) AS median_n, round(min(lo), 6) AS lowest, round(max(hi), 6) AS highest FROM t GROUP BY side")
+
+register("input_stats", input_stats, f"WITH {V.POINTS}, d AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM points WINDOW w AS (PARTITION BY trip ORDER BY seq)), t AS (SELECT trip, side, count(*) AS n, min(y) AS lo, max(y) AS hi, sum(d) AS path, sqrt((arg_max(x, seq) - arg_min(x, seq)) ** 2 + (arg_max(y, seq) - arg_min(y, seq)) ** 2) AS chord FROM d GROUP BY trip, side) SELECT side, count(*) AS trips, round(avg(n), 4) AS mean_n, min(n) AS min_n, max(n) AS max_n, list_sort(list(n))[count(*) // 2 + 1] AS median_n, round(sum(path) / sum(n - 1), 4) AS step_mean, round(avg(chord), 4) AS chord_mean, round(min(lo), 4) AS lowest, round(max(hi), 4) AS highest FROM t GROUP BY side")
 
 
 def spatial(spark, sf):
@@ -144,7 +154,8 @@ def spatial(spark, sf):
     q = M.pairs(p, ["ring"])
     c = p.agg(*(F.avg(F.when(F.col("side") == k, F.col(v))).alias(f"{v}{k}") for v in "ab" for k in (0, 1))).select(F.hypot(F.col("a0") - F.col("a1"), F.col("b0") - F.col("b1")).alias("centroid"))
     three = M.with_totals(M.pairs(p.withColumn("part", (F.col("ring") / 4).cast("int")), ["part"])).agg(F.sum(F.abs(F.col("r") / F.col("tr") - F.col("s") / F.col("ts"))).alias("ring_l1"))
-    return _rounded(M.jsd(q, "D", name="radial_jsd").crossJoin(F.broadcast(c)).crossJoin(F.broadcast(three)))
+    cover = M.support(M.pairs(p.withColumn("cell", S.cell(F.col("a"), 0.0, 1.0, 16) * 16 + S.cell(F.col("b"), 0.0, 1.0, 16)), ["cell"])).select(F.col("f1").alias("coverage_f1"))
+    return _rounded(M.jsd(q, "D", name="radial_jsd").crossJoin(F.broadcast(c)).crossJoin(F.broadcast(three)).crossJoin(F.broadcast(cover)))
 
 
-register("spatial_diagnostics", spatial, f"WITH {V.POINTS}, u AS (SELECT side, (x - {BOX[0]}) / {BOX[1] - BOX[0]} AS a, (y - {BOX[2]}) / {BOX[3] - BOX[2]} AS b FROM points), v AS (SELECT *, CAST(least(11, floor(sqrt((a - 0.5) ** 2 + (b - 0.5) ** 2) * 12)) AS INT) AS ring FROM u), p AS (SELECT ring, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS r, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS s FROM v GROUP BY ring), {Q}, c AS (SELECT sqrt((avg(a) FILTER (side = 0) - avg(a) FILTER (side = 1)) ** 2 + (avg(b) FILTER (side = 0) - avg(b) FILTER (side = 1)) ** 2) AS centroid FROM v), h AS (SELECT ring // 4 AS part, sum(r) / max(tr) AS x, sum(s) / max(ts) AS y FROM q GROUP BY 1) SELECT round(sum({js_sql('(r / tr)', '(s / ts)')}) / ln(2.0), 6) AS radial_jsd, (SELECT round(centroid, 6) FROM c) AS centroid, (SELECT round(sum(abs(x - y)), 6) FROM h) AS ring_l1 FROM q")
+register("spatial_diagnostics", spatial, f"WITH {V.POINTS}, u AS (SELECT side, (x - {BOX[0]}) / {BOX[1] - BOX[0]} AS a, (y - {BOX[2]}) / {BOX[3] - BOX[2]} AS b FROM points), v AS (SELECT *, CAST(least(11, floor(sqrt((a - 0.5) ** 2 + (b - 0.5) ** 2) * 12)) AS INT) AS ring FROM u), p AS (SELECT ring, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS r, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS s FROM v GROUP BY ring), {Q}, c AS (SELECT sqrt((avg(a) FILTER (side = 0) - avg(a) FILTER (side = 1)) ** 2 + (avg(b) FILTER (side = 0) - avg(b) FILTER (side = 1)) ** 2) AS centroid FROM v), h AS (SELECT ring // 4 AS part, sum(r) / max(tr) AS x, sum(s) / max(ts) AS y FROM q GROUP BY 1), f AS (SELECT CAST(greatest(0, least(15, floor(a * 16))) AS INT) * 16 + CAST(greatest(0, least(15, floor(b * 16))) AS INT) AS cell, count(*) FILTER (side = 0) > 0 AS r, count(*) FILTER (side = 1) > 0 AS s FROM v GROUP BY 1), f2 AS (SELECT 2.0 * count(*) FILTER (r AND s) / (count(*) FILTER (r) + count(*) FILTER (s)) AS coverage_f1 FROM f) SELECT (SELECT round(coverage_f1, 6) FROM f2) AS coverage_f1, round(sum({js_sql('(r / tr)', '(s / ts)')}) / ln(2.0), 6) AS radial_jsd, (SELECT round(centroid, 6) FROM c) AS centroid, (SELECT round(sum(abs(x - y)), 6) FROM h) AS ring_l1 FROM q")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.operators import graph as G
 from wayfare.operators import privacy as P
+from wayfare.operators import ranking as R
 from wayfare.registry import register
 from wayfare.sources import views as V
 
@@ -16,53 +17,9 @@ from .distributions import _rounded
 from .sequences import step
 
 BUDGET = 1_000_000
-_PHASED = f"{V.EV}, ph AS (SELECT trip, seq, row, CAST(least(3, (seq - 1) * 4 // count(*) OVER (PARTITION BY trip)) AS INT) AS phase FROM ev)"
 _HAMILTON = "h AS (SELECT *, sum(n) OVER (PARTITION BY trip) AS t FROM c), h2 AS (SELECT *, 1000000 * n // t AS q, (1000000 * n) % t AS r FROM h), h3 AS (SELECT *, 1000000 - sum(q) OVER (PARTITION BY trip) AS rest, row_number() OVER (PARTITION BY trip ORDER BY r DESC, {atom}) AS i FROM h2), units AS (SELECT *, q + CASE WHEN i <= rest THEN 1 ELSE 0 END AS units FROM h3)"
 
 
-def _phased(spark, sf):
-    n = F.count(F.lit(1)).over(Window.partitionBy("trip"))
-    return V.ev(spark, sf).select("trip", "seq", "row", F.least(F.lit(3), F.floor((F.col("seq") - 1) * 4 / n)).cast("int").alias("phase"))
-
-
-def occupancy(spark, sf):
-    """Exact totals of the occupancy block: each trip gives BUDGET units to its (phase, region) atoms."""
-    c = _phased(spark, sf).groupBy("trip", "phase", "row").agg(F.count(F.lit(1)).alias("n"))
-    return P.quantised(c, ["trip"], ["phase", "row"], BUDGET).groupBy("phase", "row").agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("trips"))
-
-
-register("dp_occupancy", occupancy, f"WITH {_PHASED}, c AS (SELECT trip, phase, row, count(*) AS n FROM ph GROUP BY trip, phase, row), {_HAMILTON.format(atom='phase, row')} SELECT phase, row, CAST(sum(units) AS BIGINT) AS units, count(*) AS trips FROM units GROUP BY phase, row")
-
-
-def _moves(spark, sf):
-    r = V.compress(V.ev(spark, sf).select("trip", "seq", "row"), "row")
-    r = r.withColumn("to", F.lead("row").over(step())).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("trip")))
-    return r.where("to IS NOT NULL OR len = 1").select("trip", F.when(F.col("len") == 1, -1).otherwise(F.col("row")).alias("a"), F.coalesce("to", F.lit(-1)).alias("b"))
-
-
-def transitions(spark, sf):
-    """Exact totals of the transition block; a trip that stays in one region gives all to the hold atom (-1, -1)."""
-    c = _moves(spark, sf).groupBy("trip", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return P.quantised(c, ["trip"], ["a", "b"], BUDGET).groupBy("a", "b").agg(F.sum("units").alias("units"))
-
-
-_MOVES = f"{V.EV}, r0 AS (SELECT trip, seq, row, lag(row) OVER (PARTITION BY trip ORDER BY seq) AS b FROM ev), r1 AS (SELECT trip, seq, row FROM r0 WHERE b IS NULL OR b <> row), r2 AS (SELECT trip, row, lead(row) OVER (PARTITION BY trip ORDER BY seq) AS nx, count(*) OVER (PARTITION BY trip) AS len FROM r1), c AS (SELECT trip, CASE WHEN len = 1 THEN -1 ELSE row END AS a, coalesce(nx, -1) AS b, count(*) AS n FROM r2 WHERE nx IS NOT NULL OR len = 1 GROUP BY 1, 2, 3)"
-register("dp_transitions", transitions, f"WITH {_MOVES}, {_HAMILTON.format(atom='a, b')} SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(sum(units) AS BIGINT) AS units FROM units GROUP BY a, b")
-
-
-def dwell(spark, sf):
-    """Runs of one region by their share of the trip, in five bins."""
-    e = _phased(spark, sf).withColumn("new", F.when(F.col("row").eqNullSafe(F.lag("row").over(step())), 0).otherwise(1))
-    e = e.withColumn("run", F.sum("new").over(step().rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("trip")))
-    r = e.groupBy("trip", "run").agg((F.count(F.lit(1)) / F.max("total")).alias("share"))
-    bins = F.size(F.filter(F.array(*(F.lit(x) for x in (0.05, 0.15, 0.35, 0.65))), lambda x: x <= F.col("share")))
-    c = r.groupBy("trip", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return P.quantised(c, ["trip"], ["bin"], BUDGET).groupBy("bin").agg(F.sum("units").alias("units"))
-
-
-register("dp_dwell", dwell, f"WITH {V.EV}, n AS (SELECT trip, seq, row, CASE WHEN row = lag(row) OVER (PARTITION BY trip ORDER BY seq) THEN 0 ELSE 1 END AS new, count(*) OVER (PARTITION BY trip) AS total FROM ev), g AS (SELECT *, sum(new) OVER (PARTITION BY trip ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM n), s AS (SELECT trip, run, CAST(count(*) AS DOUBLE) / max(total) AS share FROM g GROUP BY trip, run), c AS (SELECT trip, CASE WHEN share >= 0.05 THEN 1 ELSE 0 END + CASE WHEN share >= 0.15 THEN 1 ELSE 0 END + CASE WHEN share >= 0.35 THEN 1 ELSE 0 END + CASE WHEN share >= 0.65 THEN 1 ELSE 0 END AS bin, count(*) AS n FROM s GROUP BY 1, 2), {_HAMILTON.format(atom='bin')} SELECT CAST(bin AS INT) AS bin, CAST(sum(units) AS BIGINT) AS units FROM units GROUP BY bin")
-
-
 def _vector(spark, sf):
     """Cell counts moved by a fixed pattern, as a stand-in for a noisy vector whose draws are not repeatable."""
     return V.ev(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("x", (F.col("n") + (F.col("cell") * 37 % 101 - 50) * 3).cast("double"))
@@ -90,26 +47,46 @@ _N = repr(P.expected_noise(20.0))
 register("dp_log_lift", lift, f"WITH {V.EV}, c AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell), l AS (SELECT cell, n, greatest(-2.0, least(2.0, ln((n + 1e-9) / sum(n) OVER () * count(*) OVER ()))) AS lift FROM c) SELECT cell, round(lift, 6) AS lift, round(lift * n / (n + {_N}), 6) AS shrunk, n < {_N} AS dominated FROM l")
 
 
+def dominated(spark, sf):
+    """Share of the exact mass of the cells that expected noise of several scales reaches or passes."""
+    c = V.ev(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    t = [F.struct(F.lit(x).alias("scale"), (F.sum(F.when(F.col("n") <= P.expected_noise(x), F.col("n")).otherwise(0)) / F.sum("n")).alias("dominated")) for x in SCALES]
+    return _rounded(c.agg(F.array(*t).alias("t")).select(F.inline("t")))
+
+
+SCALES = (5.0, 20.0, 100.0, 200.0)
+register("dp_dominated_mass", dominated, f"WITH {V.EV}, c AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell), q(scale, noise) AS (VALUES {', '.join(f'({x}::DOUBLE, {P.expected_noise(x)!r}::DOUBLE)' for x in SCALES)}) SELECT scale, round(sum(CASE WHEN n <= noise THEN n ELSE 0 END) / sum(n), 6) AS dominated FROM c, q GROUP BY scale")
+
+
 def _network(spark, sf):
-    """The pairs with (u * 25 + v) % 11 = 0 only, about one in eleven, so that the graph falls into parts; the graph_all_ queries take all."""
-    e = V.edges(spark, sf).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
-    return e.where("(u * 25 + v) % 11 = 0").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), (1.0 + (F.col("u") * 13 + F.col("v") * 7) % 10).alias("length"))
+    """Every directed pair of neighbouring hops, with a public length."""
+    e = V.edges(spark, sf).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
+    return e.withColumn("length", 1.0 + (F.col("u") * 13 + F.col("v") * 7) % 10)
 
 
-_NET = f"{V.EDGES}, net AS (SELECT DISTINCT u, v, 1.0 + (u * 13 + v * 7) % 10 AS length FROM edges WHERE (u * 25 + v) % 11 = 0)"
+_NET = f"{V.EDGES}, net AS (SELECT DISTINCT u, v, 1.0 + (u * 13 + v * 7) % 10 AS length FROM edges)"
 register("graph_components", lambda s, d: G.weak_components(_network(s, d)), f"WITH RECURSIVE {_NET}, un AS (SELECT u, v FROM net UNION SELECT v, u FROM net), walk AS (SELECT u AS node, u AS root FROM un UNION SELECT un.v, walk.root FROM walk JOIN un ON walk.node = un.u) SELECT CAST(node AS BIGINT) AS node, CAST(min(root) AS BIGINT) AS root FROM walk GROUP BY node")
-register("graph_hops", lambda s, d: G.hop_distances(_network(s, d), 1), f"WITH RECURSIVE {_NET}, walk(node, hops) AS (SELECT 1, 0 UNION SELECT net.v, hops + 1 FROM walk JOIN net ON net.u = walk.node WHERE hops < 30) SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS INT) AS hops FROM walk GROUP BY node")
+register("graph_hops", lambda s, d: G.hop_distances(_network(s, d), 1), f"WITH RECURSIVE {_NET}, walk(node, hops) AS (SELECT 1, 0 UNION SELECT net.v, hops + 1 FROM walk JOIN net ON net.u = walk.node WHERE hops < (SELECT count(*) FROM nation)) SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS INT) AS hops FROM walk GROUP BY node")
+
+
+def largest(spark, sf):
+    """Edges of the largest weakly connected part."""
+    return G.largest_component(_network(spark, sf)).select("u", "v")
+
+
+register("graph_largest_component", largest, f"WITH RECURSIVE {_NET}, un AS (SELECT u, v FROM net UNION SELECT v, u FROM net), walk AS (SELECT u AS node, u AS root FROM un UNION SELECT un.v, walk.root FROM walk JOIN un ON walk.node = un.u), c AS (SELECT node, min(root) AS root FROM walk GROUP BY node), b AS (SELECT root FROM c GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v FROM net JOIN c ON c.node = u JOIN b ON b.root = c.root")
 
 
 def paths(spark, sf):
-    """Shortest lengths in the thinned network from nodes divisible by 5 to nodes divisible by 7."""
+    """Shortest lengths between all pairs of nodes; unreachable pairs have no row."""
     n = _network(spark, sf)
     nodes = n.select("u").union(n.select("v")).distinct()
-    asked = nodes.where("u % 5 = 0").select(F.col("u").alias("src")).crossJoin(F.broadcast(nodes.where("u % 7 = 0").select(F.col("u").alias("dst"))))
+    asked = nodes.select(F.col("u").alias("src")).crossJoin(F.broadcast(nodes.select(F.col("u").alias("dst"))))
     return _rounded(G.shortest_paths(asked, n).where("length IS NOT NULL").select("src", "dst", "length"))
 
 
-register("graph_shortest_paths", paths, f"WITH RECURSIVE {_NET}, nodes AS (SELECT u FROM net UNION SELECT v FROM net), walk(src, node, length) AS (SELECT u, u, CAST(0 AS DOUBLE) FROM nodes WHERE u % 5 = 0 UNION SELECT src, net.v, walk.length + net.length FROM walk JOIN net ON net.u = walk.node WHERE walk.length < 80) SELECT CAST(src AS BIGINT) AS src, CAST(node AS BIGINT) AS dst, round(min(length), 6) AS length FROM walk WHERE node % 7 = 0 GROUP BY src, node")
+_PATHS = ", ".join(f"k{i + 1} AS (SELECT a.u, b.v, min(a.length + b.length) AS length FROM k{i} a JOIN k{i} b ON a.v = b.u GROUP BY a.u, b.v)" for i in range(6))
+register("graph_shortest_paths", paths, f"WITH {_NET}, k0 AS (SELECT u, v, CAST(length AS DOUBLE) AS length FROM net UNION ALL SELECT DISTINCT x, x, 0.0 FROM (SELECT u AS x FROM net UNION SELECT v FROM net)), {_PATHS} SELECT CAST(u AS BIGINT) AS src, CAST(v AS BIGINT) AS dst, round(min(length), 6) AS length FROM k6 GROUP BY u, v")
 
 
 def quotient(spark, sf):
@@ -120,30 +97,26 @@ def quotient(spark, sf):
 register("graph_quotient", quotient, f"WITH {_NET}, q AS (SELECT a.n_regionkey AS ru, b.n_regionkey AS rv, length FROM net JOIN nation a ON a.n_nationkey = u JOIN nation b ON b.n_nationkey = v WHERE a.n_regionkey <> b.n_regionkey) SELECT ru, rv, count(*) AS crossings, round(sum(CAST(1 AS DOUBLE) / length), 6) AS weight FROM q GROUP BY ru, rv")
 
 
-def _whole_network(spark, sf):
-    """Every directed pair of neighbouring hops, with the lengths of _network."""
-    e = V.edges(spark, sf).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
-    return e.withColumn("length", 1.0 + (F.col("u") * 13 + F.col("v") * 7) % 10)
+def priors(spark, sf):
+    """Public prior of each region: half of each road's length at either end, and its share."""
+    n = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("u"), F.col("n_regionkey").alias("region"))
+    e = _network(spark, sf)
+    half = e.select("u", F.col("length")).union(e.select(F.col("v").alias("u"), "length")).join(n, "u").groupBy("region").agg((F.sum("length") / 2).alias("mass"))
+    t = half.agg(F.sum("mass").alias("total"))
+    return _rounded(half.crossJoin(F.broadcast(t)).select("region", "mass", (F.col("mass") / F.col("total")).alias("share")))
 
 
-def all_paths(spark, sf):
-    """Shortest lengths between all pairs of nodes; unreachable pairs have no row."""
-    n = _whole_network(spark, sf)
-    nodes = n.select("u").union(n.select("v")).distinct()
-    asked = nodes.select(F.col("u").alias("src")).crossJoin(F.broadcast(nodes.select(F.col("u").alias("dst"))))
-    return _rounded(G.shortest_paths(asked, n).where("length IS NOT NULL").select("src", "dst", "length"))
+register("graph_region_priors", priors, f"WITH {_NET}, h AS (SELECT u, length FROM net UNION ALL SELECT v, length FROM net), r AS (SELECT n_regionkey AS region, sum(length) / 2 AS mass FROM h JOIN nation ON n_nationkey = u GROUP BY 1) SELECT region, round(CAST(mass AS DOUBLE), 6) AS mass, round(CAST(mass / sum(mass) OVER () AS DOUBLE), 6) AS share FROM r")
 
 
-def all_quotient(spark, sf):
-    labels = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("region"))
-    return _rounded(G.quotient(_whole_network(spark, sf), labels))
+def cycle_rank(spark, sf):
+    """Nodes, undirected edges, parts and independent cycles of the network."""
+    e = _network(spark, sf).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    c = G.weak_components(e).agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("root").alias("parts"))
+    return e.agg(F.count(F.lit(1)).alias("edges")).crossJoin(F.broadcast(c)).select("nodes", "edges", "parts", (F.col("edges") - F.col("nodes") + F.col("parts")).alias("cycles"))
 
 
-_ALL = f"{V.EDGES}, net AS (SELECT DISTINCT u, v, 1.0 + (u * 13 + v * 7) % 10 AS length FROM edges)"
-register("graph_all_components", lambda s, d: G.weak_components(_whole_network(s, d)), f"WITH RECURSIVE {_ALL}, un AS (SELECT u, v FROM net UNION SELECT v, u FROM net), walk AS (SELECT u AS node, u AS root FROM un UNION SELECT un.v, walk.root FROM walk JOIN un ON walk.node = un.u) SELECT CAST(node AS BIGINT) AS node, CAST(min(root) AS BIGINT) AS root FROM walk GROUP BY node")
-register("graph_all_hops", lambda s, d: G.hop_distances(_whole_network(s, d), 1), f"WITH RECURSIVE {_ALL}, walk(node, hops) AS (SELECT 1, 0 UNION SELECT net.v, hops + 1 FROM walk JOIN net ON net.u = walk.node WHERE hops < (SELECT count(*) FROM nation)) SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS INT) AS hops FROM walk GROUP BY node")
-register("graph_all_shortest_paths", all_paths)
-register("graph_all_quotient", all_quotient, f"WITH {_ALL}, q AS (SELECT a.n_regionkey AS ru, b.n_regionkey AS rv, length FROM net JOIN nation a ON a.n_nationkey = u JOIN nation b ON b.n_nationkey = v WHERE a.n_regionkey <> b.n_regionkey) SELECT ru, rv, count(*) AS crossings, round(sum(CAST(1 AS DOUBLE) / length), 6) AS weight FROM q GROUP BY ru, rv")
+register("graph_cycle_rank", cycle_rank, f"WITH RECURSIVE {_NET}, ue AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM net), un AS (SELECT u, v FROM net UNION SELECT v, u FROM net), walk AS (SELECT u AS node, u AS root FROM un UNION SELECT un.v, walk.root FROM walk JOIN un ON walk.node = un.u), c AS (SELECT node, min(root) AS root FROM walk GROUP BY node), t AS (SELECT count(*) AS nodes, count(DISTINCT root) AS parts FROM c) SELECT nodes, (SELECT count(*) FROM ue) AS edges, parts, (SELECT count(*) FROM ue) - nodes + parts AS cycles FROM t")
 
 
 def crossing_portals(spark, sf):
@@ -154,13 +127,47 @@ def crossing_portals(spark, sf):
 register("graph_portals", crossing_portals, f"WITH {V.EDGES}, c AS (SELECT ru, rv, u, v, count(*) AS weight FROM edges WHERE ru <> rv GROUP BY ru, rv, u, v), n AS (SELECT *, row_number() OVER (PARTITION BY ru, rv ORDER BY weight DESC, u, v) AS nth FROM c) SELECT ru, rv, u, v, CAST(nth AS INT) AS nth, CAST(row_number() OVER (ORDER BY ru, rv, nth) - 1 AS INT) AS \"offset\" FROM n WHERE nth <= 3")
 
 
+#: Student's t at 0.975 for one to nine degrees of freedom.
+T975 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163)
+_Z = 1.959963984540054
+#: Coefficients of the expansion of t at 0.975 in powers of 1 / degrees of freedom.
+_SERIES = ((_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160)
+
+
+def t975(df):
+    """Student's t at 0.975: exact up to nine degrees of freedom, then by its expansion, right to six digits or so."""
+    series = F.lit(_Z)
+    for i, c in enumerate(_SERIES, 1):
+        series = series + c / F.pow(df.cast("double"), F.lit(float(i)))
+    return F.when(df < 1, F.lit(None)).when(df <= len(T975), F.element_at(F.array(*map(F.lit, T975)), F.greatest(F.lit(1), F.least(F.lit(len(T975)), df)).cast("int"))).otherwise(series)
+
+
+def t975_sql(df):
+    series = " + ".join([repr(_Z), *(f"{c!r} / pow(CAST({df} AS DOUBLE), {i})" for i, c in enumerate(_SERIES, 1))])
+    return f"(CASE WHEN {df} < 1 THEN NULL WHEN {df} <= {len(T975)} THEN [{', '.join(map(repr, T975))}][greatest(1, least({len(T975)}, {df}))] ELSE {series} END)"
+
+
 def intervals(spark, sf):
-    """Mean balance and normal 95 % half-width by nation."""
+    """Mean balance and the half-width of its 95 % interval by Student's t, by nation."""
     c = V.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean"), F.stddev_samp("c_acctbal").alias("sd"), F.count(F.lit(1)).alias("n"))
-    return _rounded(c.select("c_nationkey", "mean", (1.959963984540054 * F.col("sd") / F.sqrt("n")).alias("half"), "n"), 4)
+    return _rounded(c.select("c_nationkey", "mean", (t975(F.col("n") - 1) * F.col("sd") / F.sqrt("n")).alias("half"), "n"), 4)
+
 
+register("stat_intervals", intervals, f"SELECT c_nationkey, round(avg(c_acctbal), 4) AS mean, round({t975_sql('(count(*) - 1)')} * stddev_samp(c_acctbal) / sqrt(count(*)), 4) AS half, count(*) AS n FROM customer GROUP BY c_nationkey")
 
-register("stat_intervals", intervals, "SELECT c_nationkey, round(avg(c_acctbal), 4) AS mean, round(1.959963984540054 * stddev_samp(c_acctbal) / sqrt(count(*)), 4) AS half, count(*) AS n FROM customer GROUP BY c_nationkey")
+
+def audit(spark, sf):
+    """Relative L1 error that float Laplace noise (for research only, drawn by hash) puts on the cell counts: mean and half-width over ten seeds, by budget."""
+    c = V.ev(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    draws = spark.range(10).select(F.col("id").cast("int").alias("seed")).crossJoin(spark.createDataFrame([(0.5,), (1.0,), (2.0,), (4.0,)], "epsilon double"))
+    u = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("seed").cast("string"), F.col("cell").cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5
+    noise = F.abs(F.ln(1 - 2 * F.abs(u)) / F.col("epsilon"))
+    e = c.crossJoin(F.broadcast(draws)).groupBy("epsilon", "seed").agg((F.sum(noise * 20) / F.sum("n")).alias("error"))  # 40 rows
+    g = e.groupBy("epsilon").agg(F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"), F.count(F.lit(1)).alias("n"))
+    return _rounded(g.select("epsilon", "mean", (t975(F.col("n") - 1) * F.col("sd") / F.sqrt("n")).alias("half"), "n"))
+
+
+register("audit_budgets", audit, f"WITH {V.EV}, c AS (SELECT cell, count(*) AS n FROM ev GROUP BY cell), d AS (SELECT CAST(s AS INT) AS seed, epsilon FROM range(10) r(s), (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) e(epsilon)), u AS (SELECT *, CAST('0x' || substr(sha256(CAST(seed AS VARCHAR) || '|' || CAST(cell AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5 AS u FROM c, d), e AS (SELECT epsilon, seed, sum(abs(ln(1 - 2 * abs(u)) / epsilon) * 20) / sum(n) AS error FROM u GROUP BY epsilon, seed) SELECT epsilon, round(avg(error), 6) AS mean, round({t975_sql('(count(*) - 1)')} * stddev_samp(error) / sqrt(count(*)), 6) AS half, count(*) AS n FROM e GROUP BY epsilon")
 
 
 def margins(spark, sf):
@@ -173,31 +180,6 @@ def margins(spark, sf):
 
 register("stat_retention", margins, "WITH c AS (SELECT c_mktsegment, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS coverage, avg(greatest(c_acctbal, 0.0) / 10000) AS quality FROM customer GROUP BY c_mktsegment), r AS (SELECT coverage * quality AS ref FROM c WHERE c_mktsegment = 'BUILDING') SELECT c_mktsegment, round(greatest(0.0, least(1.0, coverage * quality / ref)), 6) AS retention, round(greatest(0.0, least(1.0, 1 - quality)), 6) AS similarity, abs(coverage * quality - ref) >= greatest(0.005, 0.01 * abs(ref)) AS differs FROM c, r")
 
-#: Vectors whose nearest release attack_linkage seeks; attack_linkage_all seeks that of all.
-QUERIES = 64
-
-
-def linkage(spark, sf):
-    """Distance of a bounded sample of even vectors to the nearest odd one: the sample is broadcast, each batch of the rest is compared as one matrix."""
-    e = V.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    asked = e.where("vec_id % 2 = 0").orderBy(F.sha2(F.col("vec_id").cast("string"), 256)).limit(QUERIES).collect()
-    ids, q = np.array([r["vec_id"] for r in asked]), np.array([r["embedding"] for r in asked], float)
-
-    def nearest(batches):
-        best = np.full(len(ids), np.inf)
-        for p in batches:
-            x = np.array(p["embedding"].tolist(), float)
-            if len(x) and len(ids):
-                best = np.minimum(best, np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)).min(axis=1))
-        yield pd.DataFrame({"vec_id": ids, "distance": best})
-
-    d = e.where("vec_id % 2 = 1").select("embedding").mapInPandas(nearest, "vec_id long, distance double").groupBy("vec_id").agg(F.min("distance").alias("distance"))
-    return _rounded(d, 4)
-
-
-register("attack_linkage", linkage, f"WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 0 ORDER BY sha256(CAST(vec_id AS VARCHAR)) LIMIT {QUERIES}) SELECT q.vec_id, round(min(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 4) AS distance FROM q, embeddings e WHERE e.vec_id % 2 = 1 GROUP BY q.vec_id")
-
-
 #: Vectors of a block; two blocks are compared as one matrix.
 VECTORS = 512
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -229,24 +211,19 @@ def full_linkage(spark, sf):
     return _rounded(d, 4)
 
 
-register("attack_linkage_all", full_linkage)
+register("attack_linkage", full_linkage, "SELECT q.vec_id, round(min(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 4) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 2 = 0 AND e.vec_id % 2 = 1 GROUP BY q.vec_id")
 
 
-def bootstrap(spark, sf):
-    """Eight bootstrap means of one price by hash draws: every row has a Poisson weight for each draw, so no row is shuffled. stat_paired_bootstrap has the paired test."""
-    o = V.table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000 - 100).alias("x"))
-    u = lambda b: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(b)), F.col("o_orderkey")), 256), 1, 8), 16, 10).cast("double") / 2.0**32
-    edges = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
-    w = lambda b: sum(F.when(u(b) >= e, 1).otherwise(0) for e in edges)
-    s = o.select("x", *(w(b).alias(f"w{b}") for b in range(8))).agg(*(F.sum(F.col("x") * F.col(f"w{b}")).alias(f"s{b}") for b in range(8)), *(F.sum(f"w{b}").alias(f"n{b}") for b in range(8)))
-    return _rounded(s.select(F.inline(F.array(*(F.struct(F.lit(b).alias("draw"), (F.col(f"s{b}") / F.col(f"n{b}")).alias("mean")) for b in range(8))))), 4)
+def linkage_auc(spark, sf):
+    """How well nearness to the release tells members (ids divisible by 4) from other even vectors: AUC and balanced accuracy at the median."""
+    d = full_linkage(spark, sf).select((-F.col("distance")).alias("score"), F.when(F.col("vec_id") % 4 == 0, 1).otherwise(0).alias("label"))
+    return _rounded(R.auc(d, "score", "label").crossJoin(F.broadcast(R.balanced_at_median(d, "score", "label"))))
 
 
-_EDGES = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
-register("stat_bootstrap", bootstrap, "WITH d AS (SELECT CAST(i AS INT) AS draw FROM range(8) t(i)), w AS (SELECT draw, o_totalprice / 1000 - 100 AS x, CAST('0x' || substr(sha256(CAST(draw AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM orders, d) SELECT draw, round(sum(x * (" + " + ".join(f"CASE WHEN u >= {e!r} THEN 1 ELSE 0 END" for e in _EDGES) + ")) / sum(" + " + ".join(f"CASE WHEN u >= {e!r} THEN 1 ELSE 0 END" for e in _EDGES) + "), 4) AS mean FROM w GROUP BY draw")
+register("attack_linkage_auc", linkage_auc, "WITH d AS (SELECT -round(min(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 4) AS score, CASE WHEN q.vec_id % 4 = 0 THEN 1 ELSE 0 END AS label FROM embeddings q, embeddings e WHERE q.vec_id % 2 = 0 AND e.vec_id % 2 = 1 GROUP BY q.vec_id), k AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM d), c AS (SELECT sum(label) AS p, sum(1 - label) AS n, sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS s FROM k), m AS (SELECT quantile_cont(score, 0.5) AS median FROM d) SELECT (SELECT round((s - p * (p + 1) / 2.0) / (p * n), 6) FROM c) AS auc, CAST((SELECT p FROM c) AS BIGINT) AS positives, CAST((SELECT n FROM c) AS BIGINT) AS negatives, (SELECT round((sum(CASE WHEN label = 1 AND score >= median THEN 1.0 ELSE 0.0 END) / sum(label) + sum(CASE WHEN label = 0 AND score < median THEN 1.0 ELSE 0.0 END) / sum(1 - label)) / 2, 6) FROM d, m) AS balanced")
 
 
-#: Draws of the paired bootstrap, as in the reference.
+#: Draws of the paired bootstrap.
 PAIRED_DRAWS = 10_000
 
 
@@ -291,4 +268,4 @@ def paired_bootstrap(spark, sf):
     return _rounded(paired(dealt, PAIRED_DRAWS))
 
 
-register("stat_paired_bootstrap", paired_bootstrap)
+register("stat_bootstrap", paired_bootstrap)

@@ -177,8 +177,7 @@ register("holm_and_places", test_table, "WITH o AS (SELECT c_nationkey AS name,
 def attack_auc(spark, sf):
     """AUC and balanced accuracy at the median of text length as a score of the quality label."""
     d = V.table(spark, sf, "documents").select("doc_id", F.length("text").alias("score")).join(V.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    m = d.agg(F.percentile("score", F.lit(0.5)).alias("median"))
-    b = d.crossJoin(F.broadcast(m)).agg(((F.sum(F.when((F.col("label") == 1) & (F.col("score") >= F.col("median")), 1.0).otherwise(0.0)) / F.sum("label") + F.sum(F.when((F.col("label") == 0) & (F.col("score") < F.col("median")), 1.0).otherwise(0.0)) / F.sum(1 - F.col("label"))) / 2).alias("balanced"))
+    b = R.balanced_at_median(d, "score", "label")
     return _rounded(R.auc(d, "score", "label").crossJoin(F.broadcast(b)))
 
 

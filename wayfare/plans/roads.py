@@ -280,11 +280,11 @@ register("fil_witness_structure", witness_structure, f"WITH {V.EDGES}, {V.SLOTS}
 
 
 def arc_resample(spark, sf):
-    """Five points at equal distances along each track."""
-    return _rounded(P.resampled(tracks(spark, sf), 5), 4)
+    """Six points at equal distances along each track."""
+    return _rounded(P.resampled(tracks(spark, sf), 6))
 
 
-register("seq_arc_resample", arc_resample, f"WITH {TRACKS}, a AS (SELECT trip, row_number() OVER w AS nth, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM tracks WINDOW w AS (PARTITION BY trip ORDER BY seq)), s0 AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM a WHERE x1 IS NOT NULL), s AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY trip ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(len) OVER (PARTITION BY trip) AS total, max(nth) OVER (PARTITION BY trip) AS n FROM s0), k AS (SELECT *, total * k / 4.0 AS spot FROM s, range(5) r(k)), i AS (SELECT *, CASE WHEN len > 0 THEN greatest(0.0, least(1.0, (spot - start) / len)) ELSE 0.0 END AS f FROM k WHERE (spot >= start OR nth = 1) AND (spot < start + len OR nth = n) QUALIFY row_number() OVER (PARTITION BY trip, k ORDER BY nth) = 1) SELECT trip, CAST(k AS INT) AS k, round(x0 + (x1 - x0) * f, 4) AS x, round(y0 + (y1 - y0) * f, 4) AS y FROM i")
+register("seq_arc_resample", arc_resample, f"WITH {TRACKS}, a AS (SELECT trip, row_number() OVER w AS nth, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM tracks WINDOW w AS (PARTITION BY trip ORDER BY seq)), s0 AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM a WHERE x1 IS NOT NULL), s AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY trip ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(len) OVER (PARTITION BY trip) AS total, max(nth) OVER (PARTITION BY trip) AS n FROM s0), k AS (SELECT *, total * k / 5.0 AS spot FROM s, range(6) r(k)), i AS (SELECT *, CASE WHEN len > 0 THEN greatest(0.0, least(1.0, (spot - start) / len)) ELSE 0.0 END AS f FROM k WHERE (spot >= start OR nth = 1) AND (spot < start + len OR nth = n) QUALIFY row_number() OVER (PARTITION BY trip, k ORDER BY nth) = 1) SELECT trip, CAST(k AS INT) AS k, round(x0 + (x1 - x0) * f, 6) AS x, round(y0 + (y1 - y0) * f, 6) AS y FROM i")
 
 
 def route_shapes(spark, sf):

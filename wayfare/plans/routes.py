@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wayfare import registry
 from wayfare.operators import mass as M
 from wayfare.operators import ranking as K
 from wayfare.operators import routes as R
@@ -80,7 +81,7 @@ register("route_od_prefix", od_prefix, f"WITH {_FAMILY}, ends AS (SELECT trip, a
 
 
 def shape_retention(spark, sf):
-    """Length, backbone, closed length, closed walks and repeated edges of synthetic over real, per slot. The decomposition is a loop over each route."""
+    """Length, backbone, closed length, closed walks and repeated edges of synthetic over real, per slot."""
     t = R.retention(edges(spark, sf), F.lit(1.0) + (F.col("u") * 7 + F.col("v")) % 5)
     n = V.slots(spark, sf).agg(*(F.count_if(F.col("side") == k).alias(f"n{k}") for k in (0, 1)))
     names = ["total", "backbone", "closed", "walks", "repeats"]
@@ -88,7 +89,14 @@ def shape_retention(spark, sf):
     return _rounded(s.select(*(F.when(F.col(f"{c}0") > 0, (F.col(f"{c}1") / F.col("n1")) / (F.col(f"{c}0") / F.col("n0"))).otherwise(0.0).alias(c) for c in names)))
 
 
-register("route_retention", shape_retention)
+_FOLD = (
+    f"{E}, {V.SLOTS}, le AS (SELECT trip, side, row_number() OVER (PARTITION BY trip ORDER BY seq) AS k, u, v, CAST(1 + (u * 7 + v) % 5 AS DOUBLE) AS len FROM edges), "
+    "fold AS (SELECT trip, side, CAST(0 AS BIGINT) AS k, [u] AS nodes, CAST([] AS DOUBLE[]) AS lens, CAST(0 AS DOUBLE) AS closed, CAST(0 AS BIGINT) AS walks FROM le WHERE k = 1 "
+    "UNION ALL SELECT f.trip, f.side, e.k, CASE WHEN list_contains(nodes, v) THEN nodes[1:list_position(nodes, v)] ELSE list_append(nodes, v) END, CASE WHEN list_contains(nodes, v) THEN lens[1:list_position(nodes, v) - 1] ELSE list_append(lens, len) END, closed + CASE WHEN list_contains(nodes, v) THEN coalesce(list_sum(lens[list_position(nodes, v):]), 0) + len ELSE 0 END, walks + CASE WHEN list_contains(nodes, v) THEN 1 ELSE 0 END FROM fold f JOIN le e ON e.trip = f.trip AND e.k = f.k + 1), "
+    "t AS (SELECT f.trip, any_value(f.side) AS side, arg_max(coalesce(list_sum(lens), 0), k) AS backbone, arg_max(closed, k) AS closed, arg_max(walks, k) AS walks FROM fold f GROUP BY f.trip), r AS (SELECT trip, sum(len) AS total, count(*) - count(DISTINCT (u, v)) AS repeats FROM le GROUP BY trip), n AS (SELECT count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM slots)"
+)
+_KEPT = ", ".join(f"round(coalesce((sum(CASE WHEN side = 1 THEN {c} ELSE 0 END) / max(n1)) / nullif(sum(CASE WHEN side = 0 THEN {c} ELSE 0 END) / max(n0), 0), 0), 6) AS {c}" for c in ("total", "backbone", "closed", "walks", "repeats"))
+register("route_retention", shape_retention, f"WITH RECURSIVE {_FOLD} SELECT {_KEPT} FROM t JOIN r ON r.trip = t.trip, n")
 
 
 def road_use(spark, sf):
@@ -185,3 +193,37 @@ def directed_runs(spark, sf):
 
 
 register("route_directed_runs", directed_runs, f"WITH {E}, pub AS (SELECT DISTINCT u, v FROM edges WHERE side = 0), t AS (SELECT e.*, p.u IS NOT NULL AS ok, sum(CASE WHEN p.u IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY trip ORDER BY seq ROWS UNBOUNDED PRECEDING) AS gap FROM edges e LEFT JOIN pub p ON e.u = p.u AND e.v = p.v WHERE side = 1) SELECT trip, gap, count(*) AS n, arg_min(u, seq) AS first FROM t WHERE ok GROUP BY trip, gap HAVING count(*) >= 3")
+
+
+#: The queries whose one row each makes the suite, with the names its columns take.
+SUITE = {
+    "route_demand": {"demand": "demand_fid"}, "route_turn_fidelity": {"btf": "btf", "rc_cpc": "rc_cpc"}, "route_edge_cpc": {"cpc": "edge_cpc"}, "route_turn_cpc": {"cpc": "turn_cpc"},
+    "route_family_cpc": {"cpc": "family_cpc"}, "route_turn_support": {"recall": "turn_recall", "precision": "turn_precision", "f1": "turn_f1"}, "route_branches": {"branch_cpc": "branch_cpc", "exit_acc": "exit_acc"},
+    "route_od_prefix": {"odpf": "odpf"}, "route_retention": {"total": "kept_length", "backbone": "kept_backbone", "closed": "kept_closed", "walks": "kept_walks", "repeats": "kept_repeats"},
+}
+
+
+def route_suite(spark, sf):
+    """All route measures of a release as one row, with the overlaps as intersection over union and the yields of both corpora."""
+    known, out = registry.registered(), None
+    for name, columns in SUITE.items():
+        one = known[name](spark, sf).select(*(F.col(c).alias(n) for c, n in columns.items()))
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
+    y = road_yield(spark, sf).agg(*(F.max(F.when(F.col("side") == k, F.col("yield"))).alias(n) for k, n in ((0, "real_yield"), (1, "road_yield"))))
+    e = M.support(M.pairs(edges(spark, sf), ["u", "v"])).select(*(F.col(c).alias(f"edge_{c}") for c in ("recall", "precision", "f1")))
+    out = out.crossJoin(F.broadcast(y)).crossJoin(F.broadcast(e))
+    return _rounded(out.withColumns({"edge_iou": M.iou(F.col("edge_cpc")), "turn_iou": M.iou(F.col("turn_cpc")), "family_cpc": F.col("family_cpc") * F.col("road_yield"), "penalised_rc_cpc": F.col("rc_cpc") * F.col("road_yield")}), 5)
+
+
+def _suite_sql():
+    known = registry.registered_sql()
+    parts = ", ".join(f"({known[n]}) t{i}" for i, n in enumerate(SUITE))
+    plain = ", ".join(f"round({f't{i}.{c}'}{' * y.road_yield' if n == 'family_cpc' else ''}, 5) AS {n}" for i, columns in enumerate(SUITE.values()) for c, n in columns.items())
+    place = {n: f"t{i}.{c}" for i, columns in enumerate(SUITE.values()) for c, n in columns.items()}
+    y = f"(SELECT max(CASE WHEN side = 0 THEN yield END) AS real_yield, max(CASE WHEN side = 1 THEN yield END) AS road_yield FROM ({known['route_yield']})) y"
+    e = f"(WITH {_EDGE_P}, c AS (SELECT CAST(count(*) FILTER (r > 0 AND s > 0) AS DOUBLE) AS b, count(*) FILTER (r > 0) AS nr, count(*) FILTER (s > 0) AS ns FROM p) SELECT b / nr AS recall, b / ns AS precision, 2 * (b / nr) * (b / ns) / (b / nr + b / ns) AS f1 FROM c) e"
+    iou = ", ".join(f"round({place[c + '_cpc']} / (2 - {place[c + '_cpc']}), 5) AS {c}_iou" for c in ("edge", "turn"))
+    return f"SELECT {plain}, round(y.real_yield, 5) AS real_yield, round(y.road_yield, 5) AS road_yield, round(e.recall, 5) AS edge_recall, round(e.precision, 5) AS edge_precision, round(e.f1, 5) AS edge_f1, {iou}, round({place['rc_cpc']} * y.road_yield, 5) AS penalised_rc_cpc FROM {parts}, {y}, {e}"
+
+
+register("route_suite", route_suite, _suite_sql())

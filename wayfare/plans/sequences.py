@@ -204,20 +204,6 @@ def gap_segments(spark, sf):
 register("src_gap_segments", gap_segments, "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, abs(value - lag(value) OVER w) AS jump FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR jump IS NULL OR gap > 21600000000 OR jump > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM e) SELECT user_id, segment, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY user_id, segment HAVING count(*) >= 2")
 
 
-def nearest_curves(spark, sf):
-    """One pair a trip, not its nearest (that is seq_nearest_curves): each real trip with the synthetic trip of the nearest larger number, among those with its first and last cell: both distances on 32 points."""
-    p = V.points(spark, sf).withColumn("cell", S.cell(F.col("x"), BOX[0], BOX[1], 4) * 4 + S.cell(F.col("y"), BOX[2], BOX[3], 4))
-    t = p.groupBy("trip", "side").agg(F.min_by("cell", "seq").alias("o"), F.max_by("cell", "seq").alias("d"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", (F.col("y") / 1000).alias("y")))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
-    t = t.withColumn("points", S.sampled(F.col("points"), 32))
-    ahead = Window.partitionBy("o", "d").orderBy(F.desc("trip")).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("other", F.last(F.when(F.col("side") == 1, F.struct("trip", "points")), ignorenulls=True).over(ahead)).where("side = 0 AND other IS NOT NULL")
-    found = curves.compared(t.select("trip", F.col("other.trip").alias("other"), F.col("points").alias("a"), F.col("other.points").alias("b")), ["trip", "other"])
-    return found.select("trip", "other", F.round("dtw", 6).alias("dtw"), F.round("frechet", 6).alias("frechet"))
-
-
-register("seq_curves", nearest_curves)
-
-
 def pooled_curves(spark, sf):
     """Each real trip's least distances over all synthetic trips with its end cells and length bin, else with its end cells and bin 0, else over all; on 32 points."""
     p = V.points(spark, sf).withColumn("cell", S.cell(F.col("x"), BOX[0], BOX[1], 4) * 4 + S.cell(F.col("y"), BOX[2], BOX[3], 4)).withColumn("y", F.col("y") / 1000)
@@ -228,4 +214,4 @@ def pooled_curves(spark, sf):
     return found.select("trip", "other", F.round("dtw", 6).alias("dtw"), F.round("frechet", 6).alias("frechet"), "pool")
 
 
-register("seq_nearest_curves", pooled_curves)
+register("seq_curves", pooled_curves)

@@ -18,6 +18,15 @@ def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
         _ORACLES[name] = sql
 
 
+def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """What is registered so far; for queries that are made of others."""
+    return _QUERIES
+
+
+def registered_sql() -> dict[str, str]:
+    return _ORACLES
+
+
 def _load() -> None:
     from wayfare import plans  # noqa: F401  registers on import
 
