@@ -229,6 +229,21 @@ def bridge(weights: np.ndarray, target: int, beta: float) -> np.ndarray:
     return np.divide(law, total, out=np.zeros_like(law), where=total > 0)
 
 
+def killed_bridge(kernel: np.ndarray, target: int, beta: float) -> np.ndarray:
+    """Row-stochastic law of walks to `target` in proportion to the kernel's own probability times exp(-beta) a move; rows that cannot reach it are 0."""
+    w = kernel * np.exp(-beta)
+    w[target] = 0
+    z = np.linalg.solve(np.eye(len(w)) - w, np.eye(len(w))[target])
+    law = w * z[None, :]
+    total = law.sum(axis=1, keepdims=True)
+    return np.divide(law, total, out=np.zeros_like(law), where=total > 0)
+
+
+def expected_moves(law: np.ndarray, source: int, target: int) -> float:
+    """Mean number of moves of walks from source to target."""
+    return expected_cost(law, np.ones_like(law), source, target)
+
+
 def expected_cost(law: np.ndarray, weights: np.ndarray, source: int, target: int) -> float:
     """Mean cost of walks from source to target under a law."""
     live = np.delete(np.arange(len(law)), target)

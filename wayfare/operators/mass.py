@@ -22,6 +22,24 @@ def with_totals(p: DataFrame) -> DataFrame:
     return p.crossJoin(F.broadcast(t))  # one row
 
 
+def pairs_by(df: DataFrame, keys: list[str], method: str = "method", real: str = "real") -> DataFrame:
+    """method, keys, r, s: the real corpus against every other one of `method`, in one job. The methods are few, the keys are not."""
+    n = df.groupBy(method, *keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    methods = df.where(F.col(method) != real).select(method).distinct()
+    r = n.where(F.col(method) == real).drop(method).crossJoin(F.broadcast(methods)).select(method, *keys, F.col("n").alias("r"), F.lit(0.0).alias("s"))
+    s = n.where(F.col(method) != real).select(method, *keys, F.lit(0.0).alias("r"), F.col("n").alias("s"))
+    return r.union(s).groupBy(method, *keys).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+
+
+def scores_by(p: DataFrame, prefix: str, method: str = "method") -> DataFrame:
+    """Overlap, divergence in bits, total variation and F1 of the support, a row a method."""
+    t = p.groupBy(method).agg(F.sum("r").alias("tr"), F.sum("s").alias("ts"))
+    q = p.join(F.broadcast(t), method)  # a row a method
+    a, b = _div(F.col("r"), F.col("tr")), _div(F.col("s"), F.col("ts"))
+    both, nr, ns = F.count_if((F.col("r") > 0) & (F.col("s") > 0)), F.count_if(F.col("r") > 0), F.count_if(F.col("s") > 0)
+    return q.groupBy(method).agg(F.sum(F.least(a, b)).alias(f"{prefix}_cpc"), (F.sum(_plogm(a, b)) / F.ln(F.lit(2.0))).alias(f"{prefix}_jsd"), (F.sum(F.abs(a - b)) / 2).alias(f"{prefix}_tv"), (2 * both / F.greatest(nr + ns, F.lit(1))).alias(f"{prefix}_f1"))
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 

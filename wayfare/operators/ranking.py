@@ -21,30 +21,32 @@ def top_list(counts: DataFrame, context: list[str], item: str, k: int) -> DataFr
     return counts.withColumn("rank", F.row_number().over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*context)))
 
 
-def backoff(train: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
+def backoff(train: DataFrame, cases: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """cases (a, b, c) with the rank, count and total of c in the list of (a, b), or of b where (a, b) is unseen.
 
     Cases are counted first, so a frequent case is joined once. Columns: a, b, c, cases, covered, rank, n, total.
+    by: columns of both that keep several corpora apart; they come first.
     """
-    two = top_list(train.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), ["a", "b"], "c", k)
-    one = top_list(train.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), ["b"], "c", k)
-    q = cases.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("cases"))
-    seen2 = two.groupBy("a", "b").agg(F.max("total").alias("total2"))
-    seen1 = one.groupBy("b").agg(F.max("total").alias("total1"))
-    q = q.join(seen2, ["a", "b"], "left").join(seen1, ["b"], "left")
-    q = q.join(two.select("a", "b", "c", F.col("rank").alias("rank2"), F.col("n").alias("n2")), ["a", "b", "c"], "left")
-    q = q.join(one.select("b", "c", F.col("rank").alias("rank1"), F.col("n").alias("n1")), ["b", "c"], "left")
+    by = list(by)
+    two = top_list(train.groupBy(*by, "a", "b", "c").agg(F.count(F.lit(1)).alias("n")), [*by, "a", "b"], "c", k)
+    one = top_list(train.groupBy(*by, "b", "c").agg(F.count(F.lit(1)).alias("n")), [*by, "b"], "c", k)
+    q = cases.groupBy(*by, "a", "b", "c").agg(F.count(F.lit(1)).alias("cases"))
+    seen2 = two.groupBy(*by, "a", "b").agg(F.max("total").alias("total2"))
+    seen1 = one.groupBy(*by, "b").agg(F.max("total").alias("total1"))
+    q = q.join(seen2, [*by, "a", "b"], "left").join(seen1, [*by, "b"], "left")
+    q = q.join(two.select(*by, "a", "b", "c", F.col("rank").alias("rank2"), F.col("n").alias("n2")), [*by, "a", "b", "c"], "left")
+    q = q.join(one.select(*by, "b", "c", F.col("rank").alias("rank1"), F.col("n").alias("n1")), [*by, "b", "c"], "left")
     use2 = F.col("total2").isNotNull()
-    return q.select("a", "b", "c", "cases", (use2 | F.col("total1").isNotNull()).alias("covered"), F.when(use2, F.col("rank2")).otherwise(F.col("rank1")).alias("rank"), F.coalesce(F.when(use2, F.col("n2")).otherwise(F.col("n1")), F.lit(0)).alias("n"), F.when(use2, F.col("total2")).otherwise(F.col("total1")).alias("total"))
+    return q.select(*by, "a", "b", "c", "cases", (use2 | F.col("total1").isNotNull()).alias("covered"), F.when(use2, F.col("rank2")).otherwise(F.col("rank1")).alias("rank"), F.coalesce(F.when(use2, F.col("n2")).otherwise(F.col("n1")), F.lit(0)).alias("n"), F.when(use2, F.col("total2")).otherwise(F.col("total1")).alias("total"))
 
 
-def hit_scores(q: DataFrame, prefix: str, k: int = 5) -> DataFrame:
+def hit_scores(q: DataFrame, prefix: str, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """Coverage, hit at 1 and k, reciprocal rank (of covered cases), their number, and the negative log likelihood."""
     w, on = F.col("cases"), F.col("covered")
     per = F.greatest(F.sum(F.when(on, w).otherwise(0)), F.lit(1))
     s = lambda x: F.sum(F.when(on, w * x).otherwise(0.0)) / per
     good = F.col("rank") <= k
-    return q.agg(
+    return q.groupBy(*by).agg(
         (F.sum(F.when(on, w).otherwise(0)) / F.greatest(F.sum(w), F.lit(1))).alias(f"{prefix}_coverage"),
         s(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias(f"{prefix}_hit_at_1"),
         s(F.when(good, 1.0).otherwise(0.0)).alias(f"{prefix}_hit_at_{k}"),
