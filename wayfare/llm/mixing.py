@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, partitions
+from .common import WORD, cut, hashed, partitions
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     own = docs.toDF(*names.values())
     text, source, doc = (F.col(names[c]) for c in ("text", "source", "doc_id"))
     plain = [names[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = own.withColumns({"source": source, "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "tie": F.xxhash64(F.lit(seed), doc, text)})
+    rows = own.withColumns({"source": source, "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "tie": hashed(F.lit(seed), doc.cast("string"), text)})
     rows = rows.withColumns({"last": F.xxhash64(*plain), "band": F.floor(F.log2(F.col("size") + 1) * 8).cast("int")})
     slim = cut(rows.select("source", "band", "size", "tie"))
     bands = cut(slim.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))  # some hundred rows a source

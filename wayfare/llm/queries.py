@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import avi_mjpeg, crf, html_main, jaccard_join, mixing, piece_fst, prefix_hash, pseudonyms, sharding, suffix_dedup
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):

@@ -1,7 +1,6 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
-Rows with equal texts form a group that stays whole; groups lie in the order of a 64-bit hash of the
-text. The smallest shard capacity is found by binary search; a capacity is checked greedily, each shard
+Rows with equal texts form a group that stays whole; groups lie in the order of 60 bits of the text's SHA-256. The smallest shard capacity is found by binary search; a capacity is checked greedily, each shard
 taking groups as long as they fit. Then the cuts are made there.
 
 Only bounded things reach the driver. Groups fall into SLICES slices by their hash; a first job returns bytes, number
@@ -23,9 +22,10 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, utf8_bytes
+from .common import cut, hashed, partitions, utf8_bytes
 
-#: Slices of the hash order: the top 12 bits of the signed hash.
+#: Bits of the hash of a text, and slices of its order: the top 12 of them. Null comes before all, as -1.
+BITS = 60
 SLICES = 4096
 #: Groups above 1 / HEAVY of all bytes are slices of their own.
 HEAVY = 1 << 14
@@ -114,8 +114,8 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (utf8_bytes("text") + 8).alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.xxhash64(F.col("text")), F.lit(0)).alias("h"),
-    ).withColumn("slice", F.shiftright("h", 52).cast("int"))
+        F.when(F.col("text").isNull(), -1).otherwise(hashed(F.col("text").cast("string"))).alias("h"),
+    ).withColumn("slice", F.shiftright("h", BITS - 12).cast("int"))
     groups = cut(base.groupBy("slice", "h").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
     total, n_all = groups.agg(F.sum("bytes"), F.sum("n")).first()
     if not total:
@@ -127,7 +127,7 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     if big:
         by = {}
         for h in sorted(big):
-            by.setdefault(h >> 52, []).append(h)
+            by.setdefault(h >> (BITS - 12), []).append(h)
         marks = spark.createDataFrame(list(by.items()), "slice int, marks array<long>")
         small = small.join(F.broadcast(marks), "slice", "left").withColumn("rank", F.coalesce(F.size(F.filter("marks", lambda x: x < F.col("h"))), F.lit(0))).drop("marks")
     else:
@@ -135,7 +135,7 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     def summed(df: DataFrame, bits: int) -> list[tuple]:
         """(first hash, bytes, largest group, groups, (bits, prefix, rank)) of the light groups by the first `bits` bits of their hash."""
-        rows = df.groupBy(F.shiftright("h", 64 - bits).alias("prefix"), "rank").agg(F.min("h").alias("h"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.count(F.lit(1)).alias("k")).collect()
+        rows = df.groupBy(F.shiftright("h", BITS - bits).alias("prefix"), "rank").agg(F.min("h").alias("h"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.count(F.lit(1)).alias("k")).collect()
         return [(r["h"], r["bytes"], r["most"], r["k"], (bits, r["prefix"], r["rank"])) for r in rows]
 
     def asked(slices: list[tuple]) -> list[tuple[int, DataFrame]]:
@@ -143,7 +143,7 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
         out = []
         for bits in sorted({k[4][0] for k in slices}):
             ask = spark.createDataFrame([k[4][1:] for k in slices if k[4][0] == bits], "a_prefix long, a_rank int")
-            out.append((bits, small.join(F.broadcast(ask), (F.shiftright("h", 64 - bits) == F.col("a_prefix")) & (F.col("rank") == F.col("a_rank")))))
+            out.append((bits, small.join(F.broadcast(ask), (F.shiftright("h", BITS - bits) == F.col("a_prefix")) & (F.col("rank") == F.col("a_rank")))))
         return out
 
     keyed = sorted([*summed(small, 12), *((h, b, b, 1, None) for h, b in big.items())])
@@ -162,11 +162,11 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
         for (a, _), (_, b) in zip(order.spread(lo), [*order.spread(hi), *[(0, len(keyed) - 1)] * shards], strict=False):
             need |= set(range(a, b + 1))
         wanted = [keyed[i] for i in sorted(need) if keyed[i][4] is not None]
-        finer = [k for k in wanted if k[3] > 1 and k[4][0] < 60]
+        finer = [k for k in wanted if k[3] > 1 and k[4][0] < BITS]
         if sum(k[3] for k in wanted) <= COLLECTED or not finer or len(finer) << FINER > MOST_SLICES:
             break
         gone = {k[4] for k in finer}
-        keyed = sorted([k for k in keyed if k[4] not in gone] + [x for bits, df in asked(finer) for x in summed(df, bits + FINER)])
+        keyed = sorted([k for k in keyed if k[4] not in gone] + [x for bits, df in asked(finer) for x in summed(df, min(BITS, bits + FINER))])
     for i, k in enumerate(keyed):
         if k[4] is None:
             order.fine[i] = ([order.ends[i]], [k[0]])
