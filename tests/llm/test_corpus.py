@@ -338,11 +338,15 @@ def test_lists_meet_all_linked_sets():
                     assert len(np.intersect1d(ka, kb))
 
 
-def test_tiles_lose_no_link(spark, docs, monkeypatch):
+@pytest.mark.parametrize("centres", [1, 6])
+def test_large_components_lose_no_link(spark, monkeypatch, centres):
+    """A group around one text, and a chain in which only neighbours link, in chunks and pairs of blocks of a few sets."""
     monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "CENTRES", centres)
     rows = [(i, " ".join(f"w{j}" if j != i else "other" for j in range(300))) for i in range(40)]
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {0}
+    rows += [(1000 + i, " ".join(f"v{j}" for j in range(5 * i, 5 * i + 200))) for i in range(30)]
+    got = sorted((tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == linked(rows) and {r[2] for r in got} == {0, 1000}
 
 
 def test_components(spark):
@@ -411,8 +415,9 @@ def test_repeated_strings_go(spark, docs, odd, none, monkeypatch):
             parts.append(b[i : i + rng.randrange(1, 250)])
         rows.append((d, "".join(parts) if d % 13 else None))
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for most in (suffix_dedup.AT_ONCE, 500):
+    for most, hot in ((suffix_dedup.AT_ONCE, suffix_dedup.HOT), (500, suffix_dedup.HOT), (500, 1)):
         monkeypatch.setattr(suffix_dedup, "AT_ONCE", most)
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
         for df in (made, docs, odd):
             got = sorted((tuple(r) for r in suffix_dedup.remove(df).drop("kept").collect()), key=str)
             assert got == removed([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])

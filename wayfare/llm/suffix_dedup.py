@@ -13,11 +13,13 @@ runs in steps, all exact:
 3. Suffix array. The contexts that are left are fetched and sorted by the difference cover modulo 3: the
    triples at positions 1 and 2 modulo 3 are sorted and named, the names are sorted by recursion, the
    other suffixes follow from them, and both are merged. Neighbours in the array whose first SPAN bytes
-   agree are one class; all of a class but the earliest are repeated. A group of contexts above AT_ONCE
-   bytes is classed place by place, its strings at one distance from the gram at a time, in far less memory.
+   agree are one class; all of a class but the earliest are repeated. A gram that is so frequent that more
+   than HOT different contexts hold it would make one task's group as large as the table. Its strings are
+   dealt anew, each by two 64-bit hashes of its own bytes, and read as sorted streams.
 4. The spans of each document are united and cut out.
 
-Null text is empty. Rows of one doc_id follow each other by a hash of the text; a null doc_id comes last.
+Contexts that are equal as a whole, and strings of hot grams, are told apart by hashes of 64 and 128 bits; all
+other strings by their bytes. Null text is empty, an empty table gives an empty result. Rows of one doc_id follow each other by a hash of the text; a null doc_id comes last.
 Documents below SPAN bytes keep all their bytes. A text holds at most 2^31 bytes, as Arrow does.
 """
 
@@ -38,8 +40,8 @@ SPAN, GRAM = 100, 28
 WINDOW = SPAN - GRAM + 1
 #: Positions share a word with a hash: bits of a position inside a piece of a long text.
 BITS = 22
-#: Symbols that are sorted at once.
-AT_ONCE = 1 << 19
+#: Symbols that are sorted at once, and contexts of one gram up to which they are.
+AT_ONCE, HOT = 1 << 19, 2500
 LAST = (1 << 63) - 1
 
 _symbol = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -256,45 +258,8 @@ def repeated_starts(contexts: list[bytes], order: np.ndarray) -> tuple[np.ndarra
     return owner[hit], offset[hit]
 
 
-def repeated_by_place(contexts: list[bytes], grams: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As repeated_starts, for the contexts of one gram, which begins at `grams` in them: equal strings begin equally far before it."""
-    size = np.array([len(x) for x in contexts])
-    base = np.cumsum(size) - size
-    s = np.frombuffer(b"".join(contexts), np.uint8)
-    h, back = prefix_hashes(s), wrapping_powers(len(s), True)
-    windows = sliding_window_view(s, SPAN)
-    who, off = [], []
-    for r in range(WINDOW):
-        o = grams - r
-        own = np.flatnonzero((o >= 0) & (o + SPAN <= size))
-        at = base[own] + o[own]
-        x = mixed((h[at + SPAN] - h[at]) * back[at])
-        by = np.argsort(x, kind="stable")
-        near = np.flatnonzero(x[by][1:] == x[by][:-1])
-        same = np.zeros(len(by), bool)
-        for lo in range(0, len(near), 1 << 16):
-            k = near[lo : lo + (1 << 16)]
-            same[k + 1] = (windows[at[by[k + 1]]] == windows[at[by[k]]]).all(axis=1)
-        if same.sum() < len(near):  # different strings of one hash: sort the strings themselves
-            by = np.array(sorted(range(len(at)), key=lambda i: s[at[i] : at[i] + SPAN].tobytes()))
-            same = np.array([False] + [bool((windows[at[a]] == windows[at[b]]).all()) for a, b in zip(by, by[1:], strict=False)])
-        if not same.any():
-            continue
-        key = (order[own[by], 0] << 32) + order[own[by], 1] + o[own[by]]
-        starts = np.flatnonzero(~same)
-        least = np.repeat(np.minimum.reduceat(key, starts), np.diff(np.append(starts, len(by))))
-        hit = own[by][key > least]
-        who.append(hit)
-        off.append(o[hit])
-    if not who:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    w, f = np.concatenate(who), np.concatenate(off)
-    by = np.lexsort((f, w))
-    return w[by], f[by]
-
-
 def _sorted_out(batches):
-    """Contexts sorted by h; groups are packed to about AT_ONCE symbols, and a larger group stands alone."""
+    """Contexts sorted by h, at most HOT of one h; groups are packed to about AT_ONCE symbols."""
     held: list[tuple] = []
 
     def solve(rows):
@@ -305,10 +270,7 @@ def _sorted_out(batches):
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(fresh)
         contexts, spots = [r[4] for r in rows], np.stack([rank, lo], axis=1)
-        if rows[0][0] == rows[-1][0] and sum(map(len, contexts)) > AT_ONCE:
-            who, off = repeated_by_place(contexts, np.array([r[5] for r in rows]), spots)
-        else:
-            who, off = repeated_starts(contexts, spots)
+        who, off = repeated_starts(contexts, spots)
         if not len(who):
             return None
         edge = np.ones(len(who), bool)
@@ -321,7 +283,7 @@ def _sorted_out(batches):
     size = begin = 0  # symbols held, and where the last group begins in `held`
     own = 0  # symbols of the last group
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in ("h", "doc", "dup", "lo", "bytes", "gram")), strict=True):
+        for row in zip(*(b.column(k).to_pylist() for k in ("h", "doc", "dup", "lo", "bytes")), strict=True):
             if held and held[-1][0] != row[0]:
                 if size >= AT_ONCE:
                     ready = [held[:begin], held[begin:]] if own > AT_ONCE // 2 else [held]
@@ -338,6 +300,9 @@ def _sorted_out(batches):
             yield out
 
 
+FETCHED = "h long, doc long, dup int, lo int, bytes binary, gram int, hot boolean"
+
+
 def _fetched(batches):
     for b in batches:
         data = encoded(b.column("text"))
@@ -345,10 +310,49 @@ def _fetched(batches):
         for text, doc, dup, asked in zip(data, b.column("doc").to_pylist(), b.column("dup").to_pylist(), b.column("asked").to_pylist(), strict=True):
             for x in asked:
                 at, before, after = x["lo"], x["hi"] >> 8, x["hi"] & 255
-                rows.append((x["h"], doc, dup, at - before, text[at - before : at + after], before))
+                rows.append((x["h"], doc, dup, at - before, text[at - before : at + after], before, x["hot"]))
         for i in range(0, len(rows), 20_000):
             part = list(zip(*rows[i : i + 20_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["h", "doc", "dup", "lo", "bytes", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_()), strict=True)], names=[c.split()[0] for c in FETCHED.split(", ")])
+
+
+STRINGS = "a long, b long, doc long, dup int, lo int"
+
+
+def _strings(batches):
+    """Every string of SPAN bytes of a hot gram's contexts by two hashes of its bytes and of its place around the gram."""
+    for batch in batches:
+        docs, dups, los, grams = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "dup", "lo", "gram"))
+        contexts = batch.column("bytes").to_pylist()
+        for i in range(0, len(contexts), 2000):
+            part = contexts[i : i + 2000]
+            size = np.array([len(x) for x in part])
+            base = np.cumsum(size) - size
+            s = np.frombuffer(b"".join(part), np.uint8)
+            count = size - SPAN + 1
+            own = np.repeat(np.arange(len(part)), count)
+            off = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            at = base[own] + off
+            place = (grams[i : i + 2000][own] - off).astype(np.uint64)
+            keys = []
+            for symbols, salt in ((s, np.uint64(1)), (s ^ np.uint8(0xA7), np.uint64(3))):  # another numbering of the bytes for the second
+                h = prefix_hashes(symbols)
+                keys.append(_signed(mixed((h[at + SPAN] - h[at]) * wrapping_powers(len(s), True)[at] + place * salt)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(docs[i : i + 2000][own]), pa.array(dups[i : i + 2000][own].astype(np.int32)), pa.array((los[i : i + 2000][own] + off).astype(np.int32))], names=["a", "b", "doc", "dup", "lo"])
+
+
+def _later(batches):
+    """Strings sorted by both hashes, doc, dup, lo: spans of all but the first of each. Read as a stream, so a string may be as frequent as it likes."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, doc, dup, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b", "doc", "dup", "lo"))
+        same = np.zeros(len(a), bool)
+        same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        same[0] = last == (a[0], b[0])
+        last = a[-1], b[-1]
+        yield _rows(doc[same], dup[same], lo[same], lo[same] + SPAN)
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -398,9 +402,15 @@ def remove(docs: DataFrame) -> DataFrame:
     listed = in_arrow(docs.select("doc", "dup", "text"), _listed, LISTED)
     listed = listed.repartition(parts, "h").sortWithinPartitions("h", "c", "doc", "dup", "at")
     decided = cut(in_arrow(listed, _decided, DECIDED))
-    asked = decided.where("h IS NOT NULL").groupBy("doc", "dup").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("asked"))
-    contexts = in_arrow(docs.select("doc", "dup", "text").join(asked, ["doc", "dup"]), _fetched, "h long, doc long, dup int, lo int, bytes binary, gram int")
-    solved = in_arrow(contexts.repartition(parts, "h").sortWithinPartitions("h", "doc", "dup", "lo"), _sorted_out, DECIDED)
+    ask = decided.where("h IS NOT NULL")
+    hot = ask.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot"))
+    ask = ask.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = ask.groupBy("doc", "dup").agg(F.collect_list(F.struct("h", "lo", "hi", "hot")).alias("asked"))
+    contexts = cut(in_arrow(docs.select("doc", "dup", "text").join(asked, ["doc", "dup"]), _fetched, FETCHED))
+    solved = in_arrow(contexts.where("NOT hot").repartition(parts, "h").sortWithinPartitions("h", "doc", "dup", "lo"), _sorted_out, DECIDED)
+    strings = in_arrow(contexts.where("hot").select("doc", "dup", "lo", "bytes", "gram"), _strings, STRINGS)
+    later = in_arrow(strings.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "doc", "dup", "lo"), _later, DECIDED)
+    solved = solved.union(later)
     spans = decided.where("h IS NULL").union(solved).where(f"hi - lo >= {SPAN}")
     per_doc = spans.groupBy("doc", "dup").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     packed = in_arrow(per_doc, _united, "doc long, dup int, packed binary")
