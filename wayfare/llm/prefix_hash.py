@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -106,12 +107,16 @@ class PrefixHash:
             at = at[bits[at] >= np.uint64(1 << least)]
         return least, [(int(i), int(bits[i]).bit_length() - 1, int(self.h[0][i]), int(self.h[1][i])) for i in at if i]
 
-    def fingerprint(self) -> Fingerprint:
+    @cached_property
+    def _own(self) -> Fingerprint:
         e = max(0, (self.n // MARKS).bit_length() if self.n > MARKS else 0)
         lengths = [m << e for m in range(1, (self.n >> e) + 1)]
         marks = [self.span(0, m) & 0xFFFFFFFF for m in lengths], [self.span(self.n - m, self.n) & 0xFFFFFFFF for m in lengths]
         return Fingerprint(self.n, e, self.span(0, self.n), *marks, *self.anchors())
 
+    def fingerprint(self) -> Fingerprint:
+        return self._own
+
 
 class Fingerprint(NamedTuple):
     """Code points, power of the marks, whole hash, prefix marks, suffix marks, least level of the anchors, anchors."""
