@@ -68,6 +68,38 @@ def network(ways: DataFrame) -> DataFrame:
     return ahead.union(back).where("u != v AND (lat0 != lat1 OR lon0 != lon1)")
 
 
+def merged_graph(ways: DataFrame, places: int = 6) -> DataFrame:
+    """(u, v, weight) with u < v: the undirected graph of OSM ways, whose nodes are places rounded to `places` decimals ("lat,lon"), and whose weights are lengths in degrees, the least of parallel ones."""
+    name = lambda p: F.concat_ws(",", F.round(p["lat"], places).cast("string"), F.round(p["lon"], places).cast("string"))
+    n = F.size("geometry")
+    steps = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.get("geometry", i).alias("p"), F.get("geometry", i + 1).alias("q")))
+    e = ways.where(n >= 2).select(F.inline(steps))
+    a, b = name(F.col("p")), name(F.col("q"))
+    r = lambda c: F.round(c, places)
+    w = F.hypot(r(F.col("p.lat")) - r(F.col("q.lat")), r(F.col("p.lon")) - r(F.col("q.lon")))
+    return e.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), w.alias("weight")).where("u != v").groupBy("u", "v").agg(F.min("weight").alias("weight"))
+
+
+def diverse_portals(crossings: DataFrame, k: int = 6) -> DataFrame:
+    """(ru, rv, u, v, nth): up to k crossing edges (ru, rv, u, v, weight, x, y) of each pair of regions: the heaviest, then each time the one farthest from those taken, smaller (u, v) on ties."""
+
+    def choose(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["weight", "u", "v"], ascending=[False, True, True], ignore_index=True)
+        by_name = p.sort_values(["u", "v"]).index.to_numpy()
+        xy = p[["x", "y"]].to_numpy(float)
+        taken = [0]
+        near = np.hypot(*(xy - xy[0]).T)
+        while len(taken) < min(k, len(p)):
+            near[taken] = -1.0
+            taken.append(int(by_name[np.round(near[by_name], 9).argmax()]))
+            near = np.minimum(near, np.hypot(*(xy - xy[taken[-1]]).T))
+        return p.iloc[taken][["ru", "rv", "u", "v"]].assign(nth=np.arange(1, len(taken) + 1, dtype=np.int32))
+
+    c = crossings.select("ru", "rv", "u", "v", "weight", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    kind = ", ".join(f"{n} {t}" for n, t in c.dtypes if n in ("ru", "rv", "u", "v"))
+    return c.groupBy("ru", "rv").applyInPandas(choose, f"{kind}, nth int")  # a group is the border of two regions
+
+
 def quotient(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(ru, rv, crossings, weight): edges between regions, with the sum of inverse lengths. labels: (node, region)."""
     a, b = labels.select(F.col("node").alias("u"), F.col("region").alias("ru")), labels.select(F.col("node").alias("v"), F.col("region").alias("rv"))
@@ -194,6 +226,19 @@ def hop_distances(edges: DataFrame, source: int) -> DataFrame:
         seen = _written(seen.union(front))
 
 
+def effective_resistance(u, v, conductance: np.ndarray) -> np.ndarray:
+    """Resistance between the ends of each edge of an undirected network of conductors that fits the driver."""
+    nodes = np.unique(np.concatenate([u, v]))
+    a, b = np.searchsorted(nodes, u), np.searchsorted(nodes, v)
+    lap = np.zeros((len(nodes), len(nodes)))
+    np.add.at(lap, (a, a), conductance)
+    np.add.at(lap, (b, b), conductance)
+    np.add.at(lap, (a, b), -conductance)
+    np.add.at(lap, (b, a), -conductance)
+    p = np.linalg.pinv(lap, hermitian=True)
+    return p[a, a] + p[b, b] - 2 * p[a, b]
+
+
 def region_paths(near: dict[int, list[int]], source: int) -> dict[int, list[int]]:
     """A path of fewest moves from one region to every other that can be reached; among equals the one found first over ascending neighbours."""
     paths, front = {source: [source]}, [source]

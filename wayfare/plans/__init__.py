@@ -1,3 +1,3 @@
 """Queries over the driver tables, by family; importing the package registers them."""
 
-from . import blocks, distributions, evaluate, measures, prediction, roads, routes, sequences, synthesis  # noqa: F401
+from . import blocks, distributions, evaluate, learning, measures, prediction, roads, routes, sequences, synthesis  # noqa: F401

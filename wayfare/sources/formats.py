@@ -11,9 +11,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Boxes and record counts of the cities.
+# Boxes of the cities.
 BOXES = {"geolife": (39.75, 40.15, 116.10, 116.65), "porto": (41.10, 41.20, -8.70, -8.55), "sf": (37.60, 37.85, -122.55, -122.30)}
-SLOTS = {"geolife": 17123, "porto": 20000, "sf": 20000}
 
 TRIP = "trip string, points array<struct<lat: double, lon: double>>"
 
@@ -23,7 +22,7 @@ def inside(lat: Column, lon: Column, box: tuple[float, float, float, float]) ->
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line number in the file, value); files are split by Spark, so lines are numbered inside whole files only."""
+    """(file, line number in the file, value), for small files of one trip each: lines are numbered inside whole files only."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     return t
 
@@ -66,7 +65,7 @@ def taxi(spark: SparkSession, path: str, box=BOXES["sf"], gap_s: float = 300, sp
     from wayfare.functions.sequence import equirectangular_km
 
     f = F.split(F.trim("value"), r"\s+")
-    p = _lines(spark, path).select("file", F.get(f, 0).try_cast("double").alias("lat"), F.get(f, 1).try_cast("double").alias("lon"), F.get(f, 2).try_cast("int").alias("occupied"), F.get(f, 3).try_cast("double").alias("ts")).where("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    p = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.get(f, 0).try_cast("double").alias("lat"), F.get(f, 1).try_cast("double").alias("lon"), F.get(f, 2).try_cast("int").alias("occupied"), F.get(f, 3).try_cast("double").alias("ts")).where("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
     w = Window.partitionBy("file").orderBy("ts")
     dt = F.col("ts") - F.lag("ts").over(w)
     km = equirectangular_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
@@ -120,7 +119,7 @@ def thinned(ways: DataFrame, box, most: int, grid: int = 80) -> DataFrame:
 
 
 def routes(records: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(slot, edges array<struct<u, v>>) of records with node_sequence, or cpath edge ids resolved through edges (edge_id, u, v).
+    """(slot, edges array<struct<u, v>>) of records with node_sequence, with pairs array<array<int>>, or with edge ids in cpath or edge_ids, resolved through edges (edge_id, u, v).
 
     Not accepted or empty: an empty route that keeps its slot. An unknown edge id is an error.
     """
@@ -131,7 +130,11 @@ def routes(records: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         n = F.size("node_sequence")
         walk = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.get("node_sequence", i).cast("long").alias("u"), F.get("node_sequence", i + 1).cast("long").alias("v")))).otherwise(empty)
         return records.select("slot", F.when(ok, walk).otherwise(empty).alias("edges"))
-    long = records.where(ok).select("slot", F.posexplode("cpath").alias("seq", "edge_id")).join(edges, "edge_id", "left")
+    if "pairs" in cols:
+        walk = F.transform("pairs", lambda p: F.struct(F.get(p, 0).cast("long").alias("u"), F.get(p, 1).cast("long").alias("v")))
+        return records.select("slot", F.when(ok, F.coalesce(walk, empty)).otherwise(empty).alias("edges"))
+    ids = "cpath" if "cpath" in cols else "edge_ids"
+    long = records.where(ok).select("slot", F.posexplode(ids).alias("seq", "edge_id")).join(edges, "edge_id", "left")
     long = long.withColumn("u", F.when(F.col("u").isNull(), F.raise_error(F.concat(F.lit("unknown edge "), F.col("edge_id").cast("string")))).otherwise(F.col("u")))
     walks = long.groupBy("slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))), lambda x: F.struct(x["u"].alias("u"), x["v"].alias("v"))).alias("edges"))
     return records.select("slot").join(walks, "slot", "left").select("slot", F.coalesce("edges", empty).alias("edges"))
