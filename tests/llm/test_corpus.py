@@ -625,3 +625,171 @@ def test_queries_match_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(([plain(r[c]) for c in names] for r in got.collect()), key=str) == sorted(([plain(x) for x in r] for r in want.fetchall()), key=str)
+
+
+def test_emissions_equal_plain_sums(docs):
+    rng = np.random.default_rng(2)
+    model = crf.fit([(r["text"], r["lang"]) for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").limit(30).collect()])
+    c, starts, ends, _ = crf.split(["Über 12 den Wolken, muß die", "a I x" + "y" * 40, "é"])
+    got = crf.emissions(model, c, starts, ends)
+    two, three = crf.gram_ids(c)
+    prefix, suffix = crf.affix_ids(c, starts, ends)
+    hashes = crf.span_hashes(c, starts, ends)
+    for w, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        want = sum(model.grams[two[i]] + model.grams[three[i]] for i in range(s + 1, e + 1)) + model.grams[two[s]] + model.affixes[prefix[w]] + model.affixes[suffix[w]]
+        if hashes[w] in model.words:
+            want = want + model.member[np.searchsorted(model.words, hashes[w])] @ model.lexicon
+        assert got[w] == pytest.approx(want)
+    # affixes: the first and the last four letters, whatever stands between
+    c, starts, ends, _ = crf.split(["abcdxxefgh abcdyefgh abcd bcda"])
+    p, s = crf.affix_ids(c, starts, ends)
+    assert p[0] == p[1] == p[2] != p[3] and s[0] == s[1] != s[2] and not set(p) & set(s)
+    assert rng is not None
+
+
+def test_long_texts_and_many_languages_are_judged_in_stretches(docs, monkeypatch):
+    texts = [r["text"] for r in docs.where("text IS NOT NULL").collect()]
+    model = crf.fit([(r["text"], r["lang"]) for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").limit(60).collect()])
+    parts = [" ".join(texts[:60]), "x", texts[0][:500] + "a" * 30000, ""]
+    want = crf.judged(model, parts, each=True)
+    monkeypatch.setattr(crf, "CELLS", 1 << 12)
+    got = crf.judged(model, parts, each=True)
+    assert got[0] == want[0] and got[1] == pytest.approx(want[1]) and (got[2][0] == want[2][0]).all() and got[2][1] == pytest.approx(want[2][1])
+    import tracemalloc
+
+    rng, size = np.random.default_rng(0), 64
+    many = crf.Model([f"l{i:02}" for i in range(size)], rng.normal(size=(crf.BUCKETS, size)), rng.normal(size=(crf.BUCKETS, size)), np.zeros((size, size)), np.empty(0, np.uint64), np.zeros((0, size)), rng.normal(size=(size, size)))
+    monkeypatch.setattr(crf, "CELLS", 1 << 19)
+    tracemalloc.start()
+    crf.judged(many, [" ".join(texts)[: 1 << 18]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def plain_cuts(h):
+    d = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(h, h[1:], strict=False)]
+    out = []
+    for i, x in enumerate(d):
+        near = [d[j] for j in range(max(0, i - avi_mjpeg.REACH), min(len(d), i + avi_mjpeg.REACH + 1)) if j != i]
+        mean = sum(near) / max(len(near), 1)
+        dev = (sum(v * v for v in near) / max(len(near), 1) - mean * mean) ** 0.5 if near else 0.0
+        if x >= avi_mjpeg.LEAST and x > mean + avi_mjpeg.FACTOR * dev and (i == 0 or x > d[i - 1]) and (i + 1 == len(d) or x >= d[i + 1]):
+            out.append(i + 1)
+    return out
+
+
+def test_shots_by_plain_differences():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        k = int(rng.integers(1, 60))
+        level = np.repeat(rng.integers(0, 250, 1 + k // 7), 7)[:k]
+        frames = np.clip(level[:, None, None] + rng.integers(-6, 7, (len(level), 24, 24)), 0, 255).astype(np.uint8)
+        h = avi_mjpeg.histograms(frames)
+        plain = [[sum(int(v) // 16 == b for v in f.ravel()) / 576 for b in range(16)] for f in frames]
+        assert h == pytest.approx(np.array(plain))
+        assert avi_mjpeg.cuts(h) == plain_cuts(h.tolist())
+
+
+def plain_feistel(a, b, m, n, key, name):
+    for i in range(pseudonyms.ROUNDS):
+        f = lambda x, mod: int(hashlib.sha256(f"{key}|{name}|{i}|{x}".encode()).hexdigest()[:13], 16) % mod  # noqa: E731, B023
+        if i % 2 == 0:
+            a = (a + f(b, m)) % m
+        else:
+            b = (b + f(a, n)) % n
+    return a, b
+
+
+def plain_digits(d, key, name):
+    k = len(d) // 2
+    a, b = plain_feistel(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), key, name)
+    return f"{a:0{k}d}{b:0{len(d) - k}d}"
+
+
+def luhn(d):
+    v = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(d))]
+    return sum(x - 9 * (x > 9) for x in v) % 10
+
+
+def in_form(form, digits):
+    it = iter(digits)
+    return re.sub(r"\d", lambda m: next(it), form)
+
+
+def plain_value(kind, x, key):
+    d = re.sub(r"\D", "", x)
+    if kind == "card":
+        body = plain_digits(d[:-1], key, "card")
+        return in_form(x, body + str(-luhn(body + "0") % 10))
+    if kind == "phone":
+        return in_form(x, d[:-10] + plain_digits(d[-10:], key, "phone"))
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        a, b = plain_feistel((area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+        area = a // 99 + (2 if a >= 665 * 99 else 1)
+        return f"{area:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "ip":
+        p = [int(v) for v in x.split(".")]
+        a, b = plain_feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    import datetime
+
+    day = datetime.date.fromisoformat(x)
+    a, b = plain_feistel(day.year - 1900, day.timetuple().tm_yday - 1, 200, 365, key, "date")
+    return str(datetime.date(a + 1900, 1, 1) + datetime.timedelta(days=b))
+
+
+def test_pseudonyms_equal_plain_ones(spark):
+    import datetime
+
+    rng, rows, want = random.Random(9), [], []
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for i in range(300):
+        kind = ("card", "phone", "ssn", "ip", "date")[i % 5]
+        if kind == "card":
+            body = digits(15)
+            x = body + str(-luhn(body + "0") % 10)
+            x = x if i % 2 else "-".join(x[j : j + 4] for j in range(0, 16, 4))
+        elif kind == "phone":
+            x = f"({digits(3)}) {digits(3)}-{digits(4)}"
+        elif kind == "ssn":
+            x = f"{rng.choice([1, 42, 665, 667, 899]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"
+        elif kind == "ip":
+            x = ".".join(str(rng.randrange(256)) for _ in range(4))
+        else:
+            x = str(datetime.date(1900, 1, 1) + datetime.timedelta(days=rng.randrange(70000)))
+            if x.endswith("-12-31"):
+                x = "1999-05-05"
+        rows.append((i, f"see {x} there"))
+        want.append(f"see {plain_value(kind, x, 'k1')} there")
+    got = pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k1").orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == want
+    back = pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k2").where("n_values = 0").count()
+    assert back == 0
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "")
+
+
+def test_long_texts_of_each_format_are_read(spark):
+    """A quarter of a megabyte of each format's own characters: nothing recurses, nothing is read over and over."""
+    rows = [(0, "x@" + "a." * 100_000), (1, "1- " * 80_000), (2, "12 34 56 78 " * 20_000), (3, "9" * 250_000), (4, "1.2.3.4." * 30_000), (5, 'token="' * 35_000), (6, "(123" * 60_000), (7, "a" * 250_000 + "@x.com"), (8, "4785380592391139 " * 3_000)]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [got[i]["text"] == rows[i][1] for i in (0, 1, 3, 6)] == [True] * 4
+    assert got[7]["n_values"] == 1 and got[8]["n_values"] == 3_000 and len(set(got[8]["text"].split())) == 1
+
+
+def test_stages_keep_columns_that_clash(spark, odd):
+    """Columns of the stages' own names pass through every stage, on odd and on empty tables."""
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for c in ("score", "lang_pred", "n_values", "copies", "root", "size", "_new"):
+        docs = docs.withColumn(c, F.lit("own"))
+    for name, stage in pipe.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.where("score != 'own' OR lang_pred != 'own' OR copies != 'own' OR root != 'own'").count() == 0
+        assert stage(spark, docs.where("doc_id < 0"), SF).count() == 0
+        docs = docs if name == "mixture" else out
+    assert pipe.STAGES[-1][1](spark, docs.withColumn("ids", F.lit(1)), SF).columns == ["doc_id", "source", "ids", "n_pieces", "round_trip"]

@@ -1,13 +1,14 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Every word of a text gets a probability for each language. A word's score is the sum of learned weights
-of its hashed character bigrams and trigrams, where the ends of the word count as characters (so the
-n-grams at its ends are prefix and suffix features), and of its membership in each language's lexicon.
+of its affixes (its first and its last AFFIX letters, hashed apart from one another and from all else), of
+its hashed character bigrams and trigrams, in which a blank stands at either end of the word, and of its
+membership in each language's lexicon.
 Learned transitions couple neighbours; forward-backward gives the marginals. Texts that switch between
 languages come out as spans; a document's language is the one with the largest mean marginal.
 
 The model is fitted by maximum likelihood on at most SAMPLE whole documents of each language, chosen by
-a hash of their id, and on all languages: a document after the first is left out where the ones before fill
+a hash of id and text, and on all languages: a document after the first is left out where the ones before fill
 its language's share of SAMPLE_BYTES. Training chains splice pieces
 of different documents, so that switches are seen. Only texts and labels of documents that are not held
 out are used. Prediction reads nothing but the text.
@@ -37,6 +38,8 @@ SAMPLE_BYTES = 8 << 20
 LEXICON = 4000
 #: Buckets of hashed n-grams, and words of a block of the chain.
 BUCKETS, BLOCK = 1 << 16, 64
+#: Letters of a prefix or suffix.
+AFFIX = 4
 #: Numbers of an array that a worker holds at once, about, whatever the languages and the length of a text.
 CELLS = 1 << 19
 STEPS, RATE, DECAY = 40, 0.15, 1e-4
@@ -49,6 +52,7 @@ _letter = np.array([chr(i).isalpha() for i in range(0x10000)])
 class Model:
     languages: list[str]
     grams: np.ndarray  # (BUCKETS, L)
+    affixes: np.ndarray  # (BUCKETS, L)
     lexicon: np.ndarray  # (L, L): weight of a word of lexicon a for language b
     words: np.ndarray  # sorted hashes of all lexicon words
     member: np.ndarray  # (len(words), L) 0 or 1
@@ -82,6 +86,19 @@ def gram_ids(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two % np.uint64(BUCKETS)).astype(np.int64), (three % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def affix_ids(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the prefix and the suffix of each word: at most AFFIX letters, with their number."""
+    out = []
+    for salt, at, way in ((1, starts, 1), (2, ends - 1, -1)):
+        x = np.full(len(starts), salt, np.uint64)
+        for k in range(AFFIX):
+            here = k < ends - starts
+            letter = np.where(here, c[np.where(here, at + way * k, 0)].astype(np.uint64), np.uint64(0))
+            x = mixed(x * np.uint64(0x110000) + letter + np.uint64(1 << 50))
+        out.append((x % np.uint64(BUCKETS)).astype(np.int64))
+    return out[0], out[1]
+
+
 def emissions(m: Model, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(words, L): log weight of each language for each word.
 
@@ -105,7 +122,10 @@ def emissions(m: Model, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
         lo = hi
     before = np.maximum(starts - 1, 0)
     first = gram_ids(np.stack([np.where(starts > 0, c[before], 0), c[starts]], axis=1).ravel())[0][1::2]
+    prefix, suffix = affix_ids(c, starts, ends)
     out += m.grams[first]
+    out += m.affixes[prefix]
+    out += m.affixes[suffix]
     if len(m.words):
         h = span_hashes(c, starts, ends)
         i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
@@ -184,7 +204,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model from (text, language) pairs."""
     langs = sorted({lang for _, lang in samples})
     size = len(langs)
-    m = Model(langs, np.zeros((BUCKETS, size)), np.zeros((size, size)), np.empty(0, np.uint64), np.zeros((0, size)), np.zeros((size, size)))
+    m = Model(langs, np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), np.zeros((size, size)), np.empty(0, np.uint64), np.zeros((0, size)), np.zeros((size, size)))
     c, starts, ends, text = split([t for t, _ in samples])
     if not len(starts):
         return m
@@ -206,6 +226,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     at = np.repeat(s + 1 - (np.cumsum(n) - n), n) + np.arange(len(rows))
     cols = np.concatenate([two[at], three[at], two[s]])
     rows = np.concatenate([rows, rows, np.arange(len(types))])
+    prefix, suffix = affix_ids(c, s, s + n)
     # pieces of 3 to 24 words of one document, shuffled and joined to chains
     rng = np.random.default_rng(seed)
     cuts_at = [0]
@@ -226,12 +247,12 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     moved = np.zeros((size, size))
     np.add.at(moved, (chain_label[here - 1], chain_label[here]), 1)
     some, chains = max(1, (1 << 19) // size**2), max(1, (1 << 22) // size**2)  # pairs of words and chains at once
-    params = [m.grams, m.lexicon, m.move]
+    params = [m.grams, m.lexicon, m.move, m.affixes]
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
         per_type = np.zeros((len(types), size))
         for k in range(size):
-            per_type[:, k] = np.bincount(rows, weights=m.grams[cols, k], minlength=len(types))
+            per_type[:, k] = np.bincount(rows, weights=m.grams[cols, k], minlength=len(types)) + m.affixes[prefix, k] + m.affixes[suffix, k]
         per_type += member @ m.lexicon
         e = per_type[chain_word]
         done = []
@@ -249,7 +270,8 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
             joint = forward[i - 1][:, :, None] * np.exp(m.move)[None] * (x[i] * backward[i])[:, None, :]
             g_move -= (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
         g_move /= len(token)
-        for i, g in enumerate((g_grams, member.T @ gap, g_move)):
+        g_affixes = np.stack([np.bincount(prefix, weights=gap[:, k], minlength=BUCKETS) + np.bincount(suffix, weights=gap[:, k], minlength=BUCKETS) for k in range(size)], axis=1)
+        for i, g in enumerate((g_grams, member.T @ gap, g_move, g_affixes)):
             g = g - DECAY * params[i] / size
             mean[i] = 0.9 * mean[i] + 0.1 * g
             var[i] = 0.99 * var[i] + 0.01 * g * g
@@ -263,11 +285,11 @@ def held_out(doc: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `each` labelled documents of each language that are not held out: those with the least hashes of their ids."""
+    """At most `each` labelled documents of each language that are not held out: those with the least hashes of id and text."""
     own = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = SAMPLE_BYTES // max(1, sizes.count())
-    spread = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40))
+    spread = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40))  # by the text too, so that repeated ids spread
     near = own.join(F.broadcast(sizes), "lang").withColumn("spread", spread).where(F.col("spread") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(2 * each + 20) / F.col("rows")))
     w = Window.partitionBy("lang").orderBy("spread", "doc_id", F.coalesce("text", F.lit("")))
     upto = F.sum(utf8_bytes()).over(w.rowsBetween(Window.unboundedPreceding, 0))
