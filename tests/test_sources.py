@@ -167,3 +167,14 @@ def test_diverse_portals(spark):
     rows = [(0, 1, u, u + 100, w, float(x), 0.0) for u, w, x in ((1, 5, 0), (2, 9, 3), (3, 1, 10), (4, 2, -6), (5, 1, 10))]
     got = G.diverse_portals(spark.createDataFrame(rows, "ru int, rv int, u int, v int, weight int, x double, y double"), 3).orderBy("nth").collect()
     assert [r["u"] for r in got] == [2, 4, 3]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from wayfare.__main__ import main
+
+    assert main(["list", "jsd_"]) == 0 and capsys.readouterr().out.split() == [f"jsd_{k}" for k in "abcdefgh"]
+    assert main(["sql", "fil_bbox"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert main(["run", "corridors_*", "--data", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/out/corridors_3").count() == 1
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", "--data", "x", "--out", "y"])
