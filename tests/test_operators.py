@@ -363,3 +363,45 @@ def test_nearest_nodes_and_segments_by_brute_force(spark):
     for t, _, x, y in pts:
         d, k = min((off(x, y, *z), k) for k, *z in segs)
         assert (t in got) == (d <= 6) and (t not in got or got[t] == (k, pytest.approx(d)))
+
+
+def test_noise_is_drawn_once_and_projected(spark):
+    from wayfare.plans import blocks
+
+    sf = "/root/testdata/sf0.001"
+    a, b = ({r["atom"]: r for r in blocks.noisy(spark, sf, random.Random(k)).collect()} for k in (1, 2))
+    exact = {r["b"]: 0 for r in blocks.released(spark, sf, "portals").collect()}
+    for r in blocks.released(spark, sf, "portals").collect():
+        exact[r["b"]] += r["units"]
+    assert set(a) == {-1, *range(len(blocks.PORTALS))} and a != b
+    gaps = [abs(x[k]["noisy"] - exact.get(k, 0)) for x in (a, b) for k in x]
+    assert np.mean(gaps) == pytest.approx(P.expected_noise(float(blocks.BUDGET)), rel=0.35)
+    assert sum(r["projected"] for r in a.values()) == pytest.approx(sum(r["noisy"] for r in a.values())) and min(r["projected"] for r in a.values()) >= 0
+    assert P.release({"x": 5}, 1, Fraction(1, 10**9), random.Random(0), bound=7)["x"] in range(-7, 8)
+
+
+def test_hausdorff_by_plain_loops():
+    from wayfare.operators import curves
+
+    rng = random.Random(7)
+    draw = lambda: [{"x": float(rng.randrange(9)), "y": float(rng.randrange(9))} for _ in range(rng.randrange(1, 6))]
+    a, b = [draw() for _ in range(30)], [draw() for _ in range(30)]
+    off = lambda p, q: max(min(float(np.hypot(s["x"] - t["x"], s["y"] - t["y"])) for t in q) for s in p)
+    assert curves.hausdorff(a, b) == pytest.approx([max(off(p, q), off(q, p)) for p, q in zip(a, b, strict=True)])
+    assert np.isnan(curves.hausdorff([[]], [draw()]))[0]
+
+
+def test_road_networks_keep_their_largest_part(spark):
+    place = lambda lat, lon: {"lat": lat, "lon": lon}
+    rows = [("1", ["a", "b", "c"], [place(1.0, 1.0), place(1.0, 1.1), place(1.0, 1.2)], {"highway": "primary"}), ("2", ["x", "y"], [place(5.0, 5.0), place(5.0, 5.1)], {"highway": "primary", "oneway": "yes"}), ("3", ["c", "d"], [place(1.0, 1.2), place(1.1, 1.2)], {"highway": "track"})]
+    ways = spark.createDataFrame(rows, "id string, nodes array<string>, geometry array<struct<lat: double, lon: double>>, tags map<string, string>")
+    net = G.road_network(ways).orderBy("edge_id").collect()
+    assert [(r["edge_id"], r["u"], r["v"]) for r in net] == [(1, "a", "b"), (2, "b", "a"), (3, "b", "c"), (4, "c", "b"), (5, "c", "d"), (6, "d", "c")]
+    assert net[4]["length_m"] == pytest.approx(0.1 * 111195, rel=1e-3)
+    assert G.road_network(ways, ("primary",)).count() == 4
+
+
+def test_alternative_paths(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 3, 1.5), (3, 2, 1.0), (2, 0, 9.0)], "u long, v long, length double")
+    got = G.alternative_paths(spark.createDataFrame([(0, 2), (2, 1), (0, 2)], "src long, dst long"), e, 2).orderBy("src", "nth").collect()
+    assert [(r["src"], r["nth"], list(r["path"]), r["length"]) for r in got] == [(0, 1, [0, 1, 2], 2.0), (0, 2, [0, 3, 2], 2.5), (2, 1, [2, 0, 1], 10.0)]

@@ -43,18 +43,31 @@ def _measured(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tup
     return np.where(some, warp[last] / np.maximum(n + m, 1), np.nan), np.where(some, leash[last], np.nan)
 
 
+def hausdorff(a: list, b: list) -> np.ndarray:
+    """Largest distance of a point of either sequence to the other sequence, by pair; nan if one is empty."""
+    x, n = _padded(a, max(map(len, a), default=0))
+    y, m = _padded(b, max(map(len, b), default=0))
+    d = np.linalg.norm(x[:, :, None] - y[:, None], axis=3)
+    here, there = np.arange(x.shape[1])[None] < n[:, None], np.arange(y.shape[1])[None] < m[:, None]
+    from_a = np.where(there[:, None, :], d, np.inf).min(axis=2)
+    from_b = np.where(here[:, :, None], d, np.inf).min(axis=1)
+    worst = np.maximum(np.where(here, from_a, -np.inf).max(axis=1), np.where(there, from_b, -np.inf).max(axis=1))
+    return np.where((n > 0) & (m > 0), worst, np.nan)
+
+
 def compared(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` with dtw and frechet of the point arrays `a` and `b` (structs of x and y), of which neither is longer than its caller resampled it to."""
+    """The columns `keep` with dtw, frechet and hausdorff of the point arrays `a` and `b` (structs of x and y), of which neither is longer than its caller resampled it to."""
 
     def measure(batches):
         for p in batches:
             for lo in range(0, len(p), 512):
                 own = p.iloc[lo : lo + 512]
                 warp, leash = distances(list(own["a"]), list(own["b"]))
-                yield own[keep].assign(dtw=pd.array(warp, "Float64"), frechet=pd.array(leash, "Float64"))
+                far = hausdorff(list(own["a"]), list(own["b"]))
+                yield own[keep].assign(dtw=pd.array(warp, "Float64"), frechet=pd.array(leash, "Float64"), hausdorff=pd.array(far, "Float64"))
 
     fields = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
-    return pairs.select(*keep, "a", "b").mapInPandas(measure, f"{fields}, dtw double, frechet double")
+    return pairs.select(*keep, "a", "b").mapInPandas(measure, f"{fields}, dtw double, frechet double, hausdorff double")
 
 
 KEY = ["o", "d", "bin"]

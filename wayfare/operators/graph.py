@@ -213,6 +213,37 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return requests.select("src", "dst").distinct().mapInPandas(route, "src long, dst long, path array<long>, length double")
 
 
+def alternative_paths(requests: DataFrame, edges: DataFrame, k: int, penalty: float = 1.6) -> DataFrame:
+    """(src, dst, nth, path, length) of up to k different paths of each request, found by lengthening the edges of those before."""
+    graph = requests.sparkSession.sparkContext.broadcast(Graph.collected(edges))
+
+    def route(batches):
+        g = graph.value
+        size = {(int(g.nodes[i]), int(g.nodes[g.to[e]])): float(g.length[e]) for i in range(len(g.nodes)) for e in range(g.first[i + 1] - 1, g.first[i] - 1, -1)}
+        for p in batches:
+            rows = [(s, d, n, path, sum(size[x] for x in itertools.pairwise(path))) for s, d in zip(p["src"], p["dst"], strict=True) for n, path in enumerate(g.k_paths(int(s), int(d), k, penalty), 1)]
+            yield pd.DataFrame(rows, columns=["src", "dst", "nth", "path", "length"])
+
+    return requests.select("src", "dst").distinct().mapInPandas(route, "src long, dst long, nth int, path array<long>, length double")
+
+
+def road_network(ways: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+    """(edge_id, u, v, lat0, lon0, lat1, lon1, highway, length_m): the directed rows of `network` in its largest weak part, numbered from 1 in order of (u, v), for networks that fit MOST_EDGES."""
+    from wayfare.functions.sequence import haversine_km
+
+    rows = network(ways)
+    if labels:
+        rows = rows.where(F.col("highway").isin(*labels))
+    rows = rows.dropDuplicates(["u", "v"])
+    if rows.count() > MOST_EDGES:
+        raise ValueError("too many edges for one network")
+    code = rows.select("u").union(rows.select("v")).distinct().withColumn("id", F.row_number().over(Window.orderBy("u")).cast("long"))  # at most 2 * MOST_EDGES nodes
+    e = rows.join(code.selectExpr("u", "id AS a"), "u").join(code.selectExpr("u AS v", "id AS b"), "v")
+    big = largest_component(e.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    e = e.join(big, ["a", "b"], "left_semi").withColumn("length_m", haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")) * 1000)
+    return e.select(F.row_number().over(Window.orderBy("u", "v")).alias("edge_id"), "u", "v", "lat0", "lon0", "lat1", "lon1", "highway", "length_m")
+
+
 def hop_distances(edges: DataFrame, source: int) -> DataFrame:
     """(node, hops) from one node along directed edges, by rounds over the frontier until it is empty."""
     spark = edges.sparkSession

@@ -6,6 +6,9 @@ Lengths are whole micro-units, so masses, phases and remainders are exact on eve
 
 from __future__ import annotations
 
+import random
+from fractions import Fraction
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -243,3 +246,20 @@ def expansion(spark, sf):
 
 
 register("seq_region_paths", expansion, f"WITH {SEGS}, {_RUNS}, {_PATHS}, m AS (SELECT region AS a, lead(region) OVER (PARTITION BY trip ORDER BY seq) AS b FROM rr), c AS (SELECT a, b, count(*) AS n FROM m WHERE b IS NOT NULL GROUP BY a, b), p AS (SELECT a, b, count(*) AS moves, string_agg(CAST(v AS VARCHAR), '-' ORDER BY k) AS path FROM paths GROUP BY a, b) SELECT c.a, c.b, n, moves, path FROM c JOIN p ON p.a = c.a AND p.b = c.b")
+
+
+def noisy(spark, sf, rng=None):
+    """A release of the portal block: its exact totals on the driver, discrete Laplace noise of a budget of one for all atoms of the public domain, drawn once, and their projection onto the simplex.
+
+    The query draws from a seeded generator, so that it can be repeated; a release must not give `rng`.
+    """
+    domain = [-1, *range(len(PORTALS))]
+    q = P.quantised(portals(spark, sf), ["trip"], ["a", "b"], BUDGET).groupBy("b").agg(F.sum("units").cast("long").alias("units"))
+    exact = {r["b"]: r["units"] for r in q.collect()}  # atoms of the public grid
+    drawn = P.release({k: exact.get(k, 0) for k in domain}, BUDGET, Fraction(1), rng)
+    out = spark.createDataFrame([(k, v) for k, v in drawn.items()], "atom int, noisy long")
+    total = sum(drawn.values())
+    return _rounded(P.simplex(out.withColumn("x", F.col("noisy").cast("double")), "x", float(max(total, 1)), ["atom"]).select("atom", "noisy", "projected"), 3)
+
+
+register("dp_noisy_portals", lambda s, d: noisy(s, d, random.Random(11)))

@@ -216,3 +216,56 @@ def two_portals(spark, sf):
 
 
 register("graph_diverse_portals", two_portals, f"WITH {V.EDGES}, no AS (SELECT n_nationkey AS node, (n_nationkey * 7 % 25) * 2.0::DOUBLE AS x, (n_nationkey * 11 % 25) * 4.0::DOUBLE AS y FROM nation), c AS (SELECT ru, rv, u, v, count(*) AS weight FROM edges WHERE ru <> rv GROUP BY ru, rv, u, v), g AS (SELECT c.*, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y FROM c JOIN no a ON a.node = u JOIN no b ON b.node = v), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY ru, rv ORDER BY weight DESC, u, v) = 1), s AS (SELECT g.* FROM g JOIN f ON f.ru = g.ru AND f.rv = g.rv AND (f.u <> g.u OR f.v <> g.v) QUALIFY row_number() OVER (PARTITION BY g.ru, g.rv ORDER BY round(sqrt((g.x - f.x) * (g.x - f.x) + (g.y - f.y) * (g.y - f.y)), 9) DESC, g.u, g.v) = 1) SELECT ru, rv, u, v, CAST(1 AS INT) AS nth FROM f UNION ALL SELECT ru, rv, u, v, CAST(2 AS INT) FROM s")
+
+
+#: Members and non-members, each, that are looked for in the release: those of least hashes.
+CANDIDATES = 1000
+EARTH_M = 6371008.8
+
+
+def population_linkage(spark, sf):
+    """Distance of members and non-members to the nearest released trip, by the mean great-circle distance of LANDMARKS places: AUC and balanced accuracy of nearness.
+
+    Orders by number modulo four: 0 members, 1 release, 2 non-members. Quantity is the latitude, the price in thousands
+    the longitude. The candidates are bounded and sent to all tasks, the release is not.
+    """
+    p = V.points(spark, sf).select("trip", "seq", F.col("x").alias("lat"), (F.col("y") / 1000).alias("lon"))
+    a = p.groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p")).where(F.size("p") >= 2)
+    a = a.select("trip", F.pmod("trip", F.lit(4)).alias("part"), *(S.landmarks(F.col(f"p.{c}"), LANDMARKS).alias(c) for c in ("lat", "lon")))
+    h = F.row_number().over(Window.partitionBy("part").orderBy(S.stable("linkage", F.col("trip")), "trip"))
+    asked = a.where("part IN (0, 2)").withColumn("nth", h).where(F.col("nth") <= CANDIDATES).orderBy("trip").collect()
+    ids, lat, lon = [r["trip"] for r in asked], *(np.radians(np.array([r[c] for r in asked], float).reshape(-1, LANDMARKS)) for c in ("lat", "lon"))
+    shared = spark.sparkContext.broadcast((lat, lon))  # 2 * CANDIDATES rows
+
+    def near(batches):
+        import pandas as pd
+
+        qa, qo = shared.value
+        best = np.full(len(qa), np.inf)
+        for b in batches:
+            ra, ro = (np.radians(np.array(b[c].tolist(), float).reshape(-1, LANDMARKS)) for c in ("lat", "lon"))
+            for lo in range(0, len(ra), 64):
+                x, y = ra[None, lo : lo + 64], ro[None, lo : lo + 64]
+                half = np.sin((x - qa[:, None]) / 2) ** 2 + np.cos(qa[:, None]) * np.cos(x) * np.sin((y - qo[:, None]) / 2) ** 2
+                best = np.minimum(best, (2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(half)))).mean(axis=2).min(axis=1))
+        yield pd.DataFrame({"i": np.arange(len(qa)), "d": best})
+
+    found = a.where("part = 1").select("lat", "lon").mapInPandas(near, "i int, d double").groupBy("i").agg(F.min("d").alias("d"))
+    who = spark.createDataFrame([(i, int(t % 4 == 0)) for i, t in enumerate(ids)], "i int, label int")
+    s = found.join(F.broadcast(who), "i").select((-F.round("d", 3)).alias("score"), "label")
+    return _rounded(R.auc(s, "score", "label").crossJoin(F.broadcast(R.balanced_at_median(s, "score", "label"))))
+
+
+_MARKS = f"n AS (SELECT trip, count(*) AS n FROM points GROUP BY trip HAVING count(*) >= 2), m AS (SELECT n.trip, n, CAST(i AS INT) AS i, i * (n - 1) / {float(LANDMARKS - 1)!r}::DOUBLE AS w FROM n, range({LANDMARKS}) r(i)), lm AS (SELECT m.trip, m.trip % 4 AS part, i, a.x + (b.x - a.x) * (w - floor(w)) AS lat, a.y / 1000 + (b.y / 1000 - a.y / 1000) * (w - floor(w)) AS lon FROM m JOIN points a ON a.trip = m.trip AND a.seq = 1 + CAST(floor(w) AS BIGINT) JOIN points b ON b.trip = m.trip AND b.seq = least(n, 2 + CAST(floor(w) AS BIGINT)))"
+register("attack_population_linkage", population_linkage, f"WITH {V.POINTS}, {_MARKS}, k AS (SELECT trip, part FROM (SELECT DISTINCT trip, part FROM lm WHERE part IN (0, 2)) QUALIFY row_number() OVER (PARTITION BY part ORDER BY sha256('linkage|' || CAST(trip AS VARCHAR)), trip) <= {CANDIDATES}), q AS (SELECT lm.* FROM lm JOIN k ON k.trip = lm.trip), d AS (SELECT q.trip, q.part, r.trip AS o, avg(2 * {EARTH_M} * asin(least(1.0, sqrt(pow(sin((radians(r.lat) - radians(q.lat)) / 2), 2) + cos(radians(q.lat)) * cos(radians(r.lat)) * pow(sin((radians(r.lon) - radians(q.lon)) / 2), 2))))) AS d FROM q JOIN lm r ON r.part = 1 AND r.i = q.i GROUP BY q.trip, q.part, r.trip), s AS (SELECT -round(min(d), 3) AS score, CASE WHEN part = 0 THEN 1 ELSE 0 END AS label FROM d GROUP BY trip, part), rk AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s), c AS (SELECT sum(label) AS p, sum(1 - label) AS n, sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS s FROM rk), me AS (SELECT quantile_cont(score, 0.5) AS median FROM s) SELECT (SELECT round((s - p * (p + 1) / 2.0) / (p * n), 6) FROM c) AS auc, CAST((SELECT p FROM c) AS BIGINT) AS positives, CAST((SELECT n FROM c) AS BIGINT) AS negatives, (SELECT round((sum(CASE WHEN label = 1 AND score >= median THEN 1.0 ELSE 0.0 END) / sum(label) + sum(CASE WHEN label = 0 AND score < median THEN 1.0 ELSE 0.0 END) / sum(1 - label)) / 2, 6) FROM s, me) AS balanced")
+
+
+def alternatives(spark, sf):
+    """Up to three different short paths between nodes at least ten numbers apart: after each, its roads are lengthened and the search runs again."""
+    r = roads(spark, sf).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("len").alias("length"))
+    n = nodes(spark, sf).select(F.col("node").cast("long").alias("src"))
+    asked = n.join(F.broadcast(n.withColumnRenamed("src", "dst")), F.col("dst") >= F.col("src") + 10)  # the nations
+    return _rounded(G.alternative_paths(asked, r, 3).select("src", "dst", "nth", "length", F.concat_ws("-", "path").alias("path")))
+
+
+register("graph_alternative_paths", alternatives)

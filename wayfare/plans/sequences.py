@@ -204,6 +204,22 @@ def gap_segments(spark, sf):
 register("src_gap_segments", gap_segments, "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, abs(value - lag(value) OVER w) AS jump FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR jump IS NULL OR gap > 21600000000 OR jump > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM e) SELECT user_id, segment, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY user_id, segment HAVING count(*) >= 2")
 
 
+def shapes(spark, sf):
+    """Trips with equal end cells, each with the next one by number: warping, discrete Frechet and Hausdorff distances on 32 points, summed up by pair of cells."""
+    p = V.points(spark, sf).withColumn("cell", S.cell(F.col("x"), BOX[0], BOX[1], 4) * 4 + S.cell(F.col("y"), BOX[2], BOX[3], 4))
+    t = p.groupBy("trip").agg(F.min_by("cell", "seq").alias("o"), F.max_by("cell", "seq").alias("d"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", (F.col("y") / 1000).alias("y")))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
+    t = t.withColumn("points", S.sampled(F.col("points"), 32))
+    w = Window.partitionBy("o", "d").orderBy("trip")
+    t = t.withColumn("next", F.lead(F.struct("trip", "points")).over(w)).where("next IS NOT NULL")
+    c = curves.compared(t.select("trip", "o", "d", F.col("points").alias("a"), F.col("next.points").alias("b")), ["trip", "o", "d"])
+    return c.groupBy("o", "d").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("dtw"), 4).alias("dtw"), F.round(F.sum("frechet"), 4).alias("frechet"), F.round(F.sum("hausdorff"), 4).alias("hausdorff"))
+
+
+_FREE = "c AS (SELECT trip, seq, x, y / 1000 AS y, " + cell_sql(4) + " AS cell FROM points), e AS (SELECT trip, arg_min(cell, seq) AS o, arg_max(cell, seq) AS d, list({'x': x, 'y': y} ORDER BY seq) AS p FROM (SELECT trip, seq, x, y, cell FROM c) GROUP BY trip), pr AS (SELECT o, d, trip, p AS a, lead(p) OVER (PARTITION BY o, d ORDER BY trip) AS b FROM e), q AS (SELECT * FROM pr WHERE b IS NOT NULL)"
+_GRID = "g(o, d, trip, a, b, k, w, l) AS (SELECT o, d, trip, a, b, 0, CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]) FROM q UNION ALL SELECT o, d, trip, a, b, k + 1, list_append(w, s.c + CASE WHEN k = 0 THEN 0 ELSE least(CASE WHEN k >= len(b) THEN w[k - len(b) + 1] ELSE 1e300 END, CASE WHEN k % len(b) > 0 THEN w[k] ELSE 1e300 END, CASE WHEN k >= len(b) AND k % len(b) > 0 THEN w[k - len(b)] ELSE 1e300 END) END), list_append(l, greatest(s.c, CASE WHEN k = 0 THEN 0 ELSE least(CASE WHEN k >= len(b) THEN l[k - len(b) + 1] ELSE 1e300 END, CASE WHEN k % len(b) > 0 THEN l[k] ELSE 1e300 END, CASE WHEN k >= len(b) AND k % len(b) > 0 THEN l[k - len(b)] ELSE 1e300 END) END)) FROM (SELECT *, sqrt((a[k // len(b) + 1].x - b[k % len(b) + 1].x) ** 2 + (a[k // len(b) + 1].y - b[k % len(b) + 1].y) ** 2) AS c FROM g WHERE k < len(a) * len(b)) s)"
+register("seq_shape_distances", shapes, f"WITH RECURSIVE {V.POINTS}, {_FREE}, {_GRID}, h AS (SELECT trip, list_max(list_transform(a, lambda s : list_min(list_transform(b, lambda t : sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2))))) AS ab, list_max(list_transform(b, lambda s : list_min(list_transform(a, lambda t : sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2))))) AS ba FROM q), f AS (SELECT o, d, g.trip, w[len(w)] / (len(a) + len(b)) AS dtw, l[len(l)] AS frechet, greatest(ab, ba) AS hausdorff FROM g JOIN h ON h.trip = g.trip WHERE k = len(a) * len(b)) SELECT o, d, count(*) AS pairs, round(sum(dtw), 4) AS dtw, round(sum(frechet), 4) AS frechet, round(sum(hausdorff), 4) AS hausdorff FROM f GROUP BY o, d")
+
+
 def pooled_curves(spark, sf):
     """Each real trip's least distances over all synthetic trips with its end cells and length bin, else with its end cells and bin 0, else over all; on 32 points."""
     p = V.points(spark, sf).withColumn("cell", S.cell(F.col("x"), BOX[0], BOX[1], 4) * 4 + S.cell(F.col("y"), BOX[2], BOX[3], 4)).withColumn("y", F.col("y") / 1000)
