@@ -334,8 +334,20 @@ def test_lists_meet_all_linked_sets():
                 b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                    ka, kb = (np.concatenate([k for _, k in jaccard_join.keys(x, percent)]) for x in (a, b))
-                    assert len(np.intersect1d(ka, kb))
+                    for edge in (1, 9, 14, 25):
+                        ka, kb = (np.concatenate([k for _, k in jaccard_join.keys(x, edge, percent)]) for x in (a, b))
+                        assert len(np.intersect1d(ka, kb))
+
+
+def test_boundary_follows_the_sizes():
+    for percent in (90, 80):
+        few = jaccard_join.boundary({a: 1 for a in range(1, 40)}, percent)
+        small, large = jaccard_join.boundary({5: 1000, 6: 1000}, percent), jaccard_join.boundary({30: 1000, 35: 1000}, percent)
+        assert 1 < few < jaccard_join.SMALL and small <= 10 and large == 1
+        # by trying all of them
+        cost = lambda sizes, e: sum(n * jaccard_join.subset_keys(a, e, percent) for a, n in sizes.items() if a < e) + sum(n * jaccard_join.LIST_COST * jaccard_join.list_keys(a, percent) for a, n in sizes.items() if jaccard_join.partners(a, percent)[-1] >= e)
+        for sizes in ({5: 3, 12: 40, 20: 7}, {1: 5, 9: 9, 33: 2}):
+            assert cost(sizes, jaccard_join.boundary(sizes, percent)) == min(cost(sizes, e) for e in range(1, jaccard_join.SMALL))
 
 
 @pytest.mark.parametrize("centres", [1, 6])
