@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Shares of a budget by stage.
+# Shares of a budget by stage: ends of trips, their matrix, geometry of requests, numbers of points and
+# lengths together, moves between regions, portals.
 SHARES = {"endpoint": Fraction(8, 35), "od": Fraction(33, 140), "geometry": Fraction(4, 35), "point_length": Fraction(19, 140), "flow": Fraction(1, 7), "portal": Fraction(1, 7)}
 
 
@@ -27,32 +28,30 @@ def allocate(total: Fraction | str | int) -> dict[str, Fraction]:
     return {k: v * total for k, v in SHARES.items()}
 
 
-def _true_with(p: Fraction, rng: random.Random) -> bool:
-    return rng.randrange(p.denominator) < p.numerator
-
-
-def _true_with_exp(x: Fraction, rng: random.Random) -> bool:
-    """True with probability exp(-x), x at least 0, from fair whole numbers alone."""
-    while x > 1:
-        if not _true_with_exp(Fraction(1), rng):
-            return False
-        x -= 1
+def _odd_run(gamma: Fraction, rng: random.Random) -> bool:
+    """True with probability exp(-gamma), gamma in [0, 1]: whether the first k at which a coin of gamma / k fails is odd (Canonne, Kamath and Steinke, The Discrete Gaussian for Differential Privacy, 2020, algorithm 1)."""
     k = 1
-    while _true_with(x / k, rng):
+    while rng.randrange(gamma.denominator * k) < gamma.numerator:
         k += 1
     return k % 2 == 1
 
 
+def bernoulli_exp(gamma: Fraction, rng: random.Random) -> bool:
+    """True with probability exp(-gamma), gamma at least 0: exp(-1) as often as gamma is whole, then what is left."""
+    whole, rest = divmod(gamma, 1)
+    return all(_odd_run(Fraction(1), rng) for _ in range(whole)) and _odd_run(rest, rng)
+
+
 def discrete_laplace(scale: Fraction, rng: random.Random | None = None) -> int:
-    """A whole number z with probability in proportion to exp(-|z| / scale), exactly."""
+    """A whole number z with probability in proportion to exp(-|z| / scale), exactly (algorithm 2 of the same paper)."""
     rng = rng or random.SystemRandom()
     s, t = scale.numerator, scale.denominator
     while True:
         u = rng.randrange(s)
-        if not _true_with_exp(Fraction(u, s), rng):
+        if not bernoulli_exp(Fraction(u, s), rng):
             continue
         v = 0
-        while _true_with_exp(Fraction(1), rng):
+        while bernoulli_exp(Fraction(1), rng):
             v += 1
         value, negative = (u + s * v) // t, rng.randrange(2) == 1
         if not (negative and value == 0):
