@@ -246,7 +246,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     np.add.at(truth, (chain_word, chain_label), 1)
     moved = np.zeros((size, size))
     np.add.at(moved, (chain_label[here - 1], chain_label[here]), 1)
-    some, chains = max(1, (1 << 19) // size**2), max(1, (1 << 22) // size**2)  # pairs of words and chains at once
+    chains = max(1, (1 << 22) // size**2)  # at once
     params = [m.grams, m.lexicon, m.move, m.affixes]
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
@@ -264,12 +264,10 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
         expect = np.stack([np.bincount(chain_word, weights=q[:, k], minlength=len(types)) for k in range(size)], axis=1)
         gap = (truth - expect) / len(token)
         g_grams = np.stack([np.bincount(cols, weights=gap[rows, k], minlength=BUCKETS) for k in range(size)], axis=1)
-        g_move = moved.copy()
-        for lo in range(0, len(here), some):
-            i = here[lo : lo + some]
-            joint = forward[i - 1][:, :, None] * np.exp(m.move)[None] * (x[i] * backward[i])[:, None, :]
-            g_move -= (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
-        g_move /= len(token)
+        # expected transitions: exp(move) times the sum over words of what comes from before and from behind, by their product
+        law, f, g = np.exp(m.move), forward[here - 1], x[here] * backward[here]
+        f = f / np.maximum(((f @ law) * g).sum(axis=1, keepdims=True), 1e-300)
+        g_move = (moved - law * (f.T @ g)) / len(token)
         g_affixes = np.stack([np.bincount(prefix, weights=gap[:, k], minlength=BUCKETS) + np.bincount(suffix, weights=gap[:, k], minlength=BUCKETS) for k in range(size)], axis=1)
         for i, g in enumerate((g_grams, member.T @ gap, g_move, g_affixes)):
             g = g - DECAY * params[i] / size
