@@ -81,3 +81,16 @@ def test_draws_follow_their_law(spark):
     law = spark.createDataFrame([(0, 10), (1, 30), (2, 60)], "cell int, n long")
     got = {r["cell"]: r["n"] for r in synthesis._drawn(law, spark.range(20000).withColumnRenamed("id", "slot"), "s").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {k: v / 20000 for k, v in got.items()} == pytest.approx({0: 0.1, 1: 0.3, 2: 0.6}, abs=0.012)
+
+
+def test_lifted_walks_are_road_paths(spark):
+    from wayfare.plans import roads, synthesis
+
+    sf = "/root/testdata/sf0.001"
+    net = {(r["u"], r["v"]) for r in roads.roads(spark, sf).collect()}
+    rows = synthesis.lifted(spark, sf).collect()
+    kinds = {r["kind"] for r in rows}
+    assert rows and kinds <= {"restricted", "fallback", "none"} and "restricted" in kinds
+    for r in rows:
+        assert (r["path"] is None) == (r["kind"] == "none")
+        assert all(e in net for e in itertools.pairwise(r["path"] or []))

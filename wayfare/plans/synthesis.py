@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wayfare.functions import sequence as S
 from wayfare.operators import graph as G
 from wayfare.operators import privacy as P
 from wayfare.operators import spatial
@@ -21,7 +22,8 @@ from wayfare.sources import views as V
 from . import blocks as B
 from .distributions import OD, _rounded
 from .distributions import _ends as od_ends
-from .roads import nodes
+from .roads import nodes, roads
+from .sequences import BOX
 
 REGIONS = B.SIDE * B.SIDE
 #: Share of a row that public support gets, tilt and cap of a projection, and sharpness of a selection.
@@ -335,3 +337,49 @@ def residual(spark, sf):
 
 
 register("route_residual_share", residual, f"WITH RECURSIVE {_FAM}, c AS (SELECT family, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS s FROM fam GROUP BY family), t AS (SELECT sum(n) AS tn, sum(s) AS ts FROM c), h AS (SELECT list({{'w': CAST(n AS DOUBLE) / tn, 'q': CAST(s AS DOUBLE) / ts}}) AS h FROM c, t WHERE n >= {HEAD}), bi(k, lo, hi, h) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, h FROM h UNION ALL SELECT k + 1, CASE WHEN (lo + hi) / 2 + coalesce(list_sum(list_transform(h, lambda x : greatest(x.w - (lo + hi) / 2 * x.q, 0.0))), 0) < 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN (lo + hi) / 2 + coalesce(list_sum(list_transform(h, lambda x : greatest(x.w - (lo + hi) / 2 * x.q, 0.0))), 0) < 1 THEN hi ELSE (lo + hi) / 2 END, h FROM bi WHERE k < 50) SELECT CAST(len(h) AS INT) AS families, round((lo + hi) / 2, 6) AS beta FROM bi WHERE k = 50")
+
+
+LIFTED = "slot long, kind string, path array<long>"
+
+
+def lifted(spark, sf):
+    """(slot, kind, path): walks through regions as paths of roads. The ends are the least nodes of the first and the last region that has any; the path stays in the walk's regions (restricted), or where that fails is the shortest of all (fallback), or null (none)."""
+    r = roads(spark, sf).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("len").alias("length"))
+    shared = spark.sparkContext.broadcast(G.Graph.collected(r))
+    place = S.cell(F.col("x"), BOX[0], BOX[1], B.SIDE) * B.SIDE + S.cell(F.col("y") * 1000, BOX[2], BOX[3], B.SIDE)
+    label = {x["node"]: x["region"] for x in nodes(spark, sf).select("node", place.alias("region")).collect()}  # the nations
+
+    def lift(batches):
+        g, known = shared.value, {}
+        region = np.array([label[int(n)] for n in g.nodes])
+
+        def of(walk):
+            held = [r for r in walk if (region == r).any()]
+            if not held:
+                return "none", None
+            a, b = (int(g.nodes[np.flatnonzero(region == r)[0]]) for r in (held[0], held[-1]))
+            path = g.path(a, b, allowed=np.isin(region, walk))
+            if path is not None:
+                return "restricted", path
+            path = g.path(a, b)
+            return ("none", None) if path is None else ("fallback", path)
+
+        for p in batches:
+            rows = []
+            for slot, walk in zip(p["slot"], p["regions"], strict=True):
+                key = tuple(int(x) for x in walk)
+                if key not in known:
+                    if len(known) >= 50_000:
+                        known.clear()
+                    known[key] = of(key)
+                rows.append((slot, *known[key]))
+            yield pd.DataFrame(rows, columns=["slot", "kind", "path"])
+
+    return walks(spark, sf).mapInPandas(lift, LIFTED)
+
+
+def lift_summary(spark, sf):
+    return _rounded(lifted(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("slots"), F.avg(F.size("path")).alias("nodes")))
+
+
+register("syn_lifted", lift_summary)
