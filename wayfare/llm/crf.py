@@ -86,6 +86,13 @@ def gram_ids(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two % np.uint64(BUCKETS)).astype(np.int64), (three % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def grams_at(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What gram_ids gives at some positions alone, for far less memory."""
+    own = np.stack([np.where(at > 1, c[np.maximum(at - 2, 0)], 0), np.where(at > 0, c[np.maximum(at - 1, 0)], 0), c[at]], axis=1)
+    two, three = gram_ids(own.ravel())
+    return two[2::3], three[2::3]
+
+
 def affix_ids(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the prefix and the suffix of each word: at most AFFIX letters, with their number."""
     out = []
@@ -220,11 +227,12 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     known = member.any(axis=1)
     m.words, m.member = types[known], member[known]
     # n-gram positions of the word types
-    two, three = gram_ids(c)
     s, n = starts[pick], (ends - starts)[pick]
     rows = np.repeat(np.arange(len(types)), n)
     at = np.repeat(s + 1 - (np.cumsum(n) - n), n) + np.arange(len(rows))
-    cols = np.concatenate([two[at], three[at], two[s]])
+    two, three = grams_at(c, at)
+    cols = np.concatenate([two, three, grams_at(c, s)[0]])
+    del at, two, three
     rows = np.concatenate([rows, rows, np.arange(len(types))])
     prefix, suffix = affix_ids(c, s, s + n)
     # pieces of 3 to 24 words of one document, shuffled and joined to chains
@@ -246,7 +254,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     np.add.at(truth, (chain_word, chain_label), 1)
     moved = np.zeros((size, size))
     np.add.at(moved, (chain_label[here - 1], chain_label[here]), 1)
-    chains = max(1, (1 << 22) // size**2)  # at once
+    chains = max(1, CELLS // max(size * size, BLOCK * size))  # at once
     params = [m.grams, m.lexicon, m.move, m.affixes]
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
@@ -254,20 +262,20 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
         for k in range(size):
             per_type[:, k] = np.bincount(rows, weights=m.grams[cols, k], minlength=len(types)) + m.affixes[prefix, k] + m.affixes[suffix, k]
         per_type += member @ m.lexicon
-        e = per_type[chain_word]
-        done = []
+        law, expect, links = np.exp(m.move), np.zeros((len(types), size)), np.zeros((size, size))
         for lo in range(0, len(lengths), chains):
-            said: list[np.ndarray] = []
-            q = marginals(e[lo * BLOCK : (lo + chains) * BLOCK], lengths[lo : lo + chains], m.move, said)
-            done.append((q, *said))
-        q, x, forward, backward = (np.concatenate(p) for p in zip(*done, strict=True))
-        expect = np.stack([np.bincount(chain_word, weights=q[:, k], minlength=len(types)) for k in range(size)], axis=1)
+            own, said = slice(lo * BLOCK, (lo + chains) * BLOCK), []
+            q = marginals(per_type[chain_word[own]], lengths[lo : lo + chains], m.move, said)
+            for k in range(size):
+                expect[:, k] += np.bincount(chain_word[own], weights=q[:, k], minlength=len(types))
+            # expected transitions: exp(move) times the sum over words of what comes from before and from behind, by their product
+            x, forward, backward = said
+            here = np.flatnonzero(inner[own])
+            f, g = forward[here - 1], x[here] * backward[here]
+            links += (f / np.maximum(((f @ law) * g).sum(axis=1, keepdims=True), 1e-300)).T @ g
         gap = (truth - expect) / len(token)
         g_grams = np.stack([np.bincount(cols, weights=gap[rows, k], minlength=BUCKETS) for k in range(size)], axis=1)
-        # expected transitions: exp(move) times the sum over words of what comes from before and from behind, by their product
-        law, f, g = np.exp(m.move), forward[here - 1], x[here] * backward[here]
-        f = f / np.maximum(((f @ law) * g).sum(axis=1, keepdims=True), 1e-300)
-        g_move = (moved - law * (f.T @ g)) / len(token)
+        g_move = (moved - law * links) / len(token)
         g_affixes = np.stack([np.bincount(prefix, weights=gap[:, k], minlength=BUCKETS) + np.bincount(suffix, weights=gap[:, k], minlength=BUCKETS) for k in range(size)], axis=1)
         for i, g in enumerate((g_grams, member.T @ gap, g_move, g_affixes)):
             g = g - DECAY * params[i] / size
