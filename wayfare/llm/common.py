@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once; a single longer text makes a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Spark's bound on the bytes of an Arrow batch.
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: White space of the contracts: blank and the five control characters 9 to 13.
