@@ -114,7 +114,8 @@ class Transducer:
         self.output = [self._bytes(p, t) for p, _, t in self.pieces]
         self.pairs: dict[tuple[str, str], float] = {}
         self.old_pairs: dict[tuple[str, str], float] = {}
-        self.own: dict[str, float] = {}
+        #: The pieces whose own arc is finite, found when the model is compiled.
+        self.finite = {p for p in self.ids if self.own_weight(p) < INFINITE}
         self.kept: dict[str, bytes] = {}
         self.old_kept: dict[str, bytes] = {}
 
@@ -161,11 +162,9 @@ class Transducer:
 
     def own_weight(self, piece: str) -> float:
         """Weight of the arc of one piece: its negative score in a unigram model; in a BPE model 0, or infinite where merging its characters does not give it."""
-        w = self.own.get(piece)
-        if w is None:
-            w = 0.0 if len(piece) == 1 or self.merged(piece) == [piece] else INFINITE
-            self.own[piece] = w
-        return w
+        if self.kind != BPE:
+            return -self.score[piece]
+        return 0.0 if len(piece) == 1 or self.merged(piece) == [piece] else INFINITE
 
     def path(self, s: str) -> list[str]:
         """Arc inputs of the tropical shortest path through the composition of one stretch with pieces and acceptor."""
@@ -189,17 +188,13 @@ class Transducer:
         Of the states of a position exactly one has a finite cost, the encoding of the text up to there. So states of
         infinite cost are not stored, and the search of a position ends with its first arc of finite weight.
         """
-        n, own, reach, pairs = len(s), self.own.get, self.reach.get, self.pairs.get
-        known = self.ids
+        n, finite, reach, pairs = len(s), self.finite, self.reach.get, self.pairs.get
         last = [""] * (n + 1)
         for i in range(1, n + 1):
             far = reach(s[i - 3 : i], 2) if i >= 3 else i
             for j in range(i - far if i > far else 0, i):
                 piece = s[j:i]
-                if piece in known:
-                    w = own(piece)
-                    if self.own_weight(piece) if w is None else w:
-                        continue
+                if piece in finite:
                     if j:
                         before = last[j]
                         w = pairs((before, piece))
