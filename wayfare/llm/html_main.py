@@ -200,10 +200,10 @@ def _tokens(html: str, kept: frozenset, parts: list[list], weights: dict[str, fl
             yield 0, (name + "|raw", name), html[begin:at], inside_n > 0, True
         if len(stack) >= DEEPEST:
             continue
-        why = apart(name, t, inside_n > 0, weights)
+        why, own = apart(name, t, inside_n > 0, weights), containers(name, t)
         if why in ("apart", "comments"):
             if m.start() in kept:
-                why = None
+                why, own = None, []  # what holds most of the page says nothing about its words
             else:
                 open_parts[len(stack)] = part = [m.start(), why, words, marks, 0]
                 parts.append(part)
@@ -211,7 +211,7 @@ def _tokens(html: str, kept: frozenset, parts: list[list], weights: dict[str, fl
         links += name == "a"
         marks += name in ("article", "main")
         around = stack[-1][2] if stack else ()
-        stack.append((name, why, (*around, *containers(name, t)), (stack[-1][3] if stack else "") if name in INLINE else name))
+        stack.append((name, why, (*around, *own), (stack[-1][3] if stack else "") if name in INLINE else name))
         opened[name] += 1
         apart_n += why is not None
         inside_n += name in ("article", "main")
