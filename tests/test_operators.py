@@ -314,6 +314,53 @@ def test_nearest_curves_by_brute_force(spark):
         assert found[t]["pool"] == len(pool) and found[t]["dtw"] == pytest.approx(warp.min()) and found[t]["frechet"] == pytest.approx(leash.min())
 
 
+CURVES = "trip long, o int, d int, bin int, points array<struct<x: double, y: double>>"
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_nearest_curves_shuffle_trips_and_not_pairs(spark):
+    from wayfare.operators import curves
+
+    rng = random.Random(7)
+    wrote = []
+    for n in (500, 2000):
+        side = lambda k, n=n: spark.createDataFrame([(2 * i + k, 0, 0, 1, [(rng.random(), rng.random()) for _ in range(3)]) for i in range(n)], CURVES)
+        before = shuffled(spark)
+        assert curves.nearest(side(0), side(1)).where(f"pool = {n}").count() == n
+        wrote.append(shuffled(spark) - before)
+    assert 0 < wrote[1] < 6 * wrote[0]
+
+
+@pytest.mark.parametrize("most", [1 << 15, 40])
+def test_nearest_curves_of_many_copies(spark, most):
+    from wayfare.operators import curves
+
+    rng = random.Random(6)
+    draw = lambda n: [(float(rng.randrange(7)), float(rng.randrange(7))) for _ in range(n)]
+    shapes = [draw(rng.choice((0, 1, 2, 3, 4, 9))) for _ in range(150)]
+    numbers = rng.sample(range(5000), 900)
+    real = [(t, 0, 0, rng.choice((1, 2)), rng.choice(shapes[:60])) for t in numbers[:200]] + [(t, 3, 3, 1, draw(2)) for t in numbers[200:230]]
+    syn = [(t, 0, 0, rng.choice((1, 2, None)), rng.choice(shapes[40:])) for t in numbers[230:]]
+    got = {r["trip"]: r for r in curves.nearest(spark.createDataFrame(real, CURVES), spark.createDataFrame(syn, CURVES), most).collect()}
+    assert len(got) == len(real)
+    points = lambda rows: [[{"x": x, "y": y} for x, y in r[4]] for r in rows]
+    for r in real:
+        pool = sorted(s for s in syn if s[1:4] == r[1:4]) or sorted(syn, key=lambda s: s[0])
+        found = got[r[0]]
+        assert found["pool"] == len(pool)
+        warp, leash = curves.distances(points([r]) * len(pool), points(pool))
+        if not r[4]:
+            assert np.isnan(found["dtw"]) and np.isnan(found["frechet"])
+            continue
+        assert (found["dtw"], found["frechet"]) == (np.nanmin(warp), np.nanmin(leash))
+        assert found["other"] == pool[int(np.nanargmin(warp))][0]
+
+
 def test_student_quantiles(spark):
     from wayfare.plans import measures
 

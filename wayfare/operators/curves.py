@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _written
+
 
 def _padded(lists: list, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Points as one array of (pair, position, coordinate), and the lengths."""
@@ -71,53 +74,156 @@ def compared(pairs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 KEY = ["o", "d", "bin"]
-#: Cells of distance tables that are filled at once.
-CELLS = 1 << 19
-
-
-def _block_pairs(batches):
-    """For each pair of blocks the least distances of its real trips."""
-    for p in batches:
-        kinds = [p.schema.field(c).type.value_type for c in ("trips", "others")]
-        for trips, a, others, b in zip(*(p.column(c).to_pylist() for c in ("trips", "a", "others", "b")), strict=True):
-            (x, n), (y, m) = (_padded(v, max(map(len, v))) for v in (a, b))
-            warp, leash = np.empty(len(n) * len(m)), np.empty(len(n) * len(m))
-            step = max(1, CELLS // (x.shape[1] * y.shape[1]))
-            for lo in range(0, len(warp), step):
-                i, j = np.divmod(np.arange(lo, min(lo + step, len(warp))), len(m))
-                warp[lo : lo + step], leash[lo : lo + step] = _measured(x[i], n[i], y[j], m[j])
-            warp, leash = warp.reshape(len(n), -1), leash.reshape(len(n), -1)
-            best = warp.argmin(axis=1)
-            cols = [pa.array(trips, kinds[0]), pa.array([others[i] for i in best], kinds[1]), pa.array(warp[np.arange(len(n)), best]), pa.array(leash.min(axis=1)), pa.array([len(m)] * len(n), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["trip", "other", "dtw", "frechet", "pool"])
-
-
-def _dealt(df: DataFrame, key: list[str], most: int, trips: str, points: str) -> DataFrame:
-    """Blocks of about `most` trips with one key."""
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    df = df.join(sizes, key) if key else df.crossJoin(F.broadcast(sizes))
-    of = F.pmod(F.xxhash64("trip"), F.ceil(F.col("_n") / most))
-    return df.groupBy(*key, of.alias("_block")).agg(F.collect_list("trip").alias(trips), F.collect_list("points").alias(points)).drop("_block")
-
-
-def nearest(real: DataFrame, syn: DataFrame, most: int = 64) -> DataFrame:
-    """(trip, other, dtw, frechet, pool): each real trip's least distances to all synthetic trips of its pool, and the trip of the least dtw.
-
-    Both have (trip, o, d, bin, points). The pool is the synthetic trips of the same o, d and bin; if there are none,
+#: Shapes of one side that meet at once in a worker.
+BLOCK = 1 << 15
+#: Pairs whose end points are compared at once, and pairs whose distance tables are filled at once.
+BOUNDS, PAIRS = 1 << 18, 1 << 12
+#: The first run of synthetic shapes; each later one is twice as long.
+FIRST = 64
+#: Room for rounding where a bound is held against a distance.
+SLACK = 1 + 1e-12
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates of all lists of a column, where each list begins, and its number of points."""
+    own = column.combine_chunks()
+    at = own.offsets.to_numpy().astype(np.int64)
+    return own.values.to_numpy(zero_copy_only=False), at[:-1], np.diff(at) // 2
+
+
+def _laid(values: np.ndarray, at: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """(coordinate, position, list), with zeros behind the shorter lists."""
+    out = np.zeros((2, most, len(at)))
+    for i in range(most):
+        has = np.flatnonzero(size > i)
+        for c in (0, 1):
+            out[c, i, has] = values[at[has] + 2 * i + c]
+    return out
+
+
+def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2)
+
+
+def _aligned(x, y, m, last, warp_bound, leash_bound):
+    """(pairs, warp, leash): the cheapest sum and the least maximum over the alignments of the pairs of which one may be within its bound; the others are left once neither can.
+
+    x and y are (coordinate, position, pair), all of x as long as its array and y of m points; last is the distance of the last points.
+    """
+    of, n = np.arange(len(m)), x.shape[1]
+    for i in range(n):
+        d = _between(x[:, i, None], y)
+        warp, leash = np.empty_like(d), np.empty_like(d)
+        if i:
+            warp[0], leash[0] = d[0] + w[0], np.maximum(d[0], l[0])  # noqa: F821  the row before
+            w, l = np.minimum(w[1:], w[:-1]), np.minimum(l[1:], l[:-1])  # noqa: E741
+        else:
+            warp[0] = leash[0] = d[0]
+        for j in range(1, len(d)):
+            np.add(d[j], np.minimum(w[j - 1], warp[j - 1]) if i else warp[j - 1], out=warp[j])
+            np.maximum(d[j], np.minimum(l[j - 1], leash[j - 1]) if i else leash[j - 1], out=leash[j])
+        w, l = warp, leash  # noqa: E741
+        if 0 < i < n - 1:
+            stay = ~((w.min(axis=0) + last > warp_bound) & (l.min(axis=0) > leash_bound))
+            if (left := np.flatnonzero(stay)).size < 0.7 * len(of):
+                of, m, last, warp_bound, leash_bound = of[left], m[left], last[left], warp_bound[left], leash_bound[left]
+                x, y, w, l = x[:, :, left], y[:, :, left], w[:, left], l[:, left]  # noqa: E741
+    cells = m - 1, np.arange(len(of))
+    return of, w[cells], l[cells]
+
+
+def _least(a, b, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each list of a the least warping distance to those of b, the least rank of those at that distance, and the least discrete Frechet distance; nan if there is none.
+
+    Any alignment meets both pairs of end points, which bounds both distances from below.
+    """
+    (va, at, n), (vb, bt, m) = a, b
+    warp, leash, who = np.full(len(n), np.inf), np.full(len(n), np.inf), np.zeros(len(n), np.int64)
+    gaps = bool(np.isnan(va).any() or np.isnan(vb).any())
+    some = np.random.default_rng(1).permutation(np.flatnonzero(m))
+    lo = 0
+    while lo < len(some):
+        own = some[lo : lo + (FIRST + lo)]
+        lo += len(own)
+        own = own[np.argsort(m[own], kind="stable")]
+        size, names = m[own], rank[own]
+        y = _laid(vb, bt[own], size, int(size[-1]))
+        end = y[:, size - 1, np.arange(len(own))]
+        for k in np.unique(n[n > 0]):
+            rows = np.flatnonzero(n == k)
+            for r in np.array_split(rows, -(-len(rows) * len(own) // BOUNDS)):
+                x = _laid(va, at[r], n[r], int(k))
+                first, last = _between(x[:, 0], y[:, 0, :, None]), _between(x[:, -1], end[:, :, None])
+                total = (size + k)[:, None]
+                ends = first + last
+                if k == 1:
+                    ends[size == 1] = first[size == 1]
+                far = (ends > warp[r] * SLACK * total) & (np.maximum(first, last) > leash[r] * SLACK)
+                j, i = np.nonzero(~far)
+                for p in range(0, len(i), PAIRS):
+                    s, t = i[p : p + PAIRS], j[p : p + PAIRS]
+                    ok, w, f = _aligned(x[:, :, s], y[:, : size[t[-1]], t], size[t], last[t, s], warp[r[s]] * SLACK * (size[t] + k), leash[r[s]] * SLACK)
+                    s, t = r[s[ok]], t[ok]
+                    w = w / (size[t] + k)
+                    if gaps:
+                        w, f = np.where(np.isnan(w), np.inf, w), np.where(np.isnan(f), np.inf, f)
+                    before = warp[s]
+                    np.minimum.at(warp, s, w)
+                    who[s[warp[s] < before]] = np.iinfo(who.dtype).max
+                    best = w == warp[s]
+                    np.minimum.at(who, s[best], names[t[best]])
+                    np.minimum.at(leash, s, f)
+    return np.where(np.isinf(warp), np.nan, warp), who, np.where(np.isinf(leash), np.nan, leash)
+
+
+def _shapes(df: DataFrame) -> DataFrame:
+    """Each trip with the least trip of its key and points (shape) and the number of such trips (n); `first` marks one row of each shape."""
+    flat = F.flatten(F.transform("points", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
+    own = df.select("trip", *KEY, F.coalesce(flat, F.array().cast("array<double>")).alias("points")).withColumn("_h", F.xxhash64("points"))
+    w = Window.partitionBy("_h", *KEY, "points").orderBy("trip")
+    all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = own.select("trip", *KEY, F.min("trip").over(all_of).alias("shape"), F.count(F.lit(1)).over(all_of).alias("n"), (F.row_number().over(w) == 1).alias("first"), "points")
+    return _written(t.withColumn("points", F.when(F.col("first"), F.col("points"))))
+
+
+def nearest(real: DataFrame, syn: DataFrame, most: int = BLOCK) -> DataFrame:
+    """(trip, other, dtw, frechet, pool): each real trip's least distances to all synthetic trips of its pool, and the trip of the least dtw, the least such trip on ties.
+
+    Both have (trip, o, d, bin, points), one row a trip. The pool is the synthetic trips of the same o, d and bin; if there are none,
     those of o and d with bin 0; if there are none either, all. A synthetic trip without a bin is in the last pool only.
-    Pools meet in blocks of about `most` trips.
+    Equal points of one key are compared once. Blocks of about `most` shapes of a pool meet in a worker; only blocks
+    are copied, once for each block of the other side, and pairs of trips are never rows.
     """
-    spark = real.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # a row holds two blocks
-    keys = syn.where("bin IS NOT NULL").select(*KEY).distinct()
-    r = real.join(keys.withColumn("exact", F.lit(True)), KEY, "left")
-    r = r.join(keys.where("bin = 0").select("o", "d", F.lit(True).alias("coarse")), ["o", "d"], "left")
-    r = r.withColumn("bin", F.when(F.col("exact"), F.col("bin")).when(F.col("coarse"), F.lit(0)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = _dealt(r.where("bin IS NOT NULL"), KEY, most, "trips", "a").join(_dealt(syn.where("bin IS NOT NULL"), KEY, most, "others", "b"), KEY).drop(*KEY).repartition(n)
-    rest = _dealt(r.where("bin IS NULL"), [], most, "trips", "a").repartition(n).crossJoin(_dealt(syn, [], most, "others", "b"))
-    kind = f"trip {real.schema['trip'].dataType.simpleString()}, other {syn.schema['trip'].dataType.simpleString()}, dtw double, frechet double, pool long"
-    found = met.unionByName(rest).mapInArrow(_block_pairs, kind)
-    best = found.groupBy("trip").agg(F.min(F.struct("dtw", "other")).alias("best"), F.min("frechet").alias("frechet"), F.sum("pool").alias("pool"))
-    return best.select("trip", "best.other", "best.dtw", "frechet", "pool")
+    n = int(real.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    trips, others = _shapes(real), _shapes(syn)
+    a, b = trips.where("first").select(*KEY, "shape", "points"), others.where("first").select(*KEY, "shape", "n", "points")
+    counts = _written(b.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_b")))  # as a table, its size is known when joins are planned
+    keys = counts.where("bin IS NOT NULL AND o IS NOT NULL AND d IS NOT NULL").select(*KEY)
+    a = a.join(keys.withColumn("exact", F.lit(True)), KEY, "left")
+    a = a.join(keys.where("bin = 0").select("o", "d", F.lit(True).alias("coarse")), ["o", "d"], "left")
+    pool, everything = [*KEY, "whole"], [F.lit(0).cast(real.schema[c].dataType).alias(c) for c in KEY]
+    a = a.withColumn("bin", F.when(F.col("exact"), F.col("bin")).when(F.col("coarse"), F.lit(0))).withColumn("whole", F.col("bin").isNull())
+    a = a.select(*(F.when(~F.col("whole"), F.col(c)).otherwise(F.lit(0)).cast(real.schema[c].dataType).alias(c) for c in KEY), "whole", "shape", "points")
+    b = b.join(keys, KEY, "left_semi").withColumn("whole", F.lit(False)).unionByName(b.select(*everything, "shape", "n", "points", F.lit(True).alias("whole")))
+    counts = counts.join(keys, KEY).withColumn("whole", F.lit(False)).unionByName(counts.agg(F.sum("_b").alias("_b")).select(*everything, F.lit(True).alias("whole"), "_b"))
+    blocks = lambda c: F.ceil(F.col(c) / most).cast("int")
+    sizes = _written(a.groupBy(*pool).agg(F.count(F.lit(1)).alias("_a")).join(counts, pool).select(*pool, blocks("_a").alias("_a"), blocks("_b").alias("_b")))
+    dealt = lambda c: F.pmod(F.xxhash64("shape"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = a.join(sizes, pool).withColumn("_i", dealt("_a")).withColumn("_j", each("_b")).drop("_a", "_b")
+    b = b.join(sizes, pool).withColumn("_j", dealt("_b")).withColumn("_i", each("_a")).drop("_a", "_b")
+    met = [*pool, "_i", "_j"]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = pc.sort_indices(right["shape"]).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        left = left if len(order) else left.slice(0, 0)  # a block may hold nothing
+        warp, who, leash = _least(_flat(left["points"]), _flat(right["points"]), rank)
+        pool = np.full(len(who), pc.sum(right["n"]).as_py() or 0, np.int64)
+        return pa.table({"shape": left["shape"], "other": right["shape"].take(pa.array(order[who])), "dtw": warp, "frechet": leash, "pool": pool})
+
+    schema = f"shape {real.schema['trip'].dataType.simpleString()}, other {syn.schema['trip'].dataType.simpleString()}, dtw double, frechet double, pool long"
+    found = a.repartition(n, *met).groupBy(*met).cogroup(b.repartition(n, *met).groupBy(*met)).applyInArrow(search, schema)
+    best = found.groupBy("shape").agg(F.min(F.struct("dtw", "other")).alias("best"), F.min("frechet").alias("frechet"), F.sum("pool").alias("pool"))
+    return trips.select("trip", "shape").join(best, "shape").select("trip", "best.other", "best.dtw", "frechet", "pool")

@@ -220,13 +220,23 @@ _GRID = "g(o, d, trip, a, b, k, w, l) AS (SELECT o, d, trip, a, b, 0, CAST([] AS
 register("seq_shape_distances", shapes, f"WITH RECURSIVE {V.POINTS}, {_FREE}, {_GRID}, h AS (SELECT trip, list_max(list_transform(a, lambda s : list_min(list_transform(b, lambda t : sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2))))) AS ab, list_max(list_transform(b, lambda s : list_min(list_transform(a, lambda t : sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2))))) AS ba FROM q), f AS (SELECT o, d, g.trip, w[len(w)] / (len(a) + len(b)) AS dtw, l[len(l)] AS frechet, greatest(ab, ba) AS hausdorff FROM g JOIN h ON h.trip = g.trip WHERE k = len(a) * len(b)) SELECT o, d, count(*) AS pairs, round(sum(dtw), 4) AS dtw, round(sum(frechet), 4) AS frechet, round(sum(hausdorff), 4) AS hausdorff FROM f GROUP BY o, d")
 
 
+def _shaped(spark, sf, side):
+    """(trip, o, d, bin, points) of one side's trips: end cells, length bin (null for a single point), 32 points. Its rows are dealt once, by trip."""
+    li = V.table(spark, sf, "lineitem").where(F.col("l_orderkey") % 2 == side)
+    li = li.select(F.col("l_orderkey").alias("trip"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")).repartition("trip")
+    t = li.groupBy("trip").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "x", "y"))).alias("p"))
+    n, at = F.size("p"), lambda i: F.element_at("p", i)
+    cell = lambda q: S.cell(q["x"], BOX[0], BOX[1], 4) * 4 + S.cell(q["y"], BOX[2], BOX[3], 4)
+    step = lambda q, r: F.hypot(r["x"] - q["x"], r["y"] / 1000 - q["y"] / 1000)
+    steps = F.zip_with(F.slice("p", 1, n - 1), F.slice("p", 2, n - 1), step)
+    length = F.aggregate(steps, F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
+    t = t.select("trip", cell(at(1)).alias("o"), cell(at(-1)).alias("d"), F.when(n >= 2, F.least(F.lit(5), F.floor(F.log1p(length)))).cast("int").alias("bin"), S.sampled(F.col("p"), 32).alias("p"))
+    return t.select("trip", "o", "d", "bin", F.transform("p", lambda q: F.struct(q["x"].alias("x"), (q["y"] / 1000).alias("y"))).alias("points"))
+
+
 def pooled_curves(spark, sf):
     """Each real trip's least distances over all synthetic trips with its end cells and length bin, else with its end cells and bin 0, else over all; on 32 points."""
-    p = V.points(spark, sf).withColumn("cell", S.cell(F.col("x"), BOX[0], BOX[1], 4) * 4 + S.cell(F.col("y"), BOX[2], BOX[3], 4)).withColumn("y", F.col("y") / 1000)
-    p = p.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(step()), F.col("y") - F.lag("y").over(step())))
-    t = p.groupBy("trip", "side").agg(F.min_by("cell", "seq").alias("o"), F.max_by("cell", "seq").alias("d"), F.least(F.lit(5), F.floor(F.log1p(F.sum("step")))).cast("int").alias("bin"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
-    t = t.withColumn("bin", F.when(F.size("points") >= 2, F.col("bin"))).withColumn("points", S.sampled(F.col("points"), 32))
-    found = curves.nearest(t.where("side = 0 AND bin IS NOT NULL").drop("side"), t.where("side = 1").drop("side"))
+    found = curves.nearest(_shaped(spark, sf, 0).where("bin IS NOT NULL"), _shaped(spark, sf, 1))
     return found.select("trip", "other", F.round("dtw", 6).alias("dtw"), F.round("frechet", 6).alias("frechet"), "pool")
 
 
