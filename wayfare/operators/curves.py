@@ -76,12 +76,14 @@ def compared(pairs: DataFrame, keep: list[str]) -> DataFrame:
 KEY = ["o", "d", "bin"]
 #: Shapes of one side that meet at once in a worker.
 BLOCK = 1 << 15
-#: Pairs whose end points are compared at once, and pairs whose distance tables are filled at once.
-BOUNDS, PAIRS = 1 << 18, 1 << 12
-#: The first run of synthetic shapes; each later one is twice as long.
-FIRST = 64
-#: Room for rounding where a bound is held against a distance.
-SLACK = 1 + 1e-12
+#: Pairs that are bounded at once, and cells of distance tables that are filled at once.
+BOUNDS, CELLS = 1 << 18, 1 << 16
+#: The first run of synthetic shapes and the longest; each is twice as long as the one before.
+FIRST, LONGEST = 64, 4096
+#: Lines of the grid to whose centres a run's distances are kept.
+GRID = 32
+#: Room for rounding where a bound is held against a distance, and for sums of single precision.
+SLACK, SINGLE = 1 + 1e-12, 1 - 1e-5
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,29 +107,49 @@ def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2)
 
 
-def _aligned(x, y, m, last, warp_bound, leash_bound):
+def _centres(y: np.ndarray, size: np.ndarray, lines: int):
+    """A grid over the lists of y, which come by size: its centres, each centre's least distance to each list (rounded down), and the cells of points."""
+    low = np.array([c[np.arange(y.shape[1])[:, None] < size].min() for c in y])
+    high = np.array([c[np.arange(y.shape[1])[:, None] < size].max() for c in y])
+    wide = np.maximum(high - low, 1e-300) / lines
+    at = (np.indices((lines, lines)).reshape(2, -1) + 0.5) * wide[:, None] + low[:, None]
+    near = np.full((lines * lines, y.shape[2]), np.inf)
+    for j in range(y.shape[1]):
+        longer = np.searchsorted(size, j, side="right")
+        near[:, longer:] = np.minimum(near[:, longer:], _between(at[:, :, None], y[:, j, None, longer:]))
+
+    def cells(x: np.ndarray) -> np.ndarray:
+        row, col = (np.clip((c - lo) / w, 0, lines - 1).astype(np.int64) for c, lo, w in zip(x, low, wide, strict=True))
+        return row * lines + col
+
+    return at, (near * (1 - 1e-6)).astype(np.float32), cells
+
+
+def _aligned(x, y, m, warp_bound, leash_bound):
     """(pairs, warp, leash): the cheapest sum and the least maximum over the alignments of the pairs of which one may be within its bound; the others are left once neither can.
 
-    x and y are (coordinate, position, pair), all of x as long as its array and y of m points; last is the distance of the last points.
+    x and y are (coordinate, position, pair), all of x as long as its array and y of m points. Any alignment meets the
+    first points, the last points, and each point at its least distance to the other list.
     """
     of, n = np.arange(len(m)), x.shape[1]
+    d = _between(x[:, :, None], y[:, None])
+    has = np.arange(d.shape[1])[:, None] < m
+    rows, cols = np.where(has, d, np.inf).min(axis=1), np.where(has, d.min(axis=0), 0)
+    lengths = np.maximum(rows.max(axis=0), cols.max(axis=0))
+    cols[0] = cols[m - 1, of] = 0
+    ends = d[0, 0] + np.where(m + n > 2, d[n - 1, m - 1, of], 0)
+    of = np.flatnonzero(~((ends + np.maximum(rows[1:-1].sum(axis=0), cols.sum(axis=0)) > warp_bound) & (lengths > leash_bound)))
+    d, m = d[:, :, of], m[of]
     for i in range(n):
-        d = _between(x[:, i, None], y)
-        warp, leash = np.empty_like(d), np.empty_like(d)
+        warp, leash = d[i].copy(), d[i].copy()
         if i:
-            warp[0], leash[0] = d[0] + w[0], np.maximum(d[0], l[0])  # noqa: F821  the row before
+            warp[0] += w[0]  # noqa: F821  the row before
+            np.maximum(leash[0], l[0], out=leash[0])  # noqa: F821
             w, l = np.minimum(w[1:], w[:-1]), np.minimum(l[1:], l[:-1])  # noqa: E741
-        else:
-            warp[0] = leash[0] = d[0]
-        for j in range(1, len(d)):
-            np.add(d[j], np.minimum(w[j - 1], warp[j - 1]) if i else warp[j - 1], out=warp[j])
-            np.maximum(d[j], np.minimum(l[j - 1], leash[j - 1]) if i else leash[j - 1], out=leash[j])
+        for j in range(1, len(warp)):
+            warp[j] += np.minimum(w[j - 1], warp[j - 1]) if i else warp[j - 1]
+            np.maximum(leash[j], np.minimum(l[j - 1], leash[j - 1]) if i else leash[j - 1], out=leash[j])
         w, l = warp, leash  # noqa: E741
-        if 0 < i < n - 1:
-            stay = ~((w.min(axis=0) + last > warp_bound) & (l.min(axis=0) > leash_bound))
-            if (left := np.flatnonzero(stay)).size < 0.7 * len(of):
-                of, m, last, warp_bound, leash_bound = of[left], m[left], last[left], warp_bound[left], leash_bound[left]
-                x, y, w, l = x[:, :, left], y[:, :, left], w[:, left], l[:, left]  # noqa: E741
     cells = m - 1, np.arange(len(of))
     return of, w[cells], l[cells]
 
@@ -135,7 +157,8 @@ def _aligned(x, y, m, last, warp_bound, leash_bound):
 def _least(a, b, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each list of a the least warping distance to those of b, the least rank of those at that distance, and the least discrete Frechet distance; nan if there is none.
 
-    Any alignment meets both pairs of end points, which bounds both distances from below.
+    Runs of b come in any order and each is bounded by what the runs before have found: by the end points, and by the
+    other points of a, whose distance to a list is at least that of the centre of their cell less the way to the centre.
     """
     (va, at, n), (vb, bt, m) = a, b
     warp, leash, who = np.full(len(n), np.inf), np.full(len(n), np.inf), np.zeros(len(n), np.int64)
@@ -143,28 +166,42 @@ def _least(a, b, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = np.random.default_rng(1).permutation(np.flatnonzero(m))
     lo = 0
     while lo < len(some):
-        own = some[lo : lo + (FIRST + lo)]
-        lo += len(own)
+        own = some[lo : lo + min(FIRST + lo, LONGEST)]
         own = own[np.argsort(m[own], kind="stable")]
         size, names = m[own], rank[own]
         y = _laid(vb, bt[own], size, int(size[-1]))
         end = y[:, size - 1, np.arange(len(own))]
+        grid = _centres(y, size, max(4, min(GRID, int(len(n) ** 0.5)))) if lo and not gaps else None
+        lo += len(own)
         for k in np.unique(n[n > 0]):
-            rows = np.flatnonzero(n == k)
-            for r in np.array_split(rows, -(-len(rows) * len(own) // BOUNDS)):
+            group = np.flatnonzero(n == k)
+            for r in np.array_split(group, -(-len(group) * len(own) // BOUNDS)):
                 x = _laid(va, at[r], n[r], int(k))
-                first, last = _between(x[:, 0], y[:, 0, :, None]), _between(x[:, -1], end[:, :, None])
-                total = (size + k)[:, None]
-                ends = first + last
+                first, last = _between(x[:, 0, :, None], y[:, 0, None]), _between(x[:, -1, :, None], end[:, None])
+                total = size + k
+                ends, most = first + last, np.maximum(first, last)
                 if k == 1:
-                    ends[size == 1] = first[size == 1]
-                far = (ends > warp[r] * SLACK * total) & (np.maximum(first, last) > leash[r] * SLACK)
-                j, i = np.nonzero(~far)
-                for p in range(0, len(i), PAIRS):
-                    s, t = i[p : p + PAIRS], j[p : p + PAIRS]
-                    ok, w, f = _aligned(x[:, :, s], y[:, : size[t[-1]], t], size[t], last[t, s], warp[r[s]] * SLACK * (size[t] + k), leash[r[s]] * SLACK)
+                    ends[:, size == 1] = first[:, size == 1]
+                if grid and k > 2:
+                    centres, near, cells = grid
+                    sums, worst = np.zeros(ends.shape, np.float32), np.zeros(ends.shape, np.float32)
+                    for i in range(1, k - 1):
+                        c = cells(x[:, i])
+                        off = near[c] - (_between(x[:, i], centres[:, c]) * (1 + 1e-6)).astype(np.float32)[:, None]
+                        np.maximum(worst, off, out=worst)
+                        sums += np.maximum(off, 0, out=off)
+                    ends += sums * SINGLE
+                    most = np.maximum(most, worst * SINGLE)
+                far = (ends > (warp[r] * SLACK)[:, None] * total) & (most > (leash[r] * SLACK)[:, None])
+                i, j = np.nonzero(~far)
+                by_size = np.argsort(j, kind="stable")
+                i, j = i[by_size], j[by_size]
+                step = max(64, CELLS // int(k * size[-1]))
+                for p in range(0, len(i), step):
+                    s, t = i[p : p + step], j[p : p + step]
+                    ok, w, f = _aligned(x[:, :, s], y[:, : size[t[-1]], t], size[t], warp[r[s]] * SLACK * total[t], leash[r[s]] * SLACK)
                     s, t = r[s[ok]], t[ok]
-                    w = w / (size[t] + k)
+                    w = w / (size[t] + n[s])
                     if gaps:
                         w, f = np.where(np.isnan(w), np.inf, w), np.where(np.isnan(f), np.inf, f)
                     before = warp[s]
